@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.llm import blocks as B
-from flowlake.llm.words import word_hashes, window_hashes
+from flowlake.llm.words import mix, window_hashes, word_hashes
 from flowlake.tables import materialize
 
 WINDOW = 35
@@ -115,15 +115,27 @@ def _next_requests(block: int, candidates: list[np.ndarray], n: int) -> list[tup
     return [("ask", block, k, hashes[order[at[k] : at[k + 1]]].tobytes(), None, None, None, None, None) for k in range(n) if at[k + 1] > at[k]]
 
 
-def _candidates(hashes: np.ndarray, repeated: np.ndarray, size: int, to: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which windows of size at i and at i + to - size are both repeated, and the hash of the longer."""
+def _extended(hashes: np.ndarray, size: int, to: int) -> np.ndarray:
+    """Hashes of the windows of ``to`` words from those of the two windows of ``size`` words that make them up."""
     step = to - size
+    if not step:
+        return hashes
     if len(hashes) <= step:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.flatnonzero(repeated[:-step] & repeated[step:]) if step else np.flatnonzero(repeated)
-    from flowlake.llm.words import mix
+        return np.zeros(0, np.uint64)
+    return mix(hashes[:-step] * np.uint64(0x9FB21C651E98DF25) + mix(hashes[step:]))
 
-    return at, mix(hashes[at] * np.uint64(0x9FB21C651E98DF25) + mix(hashes[at + step])) if step else hashes[at]
+
+def _both(repeated: np.ndarray, step: int) -> np.ndarray:
+    """Windows whose two halves, step words apart, are both repeated."""
+    return repeated[:-step] & repeated[step:] if step else repeated
+
+
+def _open(block: int, doc, n_words: int, text, mask: np.ndarray) -> tuple:
+    return ("open", block, None, np.packbits(mask).tobytes(), doc, n_words, None, text, None)
+
+
+def _done(block: int, doc, n_words: int, text, covered: np.ndarray | None, digest: bool) -> tuple:
+    return ("done", block, None, None, doc, n_words, 0 if covered is None else int(covered.sum()), None, _kept(text, covered, digest))
 
 
 def _finish_first(size: int, to: int, n: int, digest: bool):
@@ -135,29 +147,33 @@ def _finish_first(size: int, to: int, n: int, digest: bool):
         repeated = (_flags(keys, keys >> np.uint64(32), n, answers) | (counts > 1))[inverse]
         block, out, found = table["block"][0].as_py(), [], []
         for i, (doc, text) in enumerate(zip(table["doc_id"].to_pylist(), table["text"])):
-            at_i, h = _candidates(parts[i], repeated[at[i] : at[i + 1]], size, to)
-            text = text.as_py()
-            if len(at_i):
-                found.append(h)
-                out.append(("open", block, None, at_i.astype(np.int32).tobytes() + h.tobytes(), doc, int(n_words[i]), None, text, None))
+            mask = _both(repeated[at[i] : at[i + 1]], to - size)
+            if mask.any():
+                found.append(_extended(parts[i], size, to)[mask])
+                out.append(_open(block, doc, int(n_words[i]), text.as_py(), mask))
             else:
-                out.append(("done", block, None, None, doc, int(n_words[i]), 0, None, _kept(text, None, digest)))
+                out.append(_done(block, doc, int(n_words[i]), text.as_py(), None, digest))
         return _rows(out + _next_requests(block, found, n))
 
     return finish
 
 
-def _finish_next(size: int, to: int, n: int, digest: bool):
-    """Candidates of ``size`` words get their counts; those repeated are extended to ``to`` words, or cover if to is 0."""
+def _finish_next(sizes: list[int], to: int, n: int, digest: bool):
+    """Candidates of sizes[-1] words get their answers; those repeated are extended to ``to`` words, or cover if to is 0."""
+    size = sizes[-1]
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return _rows([])
-        rows = []
-        for p in B.payloads(table):
-            m = len(p) // 12
-            rows.append((np.frombuffer(p, np.int32, m).astype(np.int64), np.frombuffer(p[4 * m :], np.uint64)))
-        every = np.concatenate([h for _, h in rows])
+        words, offsets = word_hashes(table["text"], lower=False)
+        hashes, masks = [], []
+        for i, bits in enumerate(B.payloads(table)):
+            h = window_hashes(words[offsets[i] : offsets[i + 1]], sizes[0])
+            for a, b in zip(sizes, sizes[1:]):
+                h = _extended(h, a, b)
+            hashes.append(h)
+            masks.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(h)).astype(bool))
+        every = np.concatenate([h[m] for h, m in zip(hashes, masks)])
         distinct, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
         bucket = (distinct >> np.uint64(32)) % np.uint64(n)
         order = np.argsort(bucket, kind="stable")
@@ -165,23 +181,17 @@ def _finish_next(size: int, to: int, n: int, digest: bool):
         flags[order] = _flags(distinct[order], bucket[order], n, answers)
         repeated = (flags | (counts > 1))[inverse]
         block, out, found, at = table["block"][0].as_py(), [], [], 0
-        for (pos, h), doc, text, n_words in zip(rows, table["doc_id"].to_pylist(), table["text"], table["n_words"].to_pylist()):
-            hit = repeated[at : at + len(pos)]
-            at += len(pos)
-            text = text.as_py()
-            if to:
-                full, on = np.zeros(max(n_words - size + 1, 0), np.uint64), np.zeros(max(n_words - size + 1, 0), bool)
-                full[pos], on[pos] = h, hit
-                at_i, longer = _candidates(full, on, size, to)
-                if len(at_i):
-                    found.append(longer)
-                    out.append(("open", block, None, at_i.astype(np.int32).tobytes() + longer.tobytes(), doc, n_words, None, text, None))
-                    continue
-            elif hit.any():
-                gone = _cover(pos[hit], size, n_words)
-                out.append(("done", block, None, None, doc, n_words, int(gone.sum()), None, _kept(text, gone, digest)))
-                continue
-            out.append(("done", block, None, None, doc, n_words, 0, None, _kept(text, None, digest)))
+        for h, mask, doc, text, n_words in zip(hashes, masks, table["doc_id"].to_pylist(), table["text"], table["n_words"].to_pylist()):
+            some = int(mask.sum())
+            mask[mask] = repeated[at : at + some]
+            at += some
+            longer = _both(mask, to - size) if to else mask
+            if to and longer.any():
+                found.append(_extended(h, size, to)[longer])
+                out.append(_open(block, doc, n_words, text.as_py(), longer))
+            else:
+                covered = _cover(np.flatnonzero(mask), size, n_words) if not to and mask.any() else None
+                out.append(_done(block, doc, n_words, text.as_py(), covered, digest))
         return _rows(out + _next_requests(block, found, n))
 
     return finish
@@ -196,10 +206,10 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, first_words: in
     state = materialize(B.exchange(blocks, _ask_first(sizes[0], n), _answer(np.uint32), _finish_first(sizes[0], to, n, digest), _KINDS), "windows")
     done = [state.where("kind = 'done'")]
     for k in range(1, max(len(sizes), 2)):
-        size, to = sizes[min(k, len(sizes) - 1)], sizes[k + 1] if k + 1 < len(sizes) else 0
+        to = sizes[k + 1] if k + 1 < len(sizes) else 0
         opened = state.where("kind = 'open'").select("block", "doc_id", "n_words", "text", "payload")
         answered = state.where("kind = 'ask'").select("block", "bucket", "payload").groupBy("bucket").applyInArrow(_answer(np.uint64), B.PAYLOAD)
-        state = opened.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_finish_next(size, to, n, digest), _KINDS)
+        state = opened.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_finish_next(sizes[: k + 1], to, n, digest), _KINDS)
         if to:
             state = materialize(state, "windows")
         done.append(state.where("kind = 'done'"))
