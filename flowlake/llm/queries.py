@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from flowlake.llm import line_dedup
+from flowlake.llm.line_dedup import op9_line_dedup
 from flowlake.llm.substring_dedup import op8_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op8_substring_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op8_substring_dedup, op9_line_dedup)}
+ORACLES: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE}
