@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from flowlake.llm import line_dedup
 from flowlake.llm.line_dedup import op9_line_dedup
+from flowlake.llm.ngram_join import op10_ngram_join
 from flowlake.llm.substring_dedup import op8_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op8_substring_dedup, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op8_substring_dedup, op9_line_dedup, op10_ngram_join)}
 ORACLES: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE}
