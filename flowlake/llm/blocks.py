@@ -16,15 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES, LEAST_BYTES = 12 << 20, 1 << 20
 PAYLOAD = "block int, bucket int, payload binary"
 _PAYLOAD = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks needed so that one holds about block_bytes of text (a count over all rows, not a sample)."""
+    """Blocks of about block_bytes of text (a sum over all rows), and no fewer than tasks while they are not tiny."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long") + 64).alias("b")).first()["b"] or 0
-    return max(1, math.ceil(total / block_bytes))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(total / block_bytes), min(tasks, math.ceil(total / LEAST_BYTES)))
 
 
 def with_block(docs: DataFrame, n: int, *columns: str) -> DataFrame:

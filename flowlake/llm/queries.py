@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from flowlake.llm import line_dedup
+from flowlake.llm.bpe import op1_bpe
 from flowlake.llm.line_dedup import op9_line_dedup
 from flowlake.llm.ngram_join import op10_ngram_join
+from flowlake.llm.packing import op2_packing
 from flowlake.llm.substring_dedup import op8_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op8_substring_dedup, op9_line_dedup, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op8_substring_dedup, op9_line_dedup, op10_ngram_join)}
 ORACLES: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE}
