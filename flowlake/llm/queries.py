@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from flowlake.llm import line_dedup
+from flowlake.llm import line_dedup, topk
 from flowlake.llm.bpe import op1_bpe
+from flowlake.llm.embedding_dedup import op3_embedding_dedup
 from flowlake.llm.line_dedup import op9_line_dedup
 from flowlake.llm.ngram_join import op10_ngram_join
 from flowlake.llm.packing import op2_packing
+from flowlake.llm.quality import op7_quality
 from flowlake.llm.substring_dedup import op8_substring_dedup
+from flowlake.llm.topk import op5_topk
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op8_substring_dedup, op9_line_dedup, op10_ngram_join)}
-ORACLES: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_packing, op3_embedding_dedup, op5_topk, op7_quality, op8_substring_dedup, op9_line_dedup, op10_ngram_join)
+}
+ORACLES: dict[str, str] = {"op5_topk": topk.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
