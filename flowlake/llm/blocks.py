@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BYTES, LEAST_BYTES = 12 << 20, 1 << 20
 PAYLOAD = "block int, bucket int, payload binary"
@@ -28,9 +29,21 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, math.ceil(total / block_bytes), min(tasks, math.ceil(total / LEAST_BYTES)))
 
 
-def with_block(docs: DataFrame, n: int, *columns: str) -> DataFrame:
-    """doc_id, text and the named columns with the block number."""
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text", *columns)
+def with_block(docs: DataFrame, n: int, rest: tuple[str, ...] | None = None) -> DataFrame:
+    """block, doc_id and text; with rest, the named columns as one column ``rest``."""
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")
+    if rest is None:
+        return docs.select(block, "doc_id", "text")
+    return docs.select(block, "doc_id", "text", (F.struct(*rest) if rest else F.lit(0)).alias("rest"))
+
+
+def schema_with_rest(ddl: str, blocks: DataFrame) -> T.StructType:
+    return T.StructType([*T.StructType.fromDDL(ddl).fields, T.StructField("rest", blocks.schema["rest"].dataType)])
+
+
+def with_rest(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns of ``rest`` in its place."""
+    return df.select(*(c for c in df.columns if c != "rest"), *(F.col(f"rest.`{c}`").alias(c) for c in keep))
 
 
 def payload_table(block: int, buckets: Iterator[tuple[int, bytes]]) -> pa.Table:

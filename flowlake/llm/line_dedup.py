@@ -154,7 +154,7 @@ def _finish(n: int, min_chars: int, digest: bool):
             text = b"\n".join([x for x, g in zip(lines, gone) if not g] if gone.any() else lines)
             dropped.append(int(gone.sum()))
             kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
-        return pa.table([table["doc_id"], pa.array(np.diff(at)), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], schema=_RESULT)
+        return pa.table([table["doc_id"], pa.array(np.diff(at)), pa.array(dropped, pa.int64()), pa.array(kept, pa.string()), table["rest"]], schema=_RESULT.append(table.schema.field("rest")))
 
     return finish
 
@@ -166,15 +166,17 @@ def line_index(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(_build, INDEX)
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, digest: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_dropped and ``kept``: the remaining lines joined by \\n, or with digest their SHA-256."""
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped and ``kept``: the remaining lines joined by \\n, or with digest their SHA-256;
+    then the columns to keep."""
     n = B.block_count(docs)
-    blocks = B.with_block(docs, n)
+    blocks = B.with_block(docs, n, keep)
     asked = blocks.groupBy("block").applyInArrow(_ask(n, min_chars), B.PAYLOAD)
     index = asked.groupBy("bucket").applyInArrow(_build, INDEX)
     answered = asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_probe(min_docs), B.PAYLOAD)
-    schema = "doc_id long, n_lines long, n_dropped long, kept string"
-    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_finish(n, min_chars, digest), schema)
+    schema = B.schema_with_rest("doc_id long, n_lines long, n_dropped long, kept string", blocks)
+    out = blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_finish(n, min_chars, digest), schema)
+    return B.with_rest(out, keep)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -102,8 +102,9 @@ def _cover(positions: np.ndarray, size: int, n_words: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCHEMA)] if rows else [pa.array([], t.type) for t in _SCHEMA], schema=_SCHEMA)
+def _rows(rows: list[tuple], table: pa.Table) -> pa.Table:
+    schema = _SCHEMA.append(table.schema.field("rest"))
+    return pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
 
 
 def _next_requests(block: int, candidates: list[np.ndarray], n: int) -> list[tuple]:
@@ -112,7 +113,7 @@ def _next_requests(block: int, candidates: list[np.ndarray], n: int) -> list[tup
     bucket = (hashes >> np.uint64(32)) % np.uint64(n)
     order = np.argsort(bucket, kind="stable")
     at = np.searchsorted(bucket[order], np.arange(n + 1))
-    return [("ask", block, k, hashes[order[at[k] : at[k + 1]]].tobytes(), None, None, None, None, None) for k in range(n) if at[k + 1] > at[k]]
+    return [("ask", block, k, hashes[order[at[k] : at[k + 1]]].tobytes(), None, None, None, None, None, None) for k in range(n) if at[k + 1] > at[k]]
 
 
 def _extended(hashes: np.ndarray, size: int, to: int) -> np.ndarray:
@@ -130,30 +131,30 @@ def _both(repeated: np.ndarray, step: int) -> np.ndarray:
     return repeated[:-step] & repeated[step:] if step else repeated
 
 
-def _open(block: int, doc, n_words: int, text, mask: np.ndarray) -> tuple:
-    return ("open", block, None, np.packbits(mask).tobytes(), doc, n_words, None, text, None)
+def _open(block: int, doc, n_words: int, text, mask: np.ndarray, rest) -> tuple:
+    return ("open", block, None, np.packbits(mask).tobytes(), doc, n_words, None, text, None, rest)
 
 
-def _done(block: int, doc, n_words: int, text, covered: np.ndarray | None, digest: bool) -> tuple:
-    return ("done", block, None, None, doc, n_words, 0 if covered is None else int(covered.sum()), None, _kept(text, covered, digest))
+def _done(block: int, doc, n_words: int, text, covered: np.ndarray | None, digest: bool, rest) -> tuple:
+    return ("done", block, None, None, doc, n_words, 0 if covered is None else int(covered.sum()), None, _kept(text, covered, digest), rest)
 
 
 def _finish_first(size: int, to: int, n: int, digest: bool):
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
-            return _rows([])
+            return _rows([], table)
         hashes, at, parts, n_words = _windows(table, size)
         keys, inverse, counts = np.unique(_keys(hashes, n), return_inverse=True, return_counts=True)
         repeated = (_flags(keys, keys >> np.uint64(32), n, answers) | (counts > 1))[inverse]
         block, out, found = table["block"][0].as_py(), [], []
-        for i, (doc, text) in enumerate(zip(table["doc_id"].to_pylist(), table["text"])):
+        for i, (doc, text, rest) in enumerate(zip(table["doc_id"].to_pylist(), table["text"], table["rest"].to_pylist())):
             mask = _both(repeated[at[i] : at[i + 1]], to - size)
             if mask.any():
                 found.append(_extended(parts[i], size, to)[mask])
-                out.append(_open(block, doc, int(n_words[i]), text.as_py(), mask))
+                out.append(_open(block, doc, int(n_words[i]), text.as_py(), mask, rest))
             else:
-                out.append(_done(block, doc, int(n_words[i]), text.as_py(), None, digest))
-        return _rows(out + _next_requests(block, found, n))
+                out.append(_done(block, doc, int(n_words[i]), text.as_py(), None, digest, rest))
+        return _rows(out + _next_requests(block, found, n), table)
 
     return finish
 
@@ -164,7 +165,7 @@ def _finish_next(sizes: list[int], to: int, n: int, digest: bool):
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
-            return _rows([])
+            return _rows([], table)
         words, offsets = word_hashes(table["text"], lower=False)
         hashes, masks = [], []
         for i, bits in enumerate(B.payloads(table)):
@@ -181,42 +182,41 @@ def _finish_next(sizes: list[int], to: int, n: int, digest: bool):
         flags[order] = _flags(distinct[order], bucket[order], n, answers)
         repeated = (flags | (counts > 1))[inverse]
         block, out, found, at = table["block"][0].as_py(), [], [], 0
-        for h, mask, doc, text, n_words in zip(hashes, masks, table["doc_id"].to_pylist(), table["text"], table["n_words"].to_pylist()):
+        for h, mask, doc, text, n_words, rest in zip(hashes, masks, table["doc_id"].to_pylist(), table["text"], table["n_words"].to_pylist(), table["rest"].to_pylist()):
             some = int(mask.sum())
             mask[mask] = repeated[at : at + some]
             at += some
             longer = _both(mask, to - size) if to else mask
             if to and longer.any():
                 found.append(_extended(h, size, to)[longer])
-                out.append(_open(block, doc, n_words, text.as_py(), longer))
+                out.append(_open(block, doc, n_words, text.as_py(), longer, rest))
             else:
                 covered = _cover(np.flatnonzero(mask), size, n_words) if not to and mask.any() else None
-                out.append(_done(block, doc, n_words, text.as_py(), covered, digest))
-        return _rows(out + _next_requests(block, found, n))
+                out.append(_done(block, doc, n_words, text.as_py(), covered, digest, rest))
+        return _rows(out + _next_requests(block, found, n), table)
 
     return finish
 
 
-def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, first_words: int = 18, digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and ``kept``: the kept words joined by one space, or with digest their SHA-256."""
+def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, first_words: int = 18, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed and ``kept``: the kept words joined by one space, or with digest their SHA-256;
+    then the columns to keep."""
     n = B.block_count(docs)
     sizes = levels(window, first_words)
-    blocks = B.with_block(docs, n)
+    blocks = B.with_block(docs, n, keep)
+    schema = B.schema_with_rest(_KINDS, blocks)
     to = sizes[1] if len(sizes) > 1 else sizes[0]
-    state = materialize(B.exchange(blocks, _ask_first(sizes[0], n), _answer(np.uint32), _finish_first(sizes[0], to, n, digest), _KINDS), "windows")
-    done = [state.where("kind = 'done'")]
+    state = materialize(B.exchange(blocks, _ask_first(sizes[0], n), _answer(np.uint32), _finish_first(sizes[0], to, n, digest), schema), "windows")
+    out = state.where("kind = 'done'")
     for k in range(1, max(len(sizes), 2)):
         to = sizes[k + 1] if k + 1 < len(sizes) else 0
-        opened = state.where("kind = 'open'").select("block", "doc_id", "n_words", "text", "payload")
+        opened = state.where("kind = 'open'").select("block", "doc_id", "n_words", "text", "payload", "rest")
         answered = state.where("kind = 'ask'").select("block", "bucket", "payload").groupBy("bucket").applyInArrow(_answer(np.uint64), B.PAYLOAD)
-        state = opened.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_finish_next(sizes[: k + 1], to, n, digest), _KINDS)
+        state = opened.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_finish_next(sizes[: k + 1], to, n, digest), schema)
         if to:
             state = materialize(state, "windows")
-        done.append(state.where("kind = 'done'"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select("doc_id", "n_words", "n_removed", "kept")
+        out = out.unionByName(state.where("kind = 'done'"))
+    return B.with_rest(out.select("doc_id", "n_words", "n_removed", "kept", "rest"), keep)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
