@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from flowlake.llm import line_dedup, topk
+from flowlake.llm import license, line_dedup, topk
 from flowlake.llm.bpe import op1_bpe
 from flowlake.llm.embedding_dedup import op3_embedding_dedup
+from flowlake.llm.license import op6_license
 from flowlake.llm.line_dedup import op9_line_dedup
 from flowlake.llm.ngram_join import op10_ngram_join
 from flowlake.llm.packing import op2_packing
@@ -14,6 +15,6 @@ from flowlake.llm.topk import op5_topk
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_packing, op3_embedding_dedup, op5_topk, op7_quality, op8_substring_dedup, op9_line_dedup, op10_ngram_join)
+    for f in (op1_bpe, op2_packing, op3_embedding_dedup, op5_topk, op6_license, op7_quality, op8_substring_dedup, op9_line_dedup, op10_ngram_join)
 }
-ORACLES: dict[str, str] = {"op5_topk": topk.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op5_topk": topk.ORACLE, "op6_license": license.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
