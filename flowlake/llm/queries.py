@@ -7,6 +7,7 @@ from flowlake.llm.bpe import op1_bpe
 from flowlake.llm.embedding_dedup import op3_embedding_dedup
 from flowlake.llm.license import op6_license
 from flowlake.llm.line_dedup import op9_line_dedup
+from flowlake.llm.lm_score import op4_lm_score
 from flowlake.llm.ngram_join import op10_ngram_join
 from flowlake.llm.packing import op2_packing
 from flowlake.llm.quality import op7_quality
@@ -15,6 +16,6 @@ from flowlake.llm.topk import op5_topk
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_packing, op3_embedding_dedup, op5_topk, op6_license, op7_quality, op8_substring_dedup, op9_line_dedup, op10_ngram_join)
+    for f in (op1_bpe, op2_packing, op3_embedding_dedup, op4_lm_score, op5_topk, op6_license, op7_quality, op8_substring_dedup, op9_line_dedup, op10_ngram_join)
 }
 ORACLES: dict[str, str] = {"op5_topk": topk.ORACLE, "op6_license": license.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
