@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from flowlake.llm import blocks as B
 
-BATCH = 20_000
+BATCH, BLOCK_BYTES = 20_000, 20 << 20
 _IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 _loaded: dict[str, object] = {}
@@ -63,6 +63,10 @@ def pieces(path: str) -> list[str]:
     return _loaded[f"{path} pieces"]
 
 
+def id_type(path: str):
+    return np.uint16 if tokenizer(path).get_vocab_size() <= 1 << 16 else np.uint32
+
+
 def encode_words(path: str, words: list[bytes]) -> list[list[int]]:
     out = []
     for i in range(0, len(words), BATCH):
@@ -90,7 +94,7 @@ def _distinct(table: pa.Table) -> set[bytes]:
 
 def _ask(n: int):
     def ask(table: pa.Table) -> pa.Table:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=9)
         return B.payload_table(table["block"][0].as_py(), ((k, pack.compress(b"\n".join(part))) for k, part in enumerate(_by_bucket(_distinct(table), n)) if part))
 
     return ask
@@ -103,10 +107,11 @@ def _answer(path: str):
         words = sorted(set().union(*asked))
         place = dict(zip(words, range(len(words))))
         ids = encode_words(path, words)
+        kind = id_type(path)
         size = np.array([len(x) for x in ids], np.uint32)
         at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(at[-1]))
-        pack, out = zstandard.ZstdCompressor(level=3), []
+        flat = np.fromiter((i for x in ids for i in x), kind, int(at[-1]))
+        pack, out = zstandard.ZstdCompressor(level=9), []
         for part in asked:
             own = np.fromiter(map(place.__getitem__, part), np.int64, len(part))
             count = size[own]
@@ -126,7 +131,7 @@ def _finish(path: str, n: int, digest: bool):
         for k, payload in zip(answers["bucket"].to_pylist(), B.payloads(answers)):
             raw = zstandard.decompress(payload)
             count = np.frombuffer(raw, np.uint32, len(parts[k]))
-            ids, at = np.frombuffer(raw, np.uint32, -1, 4 * len(count)).tolist(), 0
+            ids, at = np.frombuffer(raw, id_type(path), -1, 4 * len(count)).tolist(), 0
             for word, size in zip(parts[k], count.tolist()):
                 own = ids[at : at + size]
                 at += size
@@ -154,7 +159,7 @@ def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
     and of the decoded text instead."""
     if not splits_at_spaces(path):
         raise ValueError("the tokenizer must drop white space and join pieces by one space")
-    n = B.block_count(docs)
+    n = B.block_count(docs, BLOCK_BYTES)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, n_tokens long, ids array<int>, decoded string"
     return B.exchange(B.with_block(docs, n), _ask(n), _answer(path), _finish(path, n, digest), schema)
 
