@@ -13,8 +13,10 @@ each on its own; other columns are ignored; an empty table has no sequences.
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,12 @@ from pyspark.sql import functions as F
 from flowlake.llm.bpe import tokenizer, vocabulary_path
 from flowlake.tables import materialize
 
-CAPACITY, END, CACHE, ROWS, SHARD = 2048, 0, 400_000, 64, 100_000
+CAPACITY, END, CACHE, ROWS, SHARD = 2048, 0, 1_000_000, 64, 100_000
 _LATE_SPACE = re.compile(r"\s ")
+_PLAIN = re.compile("[ -;=-~\n\u00c0-\u024f]+")
+_ranks: dict[str, object] = {}
+# Fixed value: the pre-token pattern of the byte-level vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPLIT = re.compile(r"(?<!\s) ")
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -37,18 +43,35 @@ def units(text: str) -> list[str]:
     return parts[:1] + [" " + p for p in parts[1:]]
 
 
+def rank_encoder(path: str | None):
+    """Encoder of the same merges from a file of ranks, about twice as fast; it knows no special tokens."""
+    if path and path not in _ranks:
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _ranks[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return _ranks.get(path)
+
+
 class UnitCache(dict):
-    """Packed ids of units, bounded in number."""
+    """Packed ids of units, bounded in number. Units of plain letters and signs go to the rank encoder, all others,
+    such as those that may hold a special token, to the tokenizer; both give the same ids."""
 
-    def __init__(self, path: str, most: int = CACHE):
-        self.path, self.most = path, most
+    def __init__(self, path: str, ranks: str | None = None, most: int = CACHE):
+        self.path, self.fast, self.most = path, rank_encoder(ranks), most
 
     def add(self, wanted: set[str]) -> None:
         if len(self) > self.most:
             self.clear()
-        new = list(wanted - self.keys())
-        for unit, e in zip(new, tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False)):
-            self[unit] = np.array(e.ids, "<u4").tobytes()
+        rest, fast, plain = [], self.fast, _PLAIN.fullmatch
+        for unit in wanted - self.keys():
+            if fast and plain(unit):
+                self[unit] = array("I", fast(unit)).tobytes()
+            else:
+                rest.append(unit)
+        for unit, e in zip(rest, tokenizer(self.path).encode_batch_fast(rest, add_special_tokens=False)):
+            self[unit] = array("I", e.ids).tobytes()
 
 
 def cuts(length: int, capacity: int) -> list[int]:
@@ -57,9 +80,9 @@ def cuts(length: int, capacity: int) -> list[int]:
     return [0, *range(first or capacity, length + 1, capacity)]
 
 
-def _tokenize(path: str, capacity: int, end: int, keep_ids: bool):
+def _tokenize(path: str, capacity: int, end: int, keep_ids: bool, ranks: str | None = None):
     def run(batches):
-        cache, last = UnitCache(path), np.array([end], "<u4").tobytes()
+        cache, last = UnitCache(path, ranks), np.array([end], "<u4").tobytes()
         for batch in batches:
             for i in range(0, len(batch), ROWS):
                 part = batch.slice(i, ROWS)
@@ -78,10 +101,10 @@ def _tokenize(path: str, capacity: int, end: int, keep_ids: bool):
     return run
 
 
-def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False, ranks: str | None = None) -> DataFrame:
     """Pieces of at most capacity tokens: doc_id, piece, start, length, ids_crc32 and, if wanted, the ids."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(_tokenize(path, capacity, end, keep_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(_tokenize(path, capacity, end, keep_ids, ranks), schema)
 
 
 class CapacityTree:
@@ -175,8 +198,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+    ranks = None if path else vocabulary_path("byte_bpe_50k.tiktoken")
     path = path or vocabulary_path("byte_bpe_50k.json")
-    return pack(materialize(tokenize(docs, path, capacity, keep_ids=keep_ids), "pieces"), capacity)
+    return pack(materialize(tokenize(docs, path, capacity, keep_ids=keep_ids, ranks=ranks), "pieces"), capacity)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
