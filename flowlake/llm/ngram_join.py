@@ -40,10 +40,11 @@ def _block_sets(table: pa.Table, size: int) -> tuple[list[np.ndarray], list[int]
     words, at = word_hashes(table["text"], lower=True)
     sets = [shingle_set(words[at[i] : at[i + 1]], size) for i in range(len(at) - 1)]
     first: dict[bytes, int] = {}
-    order = np.argsort(np.array([-1 if d is None else d for d in table["doc_id"].to_pylist()]), kind="stable")
+    ids = table["doc_id"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))  # rows without id never stand for others
     same = [0] * len(sets)
     for i in order:
-        same[i] = first.setdefault(xxhash.xxh3_128_digest(sets[i].tobytes()), int(i))
+        same[i] = first.setdefault(xxhash.xxh3_128_digest(sets[i].tobytes()), i)
     return sets, same
 
 

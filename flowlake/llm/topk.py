@@ -8,7 +8,7 @@ score of at least cutoff / SLICES somewhere: each query carries its cutoff to th
 upper bound reaches the cutoff and that lack a slice are resolved exactly.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and rows without vec_id, take no
-part; queries are compared with vectors of their own length; rows with one vec_id are candidates each on its own
+part; scores beyond a long are an error; queries are compared with vectors of their own length; rows with one vec_id are candidates each on its own
 but for the query of that vec_id; other columns are ignored.
 """
 
