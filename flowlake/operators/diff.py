@@ -65,3 +65,30 @@ def classify(changes: DataFrame, flows: DataFrame) -> DataFrame:
 def untrusted_text(column, most: int = 500):
     """Tenant text cut to a bound with an ellipsis; empty text is null."""
     return F.when(F.length(column) == 0, None).when(F.length(column) > most, F.concat(F.left(column, F.lit(most)), F.lit("…"))).otherwise(column)
+
+
+def draft_drift(draft: DataFrame, fields: list[str]) -> DataFrame:
+    """flow_id and drift of draft(flow_id, b, a, semantic): structs of the published and the draft version and whether the
+    diff between them has semantic changes (null: not known)."""
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f"b.{f}").eqNullSafe(F.col(f"a.{f}"))
+    drift = F.when(F.col("a").isNull() | F.col("b").isNull(), "not-observable").when(same, "no-drift").when(F.col("semantic").isNull(), "draft-present-unknown")
+    return draft.select("flow_id", drift.when(F.col("semantic"), "draft-present-semantic-change").otherwise("draft-present-no-semantic-change").alias("drift"))
+
+
+def changed_settings_keys(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """key and setting of every top-level settings key (a map column) whose value differs between the two sides."""
+    b, a = (df.select(*key, F.explode("settings").alias("setting", v)) for df, v in ((before, "old"), (after, "new")))
+    both = b.join(a, [*key, "setting"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    kind = F.when(F.col("setting") == "expression", "condition-expression-changed").otherwise("action-changed")
+    matched = before.select(*key).join(after.select(*key), key, "left_semi")
+    return both.join(matched, key, "left_semi").select(*key, "setting", kind.alias("category"))
+
+
+def diff_members(before: DataFrame, after: DataFrame, key: list[str], member: str) -> DataFrame:
+    """Members (prompts, languages) added to or removed from the keys that both sides have."""
+    both = before.select(*key).distinct().join(after.select(*key).distinct(), key, "left_semi")
+    side = lambda df, flag: df.select(*key, member).distinct().withColumn(flag, F.lit(True))
+    rows = side(before, "was").join(side(after, "is"), [*key, member], "full_outer").where("was is null or is is null")
+    return rows.join(both, key, "left_semi").select(*key, member, F.when(F.col("was").isNull(), "added").otherwise("removed").alias("op"))

@@ -57,3 +57,23 @@ def confirm_retired(runs: DataFrame) -> DataFrame:
     """flow_id and run of flows absent in two consecutive runs: runs(flow_id, run, absent)."""
     w = Window.partitionBy("flow_id").orderBy("run")
     return runs.withColumn("before", F.lag("absent").over(w)).where("absent and before").select("flow_id", "run")
+
+
+def plan_selection(flows: DataFrame, previous: DataFrame, cap: int) -> DataFrame:
+    """One row: flows selected, changed and unchanged against the previous run, whether over the cap, and a plan hash
+    that doesn't depend on the order of rows."""
+    old = previous.select("flow_id", F.col("version").alias("old_version"))
+    rows = flows.select("flow_id", "version").join(old, "flow_id", "left")
+    same = F.col("version").eqNullSafe(F.col("old_version"))
+    row = F.xxhash64(F.col("flow_id").cast("string"), F.col("version").cast("string")).cast("decimal(20,0)")
+    out = rows.agg(F.count("*").alias("selected"), F.count_if(~same).alias("changed"), F.count_if(same).alias("unchanged"), F.sum(row).cast("string").alias("_sum"))
+    digest = F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", "selected", F.coalesce("_sum", F.lit("0"))), 256))
+    return out.withColumn("over_cap", F.col("selected") > cap).withColumn("plan_hash", digest).drop("_sum")
+
+
+def run_results(decided: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row a flow: its status in the run, an issue code and whether its source changed; failures come first."""
+    bad = failed.select("flow_id", "issue_code")
+    status = F.when(F.col("issue_code").isNotNull(), "failed").when(F.col("bucket") == "capture", "captured").when(F.col("bucket") == "skip", "carried-forward").otherwise(F.col("bucket"))
+    changed = F.coalesce(F.col("action").isin("new-flow", "regenerate", "regenerate-pending"), F.lit(False))
+    return decided.join(bad, "flow_id", "left").select("flow_id", status.alias("status"), "issue_code", changed.alias("source_changed"))

@@ -132,3 +132,57 @@ def parse_value_refs(paths: DataFrame) -> DataFrame:
     calls = paths.where("key = 'operands' and type = 'ARRAY'").select("flow_id", F.col("parent").alias("child"), F.lit(True).alias("call"))
     state = F.when(F.col("key") == "lit", "literal").when(F.col("key") == "emp", "unset").when(F.col("key") == "nul", "null").when(F.col("key") == "ref", "variableRef").when(F.col("call"), "expression").otherwise("opaque")
     return kinds.join(calls, ["flow_id", "child"], "left").select("flow_id", "pointer", state.alias("state"))
+
+# Fields that hold ids without being references.
+NOT_REFERENCES = ["id", "trackingId", "startAction", "nextAction", "menuReference", "taskReference", "outputId"]
+GUID_LIKE = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def generic_references(paths: DataFrame, pattern: str = GUID_LIKE) -> DataFrame:
+    """Id-shaped strings outside known fields and outside value wrappers: owner pointer, role by field name, target."""
+    rows = paths.where(F.rlike("scalar", F.lit(pattern)) & ~F.col("key").isin(NOT_REFERENCES) & ~F.contains("pointer", F.lit("/config/")) & ~F.startswith("pointer", F.lit("/manifest/")))
+    field = F.when(F.rlike("key", F.lit("^[0-9]+$")), F.element_at(F.split("parent", "/"), -1)).otherwise(F.col("key"))
+    return rows.select("flow_id", "pointer", "parent", field.alias("field"), F.col("scalar").alias("target"))
+
+
+def prompt_references(paths: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prompt uses: manifest prompts and inline references that resolve to them, inline ones that don't)."""
+    prompts = dependencies.where(F.col("type").isin("userPrompt", "systemPrompt", "queue")).select("flow_id", F.col("dependency_id").alias("prompt_id")).distinct()
+    inline = paths.where("key = 'promptId' and scalar is not null").select("flow_id", F.col("scalar").alias("prompt_id")).distinct()
+    return prompts.unionByName(inline.join(prompts, ["flow_id", "prompt_id"], "left_semi")).distinct(), inline.join(prompts, ["flow_id", "prompt_id"], "left_anti")
+
+
+def settings(paths: DataFrame, nodes: DataFrame, excluded: list[str], most: int = 4000) -> DataFrame:
+    """Node-local scalars that are neither excluded nor ids, cut to 500 characters; the last keys go first beyond a byte budget."""
+    from pyspark.sql import Window
+
+    own = nodes.select("flow_id", "node_id", F.col("pointer").alias("parent"))
+    rows = paths.where(F.col("scalar").isNotNull() & ~F.col("key").isin(excluded) & ~F.rlike("scalar", F.lit(GUID_LIKE))).join(own, ["flow_id", "parent"])
+    rows = rows.select("flow_id", "node_id", "key", F.left("scalar", F.lit(500)).alias("value"))
+    used = F.sum(F.octet_length("key") + F.octet_length("value")).over(Window.partitionBy("flow_id", "node_id").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("used", used).where(F.col("used") <= most).drop("used")
+
+
+def finalize_warnings(warning: DataFrame) -> DataFrame:
+    return warning.withColumn("node_ids", F.array_sort("node_ids")).dropDuplicates(["flow_id", "code", "path", "node_ids", "message"])
+
+
+def collect_languages(rows: DataFrame) -> DataFrame:
+    """Lower-cased union of the supported and default languages of each flow."""
+    each = rows.select("flow_id", F.explode(F.array_compact(F.concat(F.coalesce("supported", F.array().cast("array<string>")), F.array("default")))).alias("l"))
+    return each.groupBy("flow_id").agg(F.array_sort(F.collect_set(F.lower("l"))).alias("languages"))
+
+
+def describe_expressions(paths: DataFrame, max_depth: int = 6, most: int = 200) -> DataFrame:
+    """Text of every expression wrapper, op(a, b), built bottom-up: a join a level."""
+    at = paths.where("key = 'operands' and type = 'ARRAY'").select("flow_id", F.col("parent").alias("op_at"), F.col("pointer").alias("list"))
+    args = paths.select("flow_id", F.col("parent").alias("list"), F.col("pointer").alias("arg"), F.col("key").cast("int").alias("i")).join(at, ["flow_id", "list"])
+    leaf = paths.where("key in ('text', 'val') and scalar is not null")
+    known = leaf.select("flow_id", F.regexp_replace("parent", "/config/(lit|ref)$", "").alias("arg"), F.col("scalar").alias("text"))
+    name = lambda p: F.element_at(F.split(p, "/"), -1)
+    for _ in range(max_depth):
+        done = args.join(known, ["flow_id", "arg"], "left").groupBy("flow_id", "op_at").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("text", F.lit("?")).alias("t")))).alias("parts"), F.count_if(F.col("text").isNull()).alias("open"))
+        text = F.concat(name(F.col("op_at")), F.lit("("), F.array_join(F.transform("parts", lambda x: x["t"]), ", "), F.lit(")"))
+        made = done.where("open = 0").select("flow_id", F.regexp_replace("op_at", "/config/[^/]+$", "").alias("arg"), text.alias("text"))
+        known = materialize(known.unionByName(made).distinct(), "expressions")
+    return made.select("flow_id", F.col("arg").alias("pointer"), F.left("text", F.lit(most)).alias("text"))

@@ -60,3 +60,16 @@ def asset_dedupe(asset: DataFrame) -> DataFrame:
     """One row a digest: asset(ord, name, content, used_by)."""
     rows = asset.withColumn("digest", F.concat(F.lit("sha256:"), F.sha2("content", 256))).withColumn("bytes", F.octet_length("content"))
     return rows.groupBy("digest").agg(F.min_by("name", "ord").alias("name"), F.min("bytes").cast("long").alias("bytes"), F.array_sort(F.collect_set("used_by")).alias("used_by"))
+
+
+def shallow_references(seeds: DataFrame, edge: DataFrame) -> DataFrame:
+    """Exactly one level of references of the seeds; never truncated."""
+    return edge.join(seeds.select(F.col("key").alias("src")).distinct(), "src", "left_semi").select("src", "dst", "via")
+
+
+def route_map(route: DataFrame, flow: DataFrame, slots: tuple[str, ...] = ("open", "closed", "holiday")) -> DataFrame:
+    """number, slot, flow and whether it is the number's primary (first filled slot): route(numbers array, one column a slot)."""
+    primary = F.coalesce(*(F.when(F.col(s).isNotNull(), F.lit(s)) for s in slots))
+    rows = route.select(F.explode("numbers").alias("number"), primary.alias("primary"), F.explode(F.create_map(*(x for s in slots for x in (F.lit(s), F.col(s))))).alias("slot", "flow_id"))
+    rows = rows.where("flow_id is not null").join(flow, "flow_id")
+    return rows.select("number", "slot", "flow_id", "name", (F.col("slot") == F.col("primary")).alias("primary"))
