@@ -9,7 +9,7 @@ its documents with all answers at hand. Only packed arrays are shuffled, never a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ def with_rest(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return df.select(*(c for c in df.columns if c != "rest"), *(F.col(f"rest.`{c}`").alias(c) for c in keep))
 
 
-def payload_table(block: int, buckets: Iterator[tuple[int, bytes]]) -> pa.Table:
+def payload_table(block: int, buckets: Iterable[tuple[int, bytes]]) -> pa.Table:
     rows = list(buckets)
     return pa.table(
         [pa.array([block] * len(rows), pa.int32()), pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())],
@@ -69,8 +69,8 @@ def by_bucket(table: pa.Table) -> list[bytes]:
     return [rows[i] for i in order]
 
 
-def split_sorted(keys: np.ndarray, bucket_of: np.ndarray, n: int) -> np.ndarray:
-    """Offsets of the n buckets in keys sorted by bucket."""
+def bucket_offsets(bucket_of: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the n buckets begins, and the last ends, in keys sorted by bucket."""
     return np.searchsorted(bucket_of, np.arange(n + 1))
 
 

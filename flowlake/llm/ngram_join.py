@@ -58,7 +58,7 @@ def _keys(sets: list[np.ndarray], same: list[int], n: int) -> tuple[np.ndarray,
 def _ask(n: int, size: int):
     def ask(table: pa.Table) -> pa.Table:
         keys, _, counts, _ = _keys(*_block_sets(table, size), n)
-        at = B.split_sorted(keys, keys >> np.uint64(32), n)
+        at = B.bucket_offsets(keys >> np.uint64(32), n)
         low, few = keys.astype(np.uint32), np.minimum(counts, 255).astype(np.uint8)
         return B.payload_table(table["block"][0].as_py(), ((k, low[at[k] : at[k + 1]].tobytes() + few[at[k] : at[k + 1]].tobytes()) for k in range(n)))
 

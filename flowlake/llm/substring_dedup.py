@@ -51,7 +51,7 @@ def _keys(hashes: np.ndarray, n: int) -> np.ndarray:
 def _ask_first(size: int, n: int):
     def ask(table: pa.Table) -> pa.Table:
         keys = np.unique(_keys(_windows(table, size)[0], n))
-        at = B.split_sorted(keys, keys >> np.uint64(32), n)
+        at = B.bucket_offsets(keys >> np.uint64(32), n)
         low = keys.astype(np.uint32)
         return B.payload_table(table["block"][0].as_py(), ((k, low[at[k] : at[k + 1]].tobytes()) for k in range(n)))
 
@@ -79,7 +79,7 @@ def _in_sorted(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def _flags(keys: np.ndarray, bucket: np.ndarray, n: int, answers: pa.Table) -> np.ndarray:
     """Bits of the answers, in the order of the block's sorted distinct keys."""
-    at = B.split_sorted(keys, bucket, n)
+    at = B.bucket_offsets(bucket, n)
     out = np.zeros(len(keys), bool)
     for k, bits in zip(np.sort(answers["bucket"].to_numpy()), B.by_bucket(answers)):
         size = at[k + 1] - at[k]
