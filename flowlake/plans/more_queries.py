@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from flowlake.functions import predicates as P
 from flowlake.operators import diff as D
 from flowlake.operators import grounding as V
 from flowlake.operators import incremental as C
@@ -132,3 +133,43 @@ def b10_evidence_index(spark, d):
 def b15_inspection(spark, d):
     some = F.array_join(F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 10), ",")
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("flow_id")).agg(F.count("*").alias("versions"), F.countDistinct("o_orderstatus").alias("states"), some.alias("first"))
+
+
+@query("SELECT o_orderkey AS flow_id FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'")
+def p2_changed_since(spark, d):
+    return P.changed_since(table(spark, d, "orders"), F.lit("2000-01-01").cast("timestamp"), "o_orderdate").select(F.col("o_orderkey").alias("flow_id"))
+
+
+@query("SELECT DISTINCT o_custkey * 3 AS flow_id, NOT EXISTS (FROM customer WHERE c_custkey = o_custkey * 3) AS unknown FROM orders")
+def p4_flow_scope(spark, d):
+    ids = table(spark, d, "orders").select((F.col("o_custkey") * 3).alias("flow_id"))
+    known, unknown = P.flow_scope(catalogue(spark, d), ids=ids)
+    return known.select("flow_id", F.lit(False).alias("unknown")).unionByName(unknown.select("flow_id", F.lit(True).alias("unknown")))
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('error', 'purchase')")
+def p9_severity_at_least(spark, d):
+    level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "critical").when(F.col("event_type") == "view", "warning").otherwise("info")
+    return table(spark, d, "events").where(P.severity_at_least(level, "error")).select("event_id")
+
+
+@query("SELECT event_id, event_type || '=' || user_id AS body FROM events")
+def p10_drop_reserved(spark, d):
+    body = F.create_map(F.col("event_type"), F.col("user_id").cast("string"), F.lit("_reserved"), F.lit("x"))
+    kept = F.map_entries(P.drop_reserved(body, ["_reserved"]))
+    return table(spark, d, "events").select("event_id", F.array_join(F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("body"))
+
+
+@query("SELECT r_name || ':' || n_name || ':' || a AS permission FROM nation JOIN region ON r_regionkey = n_regionkey, (VALUES ('view'), ('edit')) t(a) WHERE contains(n_name, '1')")
+def q20_permission_catalogue(spark, d):
+    """Domain, entity and action flattened from nested maps, filtered by a pattern on the entity."""
+    nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    tree = nation.groupBy("r_name").agg(F.map_from_entries(F.collect_list(F.struct("n_name", F.array(F.lit("view"), F.lit("edit"))))).alias("entities"))
+    flat = tree.select("r_name", F.explode("entities").alias("entity", "actions")).select("r_name", "entity", F.explode("actions").alias("action"))
+    return flat.where(F.rlike("entity", F.lit("1"))).select(F.concat_ws(":", "r_name", "entity", "action").alias("permission"))
+
+
+@query(f"WITH {J_SQL} SELECT DISTINCT flow_id, 'queue:s' || supp AS ref FROM item WHERE {OK}")
+def n21_manifest_references(spark, d):
+    deps = N.extract_dependencies(_paths(spark, d))
+    return deps.select("flow_id", F.concat_ws(":", "type", "dependency_id").alias("ref")).distinct()
