@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from flowlake.functions import text as X
 from flowlake.operators import diff as D
-from flowlake.operators import findings as Q
 from flowlake.operators import graph as G
 from flowlake.operators import grounding as V
 from flowlake.operators import quality as I
