@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from flowlake.llm import blocks as B
 from flowlake.llm.words import mix
