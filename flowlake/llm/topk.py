@@ -9,7 +9,7 @@ upper bound reaches the cutoff and that lack a slice are resolved exactly.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and rows without vec_id, take no
 part; scores beyond a long are an error; queries are compared with vectors of their own length; rows with one vec_id are candidates each on its own
-but for the query of that vec_id; other columns are ignored.
+but for the query of that vec_id, and as queries too: the pairs of all of them are ranked together; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from flowlake.llm.embedding_dedup import usable
 from flowlake.tables import materialize
 
 K, SLICES, ROWS, QUERIES = 10, 2, 8192, 256
-_LOCAL = "query_id long, row long, vec_id long, local long"
+_LOCAL = "query_id long, query_row long, row long, vec_id long, local long"
 
 
 def _matrix(column) -> np.ndarray:
@@ -41,12 +41,12 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _local(first: bool, k: int, slices: int):
     def tile(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("query_id", "row", "vec_id", "local")}
+        out = {c: [] for c in ("query_id", "query_row", "row", "vec_id", "local")}
         if len(queries) and len(rows):
             scores = _scores(_matrix(queries["part"]), _matrix(rows["part"]))
             ids, at, rest = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), rows["rest"].to_numpy()
             cutoffs = [None] * len(queries) if first else queries["cutoff"].to_pylist()
-            for own, query, cutoff, mine in zip(scores, queries["query_id"].to_numpy(), cutoffs, queries["rest"].to_numpy()):
+            for own, query, asking, cutoff, mine in zip(scores, queries["query_id"].to_numpy(), queries["query_row"].to_numpy(), cutoffs, queries["rest"].to_numpy()):
                 others = np.flatnonzero(ids != query)
                 if first:
                     if len(others) > k:
@@ -54,7 +54,7 @@ def _local(first: bool, k: int, slices: int):
                 elif cutoff is not None:
                     local = own[others]
                     others = others[(local * slices >= cutoff) & (local + mine * rest[others] * (1 + 1e-9) + 1 >= cutoff)]
-                for name, values in (("query_id", np.full(len(others), query)), ("row", at[others]), ("vec_id", ids[others]), ("local", own[others])):
+                for name, values in (("query_id", np.full(len(others), query)), ("query_row", np.full(len(others), asking)), ("row", at[others]), ("vec_id", ids[others]), ("local", own[others])):
                     out[name].append(values)
         return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for c, v in out.items()})
 
@@ -91,26 +91,27 @@ def top_k(vectors: DataFrame, is_query, k: int = K, slices: int = SLICES) -> Dat
         return tiles.groupBy(key).cogroup(dealt.groupBy(key)).applyInArrow(_local(first, k, slices), _LOCAL)
 
     def exact(pairs: DataFrame) -> DataFrame:
-        """The scores of distinct pairs of query_id and row."""
-        own = queries.select("query_id", F.col("v").alias("q"), "dim").dropDuplicates(["query_id", "dim"])
-        return pairs.join(rows.select("row", "v", "dim"), "row").join(own, ["query_id", "dim"]).select("query_id", "row", "vec_id", _dot("q", "v").alias("score"))
+        """The scores of distinct pairs of query_row and row."""
+        own = queries.select("query_row", F.col("v").alias("q"))
+        return pairs.join(rows.select("row", "v"), "row").join(own, "query_row").select("query_id", "query_row", "row", "vec_id", _dot("q", "v").alias("score"))
 
     # 1: local lists, and from their exact scores the cutoff
-    some = scan(queries, ["query_id"], True).select("query_id", "row", "vec_id").distinct()
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row")
-    cutoffs = exact(some).withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").alias("cutoff"))
-    asking = materialize(queries.join(cutoffs, "query_id", "left"), "queries")
+    some = scan(queries, ["query_id", "query_row"], True).select("query_id", "query_row", "row", "vec_id").distinct()
+    order = [F.desc("score"), F.col("vec_id"), F.col("row"), F.col("query_row")]
+    best = Window.partitionBy("query_row").orderBy(*order)
+    cutoffs = exact(some).withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_row", F.col("score").alias("cutoff"))
+    asking = materialize(queries.join(cutoffs, "query_row", "left"), "queries")
     # 2: all entries that may reach it
-    entries = scan(asking, ["query_id", "cutoff"], False)
-    sums = entries.groupBy("query_id", "row", "vec_id").agg(F.sum("local").alias("score"), F.count("*").alias("parts"))
-    sums = sums.join(asking.select("query_id", "cutoff").dropDuplicates(["query_id"]), "query_id")
+    entries = scan(asking, ["query_id", "query_row", "cutoff"], False)
+    sums = entries.groupBy("query_id", "query_row", "row", "vec_id").agg(F.sum("local").alias("score"), F.count("*").alias("parts"))
+    sums = sums.join(asking.select("query_row", "cutoff"), "query_row")
     left_out = F.lit(slices) - F.col("parts")
     sums = sums.where(F.col("cutoff").isNull() | (slices * F.col("score") + left_out * F.col("cutoff") >= slices * F.col("cutoff")))
     sums = materialize(sums, "entries")
     # 3: the rest of their scores
-    full = sums.where(left_out == 0).select("query_id", "row", "vec_id", "score")
-    full = full.unionByName(exact(sums.where(left_out > 0).select("query_id", "row", "vec_id")))
-    out = full.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    full = sums.where(left_out == 0).select("query_id", "query_row", "row", "vec_id", "score")
+    full = full.unionByName(exact(sums.where(left_out > 0).select("query_id", "query_row", "row", "vec_id")))
+    out = full.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -1,10 +1,32 @@
 """Operators do the whole job: cases in which an earlier version did less."""
 
+import math
+
+import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
-from flowlake.llm import lm_score
+from flowlake.llm import lm_score, topk
 
 
 def test_op4_keeps_its_classes_and_context():
     _, first, context = lm_score.windows(np.array([99]))
     assert lm_score.CLASSES >= 128 and len(first) > 1 and all(context[1:] >= 8)
+
+
+def test_op5_repeated_query_rows_are_queries_each(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda n=8: [float(np.float32(x)) for x in rng.normal(size=n)]
+    rows = [(i, draw()) for i in range(1, 60)] + [(7, draw()), (8, draw(6)), (9, draw(6))]
+    same, other = draw(), draw()
+    rows += [(100, same), (100, same), (200, other), (200, draw()), (300, draw()), (300, draw(6)), (400, same)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(topk.integer_vectors(df), F.col("vec_id") % 100 == 0).collect())
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+        con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+        assert got == sorted(con.execute(topk.ORACLE).fetchall())
+    ints = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    for q in (100, 200, 300, 400):
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for p, v in ints if p == q for i, w in ints if i != q and len(v) == len(w))[:10]
+        assert [(r[1], r[2], r[3]) for r in got if r[0] == q] == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
