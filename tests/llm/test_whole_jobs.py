@@ -14,6 +14,42 @@ def test_op4_keeps_its_classes_and_context():
     assert lm_score.CLASSES >= 128 and len(first) > 1 and all(context[1:] >= 8)
 
 
+def test_op4_learns_from_all_training_documents(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"alpha beta word{i} gamma") for i in range(1000)], "doc_id long, text string")
+    passed = []
+    rounds = lm_score.train_blocks
+    monkeypatch.setattr(lm_score, "train_blocks", lambda model, texts, *a: passed.append(texts) or rounds(model, texts, *a))
+    out = lm_score.score(df).toPandas()
+    learned = {i for r in passed[0].collect() for i, own in zip(r.doc_id, r.learns) if own}
+    assert learned == set(out.doc_id[~out.held_out]) and len(learned) > 850
+
+
+def test_op4_rounds_over_blocks_give_the_mean_of_their_passes(spark):
+    rng, end = np.random.default_rng(1), 11
+    counts = np.arange(12, 0, -1).astype(float)
+    blocks = [[rng.integers(0, 8 + 3 * b, 40).astype(np.int32) for _ in range(4)] for b in range(2)]
+    rows = [(b, [0] * 4, [False] * 4, [True] * 4, [0] * 4, [0] * 4, [0.0] * 4, [40] * 4, 0, np.concatenate(t).astype(np.uint16).tobytes()) for b, t in enumerate(blocks)]
+    got = lm_score.train_blocks(lm_score.Model(counts), spark.createDataFrame(rows, lm_score._TEXTS), end, np.uint16)
+    want, state = lm_score.Model(counts), {c: np.full_like(x, 1e-8) for c, x in lm_score.Model(counts).p.items()}
+    for k in range(lm_score.EPOCHS):
+        done = []
+        for t in blocks:
+            m, s = lm_score.Model(counts), {c: x.copy() for c, x in state.items()}
+            m.p = {c: x.copy() for c, x in want.p.items()}
+            texts = [np.concatenate([[end], x, [end]]).astype(np.int32) for x in t]
+            lm_score.learn(m, texts, s, k)
+            done.append((m.p, s, np.unique(np.concatenate([x[:-1] for x in texts]))))
+        for c in want.p:
+            for old, i in ((want.p, 0), (state, 1)):
+                if c != "emb":
+                    old[c] = (done[0][i][c] + done[1][i][c]) / 2
+                else:
+                    for v in range(12):
+                        own = [d[i][c][v] for d in done if v in d[2]]
+                        old[c][v] = sum(own) / len(own) if own else old[c][v]
+    assert all(np.allclose(got.p[c], want.p[c], atol=1e-3) for c in want.p)
+
+
 def test_op5_repeated_query_rows_are_queries_each(spark):
     rng = np.random.default_rng(4)
     draw = lambda n=8: [float(np.float32(x)) for x in rng.normal(size=n)]
