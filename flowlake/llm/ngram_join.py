@@ -213,14 +213,21 @@ def _rest(pending: DataFrame, components: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(_verify(percent), _EDGES)
 
 
+def _of_one_id(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between the classes of rows with one doc_id."""
+    own = sets.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep")
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").select("doc_id", "a")
+    return own.join(several, "doc_id").where("rep > a").select("a", F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id of every document."""
     n = B.block_count(docs)
     sets = materialize(B.exchange(B.with_block(docs, n), _ask(n, words), _answer, _finish(n, words, percent), _SETS), "sets")
     classes = sets.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     pending = sets.where("shingles is not null").join(classes, ["d1", "d2"]).where("doc_id = rep").drop("d1", "d2", "doc_id")
-    pending = materialize(pending.dropDuplicates(["rep"]), "pending")
-    found = materialize(_tiles_by_smallest_hash(pending, percent), "links")
+    pending = materialize(pending, "pending")  # a row a set; sets whose smallest doc_id is the same are one node
+    found = materialize(_tiles_by_smallest_hash(pending, percent).unionByName(_of_one_id(sets, classes)), "links")
     more = _rest(pending, connected_components(found), percent)
     components = connected_components(found.unionByName(more))
     out = sets.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")

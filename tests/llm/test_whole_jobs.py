@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from flowlake.llm import lm_score, topk
+from flowlake.llm import lm_score, ngram_join, topk
 
 
 def test_op4_keeps_its_classes_and_context():
@@ -66,3 +66,19 @@ def test_op5_repeated_query_rows_are_queries_each(spark):
     for q in (100, 200, 300, 400):
         best = sorted((-sum(a * b for a, b in zip(v, w)), i) for p, v in ints if p == q for i, w in ints if i != q and len(v) == len(w))[:10]
         assert [(r[1], r[2], r[3]) for r in got if r[0] == q] == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
+def test_op10_all_texts_of_one_id_link(spark):
+    rng = np.random.default_rng(6)
+    draw = lambda: [f"w{i}" for i in rng.integers(0, 10**6, 60)]
+    near = lambda t: " ".join([*t[:-1], "other"])
+    rows, want = [], {}
+    for k in range(12):  # id 10 k has two texts; each has a near copy, and the second an exact copy under a smaller id
+        a, b = draw(), draw()
+        rows += [(10 * k + 5, " ".join(a)), (10 * k + 5, " ".join(b)), (10 * k + 6, near(a)), (10 * k + 7, near(b))]
+        want |= {10 * k + 5: 10 * k + 5, 10 * k + 6: 10 * k + 5, 10 * k + 7: 10 * k + 5}
+        if k % 2:
+            rows.append((10 * k + 3, " ".join(b)))
+            want = {i: 10 * k + 3 if i // 10 == k else c for i, c in want.items()} | {10 * k + 3: 10 * k + 3}
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
