@@ -160,8 +160,9 @@ def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
     if not splits_at_spaces(path):
         raise ValueError("the tokenizer must drop white space and join pieces by one space")
     n = B.block_count(docs, BLOCK_BYTES)
+    buckets = B.bucket_count(n)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, n_tokens long, ids array<int>, decoded string"
-    return B.exchange(B.with_block(docs, n), _ask(n), _answer(path), _finish(path, n, digest), schema)
+    return B.exchange(B.with_block(docs, n), _ask(buckets), _answer(path), _finish(path, buckets, digest), schema, n)
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Line dedup: a sharded minimal perfect hash over distinct line hashes.
 
-Blocks of documents send their distinct line hashes, with the number of documents that hold each, to hash
-shards. A shard sums the counts and builds a minimal perfect hash (levels of bit arrays, a key rests at the
-first level where its slot is its own) over its distinct hashes, which indexes a compact array of 16-bit
-fingerprints and one of counts. Documents probe these arrays, once for each distinct line of a block, and drop
-the lines found in at least ``min_docs`` documents. No line and no row for a line is ever joined.
+Blocks of documents give a row for each distinct line key they hold: its 128-bit hash and the number of the block's
+documents with it. Summed by hash, these are the distinct lines of the corpus. They are dealt to shards, and each shard
+builds a minimal perfect hash (levels of bit arrays, a key rests at the first level where its slot is its own), which indexes
+a compact array of 16-bit fingerprints and one of counts. The shard's arrays are one row. The blocks'
+keys then probe the arrays, shard by shard, and only those of lines found in at least ``min_docs`` documents return
+to their blocks, where these lines go. All rows grow with the lines; a line that all documents share is one row a block.
 
 A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased; keys are told apart by a
-64-bit hash. Defined results: null or empty text is one empty line, which stays; keys shorter than
-``min_chars`` code points stay; rows with equal or null doc_id are separate documents; other columns are ignored.
+128-bit hash. Defined results: null or empty text is one empty line, which stays; keys shorter than
+``min_chars`` code points stay; rows with equal or null doc_id are separate documents; other columns are ignored; an
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,26 +21,28 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from flowlake.llm import blocks as B
-from flowlake.llm.words import mix
+from flowlake.llm.words import KEY, mix
 
 SPACES = b" \t\n\r\x0b\x0c"
-INDEX = "bucket int, n_keys long, index binary"
+KEYS, INDEX = "block int, hi long, lo long, docs long", "shard int, n_keys long, index binary"
+_KEYS = pa.schema([("block", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("docs", pa.int64())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _slots(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-    return (mix(keys + np.uint64((int(_STEP) * (level + 1)) % (1 << 64))) % np.uint64(size)).astype(np.int64)
+    return (mix(mix(keys["hi"]) + keys["lo"] + np.uint64((int(_STEP) * (level + 1)) % (1 << 64))) % np.uint64(size)).astype(np.int64)
 
 
 def _fingerprint(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys) >> np.uint64(48)).astype(np.uint16)
+    return (mix(keys["lo"] ^ mix(keys["hi"])) >> np.uint64(48)).astype(np.uint16)
 
 
 def build_index(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Serialized minimal perfect hash of the distinct keys with fingerprint and count arrays."""
+    """Serialized minimal perfect hash of the distinct KEY rows with fingerprint and count arrays."""
     sizes, bits, rest = [], [], keys
     while len(rest):
         size = (3 * len(rest) // 128 + 1) * 64
@@ -51,102 +55,117 @@ def build_index(keys: np.ndarray, counts: np.ndarray) -> bytes:
     empty = [head.tobytes(), *(b.tobytes() for b in bits)]
     if not len(keys):
         return b"".join(empty)
-    at = lookup(b"".join(empty), keys, None)
+    at = Index(b"".join(empty)).places(keys)
     prints, found = np.zeros(len(keys), np.uint16), np.zeros(len(keys), np.uint32)
     prints[at], found[at] = _fingerprint(keys), counts
     return b"".join([*empty, prints.tobytes(), found.tobytes()])
 
 
-def lookup(index: bytes, keys: np.ndarray, missing: int | None = 0) -> np.ndarray:
-    """Counts of the keys, ``missing`` for those not in the index; with missing None, their places."""
-    n, levels = np.frombuffer(index, np.int64, 2)
-    sizes = np.frombuffer(index, np.int64, int(levels), 16)
-    offset, before = 16 + 8 * int(levels), 0
-    place, open_ = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-    for level, size in enumerate(sizes):
-        bits = np.unpackbits(np.frombuffer(index, np.uint8, int(size) // 8, offset)).astype(bool)
-        rank = np.cumsum(bits) - 1 + before
-        slot = _slots(keys[open_], level, int(size))
-        hit = bits[slot]
-        place[open_[hit]] = rank[slot[hit]]
-        open_ = open_[~hit]
-        offset, before = offset + int(size) // 8, before + int(bits.sum())
-    if missing is None:
+class Index:
+    """The arrays of a shard, read once for any number of probes."""
+
+    def __init__(self, index: bytes):
+        n, levels = np.frombuffer(index, np.int64, 2)
+        offset, before, self.levels = 16 + 8 * int(levels), 0, []
+        for size in np.frombuffer(index, np.int64, int(levels), 16).tolist():
+            bits = np.unpackbits(np.frombuffer(index, np.uint8, size // 8, offset)).astype(bool)
+            self.levels.append((size, bits, np.cumsum(bits) - 1 + before))
+            offset, before = offset + size // 8, before + int(bits.sum())
+        arrays = len(index) > offset
+        self.prints = np.frombuffer(index, np.uint16, int(n), offset) if arrays else np.zeros(0, np.uint16)
+        self.counts = np.frombuffer(index, np.uint32, int(n), offset + 2 * int(n)) if arrays else np.zeros(0, np.uint32)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each indexed key; -1, or that of another key, for others."""
+        place, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        for level, (size, bits, rank) in enumerate(self.levels):
+            slot = _slots(keys[left], level, size)
+            hit = bits[slot]
+            place[left[hit]] = rank[slot[hit]]
+            left = left[~hit]
         return place
-    out = np.full(len(keys), missing, np.int64)
-    prints = np.frombuffer(index, np.uint16, int(n), offset)
-    counts = np.frombuffer(index, np.uint32, int(n), offset + 2 * int(n))
-    known = np.flatnonzero(place >= 0)
-    known = known[prints[place[known]] == _fingerprint(keys[known])]
-    out[known] = counts[place[known]]
-    return out
+
+    def lookup(self, keys: np.ndarray, missing: int = 0) -> np.ndarray:
+        """Counts of the keys, ``missing`` for those without their fingerprint in the index."""
+        place = self.places(keys)
+        known = np.flatnonzero(place >= 0)
+        known = known[self.prints[place[known]] == _fingerprint(keys[known])]
+        out = np.full(len(keys), missing, np.int64)
+        out[known] = self.counts[place[known]]
+        return out
 
 
 def _lines(table: pa.Table, min_chars: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Lines of each document; hashes of their keys (0 for too short ones) and the documents' offsets."""
-    docs, hashes, at = [], [], [0]
+    """Lines of each document; hashes of their keys (zeros for too short ones) and the documents' offsets."""
+    docs, hashes, at, total = [], [], [0], 0
     for text in table["text"]:
         lines = (text.as_py() or "").encode().split(b"\n")
         for line in lines:
             key = line.strip(SPACES).lower()
             short = len(key) < min_chars or min_chars > 1 and len(key.decode()) < min_chars
-            hashes.append(0 if short else xxhash.xxh3_64_intdigest(key) | 1)
+            hashes.append(b"\0" * 16 if short else xxhash.xxh3_128_digest(key))
         docs.append(lines)
-        at.append(len(hashes))
-    return docs, np.array(hashes, np.uint64), np.array(at)
+        total += len(lines)
+        at.append(total)
+    return docs, np.frombuffer(b"".join(hashes), KEY), np.array(at)
+
+
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and for each hash the place of its own."""
+    order = np.lexsort((hashes["lo"], hashes["hi"]))
+    own = hashes[order]
+    first = np.ones(len(own), bool)
+    first[1:] = own[1:] != own[:-1]
+    inverse = np.zeros(len(own), np.int64)
+    inverse[order] = np.cumsum(first) - 1
+    return own[first], inverse
 
 
-def _by_shard(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the keys by shard, and the shards' offsets."""
-    shard = (keys >> np.uint64(33)) % np.uint64(n)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(n + 1))
+def _long(values: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(values).view(np.int64), pa.int64())
+
+
+def _keys(table: pa.Table) -> np.ndarray:
+    out = np.zeros(len(table), KEY)
+    for c in ("hi", "lo"):
+        out[c] = table[c].to_numpy().view(np.uint64)
+    return out
 
 
-def _ask(n: int, min_chars: int):
+def _ask(min_chars: int):
     def ask(table: pa.Table) -> pa.Table:
         _, hashes, at = _lines(table, min_chars)
-        of_doc = [np.unique(hashes[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
-        keys, counts = np.unique(np.concatenate(of_doc), return_counts=True)
-        keys, counts = keys[keys > 0], counts[keys > 0].astype(np.uint32)
-        order, to = _by_shard(keys, n)
-        parts = (order[to[k] : to[k + 1]] for k in range(n))
-        return B.payload_table(table["block"][0].as_py(), ((k, keys[p].tobytes() + counts[p].tobytes()) for k, p in enumerate(parts)))
+        keys, inverse = _distinct(hashes)
+        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        pairs = np.unique(inverse * np.int64(len(at)) + doc)  # a line counts once a document
+        docs = np.bincount(pairs // len(at), minlength=len(keys))
+        some = (keys["hi"] != 0) | (keys["lo"] != 0)
+        block = pa.array(np.full(int(some.sum()), table["block"][0].as_py()), pa.int32())
+        return pa.table([block, _long(keys["hi"][some]), _long(keys["lo"][some]), pa.array(docs[some], pa.int64())], schema=_KEYS)
 
     return ask
 
 
-def _asked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    m = len(payload) // 12
-    return np.frombuffer(payload, np.uint64, m), np.frombuffer(payload, np.uint32, m, 8 * m)
-
-
 def _build(table: pa.Table) -> pa.Table:
-    asked = [_asked(p) for p in B.payloads(table)]
-    keys, inverse = np.unique(np.concatenate([a for a, _ in asked]), return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate([c for _, c in asked]), len(keys))
-    index = build_index(keys, np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
-    return pa.table([table["bucket"].slice(0, 1).cast(pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([index], pa.binary())], names=["bucket", "n_keys", "index"])
+    counts = np.minimum(table["docs"].to_numpy(), 0xFFFFFFFF).astype(np.uint32)
+    index = build_index(_keys(table), counts)
+    return pa.table([table["shard"].slice(0, 1).cast(pa.int32()), pa.array([len(table)], pa.int64()), pa.array([index], pa.binary())], names=["shard", "n_keys", "index"])
 
 
 def _probe(min_docs: int):
     def probe(table: pa.Table, index: pa.Table) -> pa.Table:
-        arrays = index["index"][0].as_py() if len(index) else build_index(np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-        return B.answers_table(table, [np.packbits(lookup(arrays, _asked(p)[0]) >= min_docs).tobytes() for p in B.payloads(table)])
+        found = Index(index["index"][0].as_py() if len(index) else build_index(np.zeros(0, KEY), np.zeros(0)))
+        return table.select(["block", "hi", "lo"]).filter(pa.array(found.lookup(_keys(table)) >= min_docs))
 
     return probe
 
 
-def _finish(n: int, min_chars: int, digest: bool):
-    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+def _finish(min_chars: int, digest: bool):
+    def finish(table: pa.Table, common: pa.Table) -> pa.Table:
         docs, hashes, at = _lines(table, min_chars)
-        keys = np.unique(hashes)
-        keys = keys[keys > 0]
-        order, to = _by_shard(keys, n)
-        common = np.zeros(len(keys), bool)
-        for k, bits in zip(answers["bucket"].to_pylist(), B.payloads(answers)):
-            common[order[to[k] : to[k + 1]]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=to[k + 1] - to[k])
-        drop = np.isin(hashes, keys[common])
+        keys, inverse = _distinct(hashes)
+        gone_keys = np.isin(keys, _keys(common)) if len(common) else np.zeros(len(keys), bool)
+        drop = gone_keys[inverse]
         dropped, kept = [], []
         for i, lines in enumerate(docs):
             gone = drop[at[i] : at[i + 1]]
@@ -158,11 +177,20 @@ def _finish(n: int, min_chars: int, digest: bool):
     return finish
 
 
+def _sharded(blocks: DataFrame, shards: int, min_chars: int) -> DataFrame:
+    """KEYS rows of the blocks, each in its shard."""
+    asked = blocks.groupBy("block").applyInArrow(_ask(min_chars), KEYS)
+    return asked.withColumn("shard", F.pmod(F.xxhash64("hi", "lo"), F.lit(shards)).cast("int")).repartition("shard")
+
+
+def _index(asked: DataFrame) -> DataFrame:
+    return asked.groupBy("shard", "hi", "lo").agg(F.sum("docs").alias("docs")).groupBy("shard").applyInArrow(_build, INDEX)
+
+
 def line_index(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """One row a shard: its number of distinct lines and the serialized arrays (see ``lookup``)."""
+    """One row a shard: its number of distinct lines and the serialized arrays (see ``Index``)."""
     n = B.block_count(docs)
-    asked = B.with_block(docs, n).groupBy("block").applyInArrow(_ask(n, min_chars), B.PAYLOAD)
-    return asked.groupBy("bucket").applyInArrow(_build, INDEX)
+    return _index(_sharded(B.with_block(docs, n), n, min_chars))
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -170,11 +198,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, d
     then the columns to keep."""
     n = B.block_count(docs)
     blocks = B.with_block(docs, n, keep)
-    asked = blocks.groupBy("block").applyInArrow(_ask(n, min_chars), B.PAYLOAD)
-    index = asked.groupBy("bucket").applyInArrow(_build, INDEX)
-    answered = asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(_probe(min_docs), B.PAYLOAD)
+    asked = _sharded(blocks, n, min_chars)
+    common = asked.groupBy("shard").cogroup(_index(asked).groupBy("shard")).applyInArrow(_probe(min_docs), "block int, hi long, lo long")
     schema = B.schema_with_rest("doc_id long, n_lines long, n_dropped long, kept string", blocks)
-    out = blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_finish(n, min_chars, digest), schema)
+    out = blocks.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(_finish(min_chars, digest), schema)
     return B.with_rest(out, keep)
 
 
@@ -185,10 +212,11 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH lines AS (
-  SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
-common AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.key IS NOT NULL) AS n_dropped,
+  SELECT row, doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT row, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+    FROM (SELECT *, row_number() OVER () AS row FROM documents))),
+common AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.key IS NOT NULL) AS n_dropped,
   sha256(coalesce(string_agg(CASE WHEN c.key IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
-FROM lines LEFT JOIN common c USING (key) GROUP BY doc_id
+FROM lines LEFT JOIN common c USING (key) GROUP BY row
 """

@@ -1,100 +1,129 @@
 """N-gram Jaccard join: components of documents whose word-shingle sets overlap by a share.
 
-1. Blocks of documents ask hash buckets in how many documents each of their shingles occurs (block exchange of
-   packed fingerprints). Documents with equal sets become one class. A class of which fewer than ``percent`` of the
-   shingles occur elsewhere can link with nothing and is done.
-2. The others meet in tiles by the smallest hash of their set under two mixes: a tile holds a bounded number of
-   classes in order of size, compares only sizes within the ratio, and bounds the overlap from above by the bit
-   counts of hashed bitmaps before it intersects the sorted arrays. Linked classes become components.
-3. What is left is exact: two sets that link share one of their rarest n - ceil(percent * n) + 1 shingles. Where such
-   a shingle occurs in more than one component, the classes outside its largest component are compared in size-banded
-   tiles with all its classes, again bitmaps first; pairs that pass are intersected exactly.
+1. Copies of a text collapse in the tasks that read them. Blocks of the distinct texts ask hash buckets in how many of them
+   each shingle occurs (block exchange of packed fingerprints). Texts with equal sets are one class. A class of which fewer
+   than ``percent`` of the shingles occur elsewhere can link with nothing and is done.
+2. The others meet in tiles by the smallest hash of their set under two mixes. A tile holds a bounded number of classes;
+   of a larger group about ``LEADS`` classes go to all its tiles, so that copies of one document come together. Linked
+   classes become components; pairs within one are compared no more.
+3. What is left is exact: two sets that link share one of their rarest n - ceil(percent * n) + 1 shingles. Shingles that the
+   same classes hold count once. Where such a shingle occurs in more than one component, the classes outside its largest
+   component (probes) are compared with all its classes (builds) in size-banded tiles: bands are as wide as the ratio of
+   sizes that can link, so only neighbouring bands meet, and probes and builds of a band are dealt to tiles of at most about
+   ``TILE`` of each. Within a tile the sizes, the places of the shingle in the two orders and the bit counts of hashed
+   bitmaps bound the overlap from above; what passes is intersected as sorted arrays there and then. A tile returns the links
+   that join components, at most one fewer than it has classes, never its pairs.
 
 Defined results: a text with fewer words than the shingle is one shingle; without words, the set is empty and links
-with nothing; rows without doc_id link with nothing and get a null component; rows with one doc_id are one node;
-other columns are ignored.
+with nothing; rows with one doc_id are one node, whatever their texts; rows without doc_id are documents each, and a component
+without any doc_id has a null component_id; other columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.llm import blocks as B
 from flowlake.llm.components import connected_components
 from flowlake.llm.words import mix, shingle_set, word_hashes
-from flowlake.tables import materialize
+from flowlake.tables import discard, materialize
 
-WORDS, PERCENT, TILE = 5, 75, 512
-_BITS = 1024
-_SETS = "doc_id long, n long, d1 long, d2 long, shingles binary, prefix array<long>, k1 long, k2 long"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64())), ("k1", pa.int64()), ("k2", pa.int64())])
+WORDS, PERCENT, TILE, LEADS = 5, 75, 256, 8
+BITS = 2048
+_SETS = "key binary, n long, d1 long, d2 long, shingles binary, prefix array<long>, place array<long>, k1 long, k2 long"
+_SETS_ARROW = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("shingles", pa.binary()), ("prefix", pa.list_(pa.int64())), ("place", pa.list_(pa.int64())), ("k1", pa.int64()), ("k2", pa.int64())])
 _EDGES = "a long, b long"
+_MIXES = (np.uint64(0x51ED27), np.uint64(0xA3C59AC3))
+
+
+def _first_of_each(n: int):
+    def run(batches):
+        """The texts of a task without copies, each dealt to the block of its key."""
+        seen: set[bytes] = set()
+        for batch in batches:
+            rows = []
+            for i, key in enumerate(batch["key"].to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    rows.append(i)
+            part = batch.take(pa.array(rows, pa.int64()))
+            block = [int.from_bytes(k[:8]) % n for k in part["key"].to_pylist()]
+            yield pa.record_batch([pa.array(block, pa.int32()), part["key"], part["text"]], names=["block", "key", "text"])
 
+    return run
 
-def _block_sets(table: pa.Table, size: int) -> tuple[list[np.ndarray], list[int]]:
-    """Shingle sets of the block's documents; for each the row of the first document with the same set."""
-    words, at = word_hashes(table["text"], lower=True)
-    sets = [shingle_set(words[at[i] : at[i + 1]], size) for i in range(len(at) - 1)]
-    first: dict[bytes, int] = {}
-    ids = table["doc_id"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))  # rows without id never stand for others
-    same = [0] * len(sets)
-    for i in order:
-        same[i] = first.setdefault(xxhash.xxh3_128_digest(sets[i].tobytes()), i)
-    return sets, same
 
+def _block_sets(table: pa.Table, size: int) -> tuple[list[bytes], list[np.ndarray]]:
+    """Keys and shingle sets of the block's distinct texts."""
+    keys = table["key"].to_pylist()
+    first = sorted(dict(zip(reversed(keys), range(len(keys) - 1, -1, -1))).values())
+    words, at = word_hashes(table["text"].take(pa.array(first, pa.int64())), lower=True)
+    return [keys[i] for i in first], [shingle_set(words[at[i] : at[i + 1]], size) for i in range(len(first))]
 
-def _keys(sets: list[np.ndarray], same: list[int], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    own = [i for i, j in enumerate(same) if i == j and len(sets[i])]
-    every = np.concatenate([sets[i] for i in own]) if own else np.zeros(0, np.uint64)
+
+def _fingerprints(sets: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of all shingles (bucket, 32-bit fingerprint), the place of each shingle's own, and their counts."""
+    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     keys = ((every >> np.uint64(32)) % np.uint64(n)) << np.uint64(32) | (every & np.uint64(0xFFFFFFFF))
-    return *np.unique(keys, return_inverse=True, return_counts=True), own
+    return np.unique(keys, return_inverse=True, return_counts=True)
 
 
 def _ask(n: int, size: int):
     def ask(table: pa.Table) -> pa.Table:
-        keys, _, counts, _ = _keys(*_block_sets(table, size), n)
-        at = B.bucket_offsets(keys >> np.uint64(32), n)
-        low, few = keys.astype(np.uint32), np.minimum(counts, 255).astype(np.uint8)
-        return B.payload_table(table["block"][0].as_py(), ((k, low[at[k] : at[k + 1]].tobytes() + few[at[k] : at[k + 1]].tobytes()) for k in range(n)))
+        keys, _, counts = _fingerprints(_block_sets(table, size)[1], n)
+        at, low, pack = B.bucket_offsets(keys >> np.uint64(32), n), keys.astype(np.uint32), zstandard.ZstdCompressor(level=1)
+        counts = counts.astype(np.uint32)
+        rows = ((k, np.uint32(at[k + 1] - at[k]).tobytes() + low[at[k] : at[k + 1]].tobytes() + pack.compress(counts[at[k] : at[k + 1]].tobytes())) for k in range(n) if at[k + 1] > at[k])
+        return B.payload_table(table["block"][0].as_py(), rows)
 
     return ask
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """In how many documents each key occurs, 255 at most."""
-    rows = B.payloads(table)
-    low = [np.frombuffer(p, np.uint32, len(p) // 5) for p in rows]
-    counts = [np.frombuffer(p, np.uint8, len(p) // 5, len(p) // 5 * 4) for p in rows]
+    """In how many texts each key occurs."""
+    low, counts = [], []
+    for p in B.payloads(table):
+        m = int(np.frombuffer(p, np.uint32, 1)[0])
+        low.append(np.frombuffer(p, np.uint32, m, 4))
+        counts.append(np.frombuffer(zstandard.decompress(p[4 + 4 * m :]), np.uint32))
     keys, inverse = np.unique(np.concatenate(low), return_inverse=True)
-    total = np.minimum(np.bincount(inverse, np.concatenate(counts), len(keys)), 255).astype(np.uint8)[inverse]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in low])])
-    return B.answers_table(table, [total[at[i] : at[i + 1]].tobytes() for i in range(len(rows))])
+    total = np.bincount(inverse, np.concatenate(counts), len(keys)).astype(np.uint32)[inverse]
+    at, pack = np.concatenate([[0], np.cumsum([len(x) for x in low])]), zstandard.ZstdCompressor(level=1)
+    return B.answers_table(table, [pack.compress(total[at[i] : at[i + 1]].tobytes()) for i in range(len(low))])
+
+
+def prefix_size(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
 
 
-def _finish(n: int, size: int, percent: int):
+def _finish(size: int, percent: int, n: int):
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return _SETS_ARROW.empty_table()
-        sets, same = _block_sets(table, size)
-        _, inverse, _, own = _keys(sets, same, n)
-        found = np.frombuffer(b"".join(B.by_bucket(answers)), np.uint8)[inverse] if own else np.zeros(0, np.uint8)
-        ids, out, rows, at = table["doc_id"].to_pylist(), [], {}, 0
-        for i in own:
-            s, df = sets[i], found[at : at + len(sets[i])]
+        names, sets = _block_sets(table, size)
+        keys, inverse, _ = _fingerprints(sets, n)
+        found, to = np.zeros(len(keys), np.uint32), B.bucket_offsets(keys >> np.uint64(32), n)
+        for k, payload in B.by_bucket(answers).items():
+            found[to[k] : to[k + 1]] = np.frombuffer(zstandard.decompress(payload), np.uint32)
+        found, at, out = found[inverse], 0, []
+        for name, s in zip(names, sets):
+            df = found[at : at + len(s)]
             at += len(s)
-            if 100 * int((df > 1).sum()) >= percent * len(s):
-                take = len(s) - -(-percent * len(s) // 100) + 1
-                rarest = np.lexsort((s, df))[:take]
-                rows[i] = (s.tobytes(), s[rarest[df[rarest] > 1]].view(np.int64), *(int(mix(s ^ np.uint64(c)).min().view(np.int64)) for c in (0x51ED27, 0xA3C59AC3)))
-        for i, j in enumerate(same):
-            d = xxhash.xxh3_128_intdigest(sets[i].tobytes()) if len(sets[i]) and ids[i] is not None else None
-            halves = (None, None) if d is None else tuple(np.array([d >> 64, d & (1 << 64) - 1], np.uint64).view(np.int64).tolist())
-            out.append((ids[i], len(sets[i]), *halves, *(rows[i] if i == j and i in rows and d is not None else (None,) * 4)))
+            digest = xxhash.xxh3_128_intdigest(s.tobytes())
+            halves = np.array([digest >> 64, digest & (1 << 64) - 1], np.uint64).view(np.int64).tolist() if len(s) else (None, None)
+            own = (None,) * 5
+            if len(s) and 100 * int((df > 1).sum()) >= percent * len(s):
+                rarest = np.lexsort((s, df))[: prefix_size(len(s), percent)]
+                place = np.flatnonzero(df[rarest] > 1)
+                own = (s.tobytes(), s[rarest[place]].view(np.int64), place, *(int(mix(s ^ c).min().view(np.int64)) for c in _MIXES))
+            out.append((name, len(s), *halves, *own))
         return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out), _SETS_ARROW)], schema=_SETS_ARROW)
 
     return finish
@@ -106,11 +135,10 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int):
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), _BITS // 64), np.uint64)
-    for i, s in enumerate(sets):
-        bit = s % np.uint64(_BITS)
-        np.bitwise_or.at(out[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out
+    bits = np.zeros((len(sets), BITS), bool)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits[row, np.concatenate(sets) % np.uint64(BITS) if sets else []] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
 
 
 def may_link(n: int, bits: np.ndarray, others: np.ndarray, other_bits: np.ndarray, percent: int) -> np.ndarray:
@@ -124,10 +152,6 @@ def may_link(n: int, bits: np.ndarray, others: np.ndarray, other_bits: np.ndarra
     return out
 
 
-def _sets(table: pa.Table, column: str = "shingles") -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in table[column]]
-
-
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted arrays."""
     i = np.searchsorted(a, b)
@@ -135,104 +159,147 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[i] == b).sum())
 
 
+class _Tile:
+    """Classes of a tile with their sets, and the links found so far."""
+
+    def __init__(self, table: pa.Table, percent: int, labels: np.ndarray | None = None):
+        self.sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        self.sizes, self.ids, self.percent = table["n"].to_numpy(), table["cls"].to_numpy(), percent
+        self.bits, self.label, self.edges = bitmaps(self.sets), np.arange(len(self.sets)) if labels is None else labels.copy(), []
+
+    def compare(self, i: int, others: np.ndarray) -> None:
+        """Link i with those of the others that are not yet of its component."""
+        others = others[self.label[others] != self.label[i]]
+        for j in others[may_link(int(self.sizes[i]), self.bits[i], self.sizes[others], self.bits[others], self.percent)]:
+            if self.label[i] != self.label[j] and _overlap(self.sets[i], self.sets[j]) >= needed(int(self.sizes[i]), int(self.sizes[j]), self.percent):
+                self.edges.append((self.ids[i], self.ids[j]))
+                self.label[self.label == self.label[j]] = self.label[i]
+
+    def links(self) -> pa.Table:
+        return pa.table([pa.array([e[k] for e in self.edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def _tile(percent: int):
     def tile(table: pa.Table) -> pa.Table:
-        """Star edges of the components that links within the tile make."""
-        table = table.sort_by("n")
-        sets, sizes, ids = _sets(table), table["n"].to_numpy(), table["rep"].to_numpy()
-        bits, label = bitmaps(sets), np.arange(len(sets))
-        for i in range(len(sets) - 1):
-            for j in i + 1 + np.flatnonzero(may_link(int(sizes[i]), bits[i], sizes[i + 1 :], bits[i + 1 :], percent)):
-                if label[i] != label[j] and _overlap(sets[i], sets[j]) >= needed(int(sizes[i]), int(sizes[j]), percent):
-                    label[label == label[j]] = label[i]
-        at = np.flatnonzero(label != np.arange(len(sets)))
-        return pa.table({"a": pa.array(ids[at], pa.int64()), "b": pa.array(ids[label[at]], pa.int64())})
+        one = _Tile(table.sort_by("n"), percent)
+        for i in range(len(one.sets) - 1):
+            one.compare(i, np.arange(i + 1, len(one.sets)))
+        return one.links()
 
     return tile
 
 
 def _probe_tile(percent: int):
     def tile(table: pa.Table) -> pa.Table:
-        """Pairs of different components, one of them a probe, that sizes and bitmaps don't rule out."""
-        ids, sizes, comp = table["rep"].to_numpy(), table["n"].to_numpy(), table["component"].to_numpy()
-        bits = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in table["bits"]), np.uint64).reshape(len(ids), -1)
-        probe = table["probe"].to_numpy(zero_copy_only=False)
-        build = np.flatnonzero(table["build"].to_numpy(zero_copy_only=False))
-        a, b = [], []
+        one = _Tile(table, percent, table["component"].to_numpy())
+        probe, also, place = (table[c].to_numpy(zero_copy_only=False) for c in ("probe", "outside", "place"))
+        build, room = np.flatnonzero(~probe), one.sizes - place
         for i in np.flatnonzero(probe):
-            ok = may_link(int(sizes[i]), bits[i], sizes[build], bits[build], percent) & (comp[build] != comp[i])
-            j = build[ok]
-            a.append(np.minimum(ids[i], ids[j]))
-            b.append(np.maximum(ids[i], ids[j]))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+            others = build[~also[build] | (one.ids[build] > one.ids[i])]  # two probes meet once
+            others = others[np.minimum(room[i], room[others]) >= needed(int(one.sizes[i]), one.sizes[others], percent)]
+            one.compare(i, others)
+        return one.links()
 
     return tile
 
 
-def _bits(batches):
-    for batch in batches:
-        rows = bitmaps(_sets(batch))
-        columns = [batch[c] for c in batch.schema.names if c != "shingles"]
-        yield pa.record_batch([*columns, pa.array([r.tobytes() for r in rows], pa.binary())], names=[*(c for c in batch.schema.names if c != "shingles"), "bits"])
-
-
-def _verify(percent: int):
-    def verify(batches):
-        for batch in batches:
-            left, right = _sets(batch, "left"), _sets(batch, "right")
-            yield batch.select(["a", "b"]).filter(pa.array([_overlap(x, y) >= needed(len(x), len(y), percent) for x, y in zip(left, right)], pa.bool_()))
-
-    return verify
+def _by_smallest_hash(pending: DataFrame, percent: int) -> DataFrame:
+    """Links found in tiles of about TILE classes that share a smallest hash."""
+    keys = pending.select("cls", F.posexplode(F.array("k1", "k2")).alias("which", "key"))
+    groups = keys.groupBy("which", "key").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / TILE).cast("int"))
+    leads = (F.col("parts") > 1) & (F.pmod(F.xxhash64("cls", "key"), "count") < LEADS)
+    part = F.when(leads, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), "parts").cast("int")))
+    dealt = keys.join(groups, ["which", "key"]).select("cls", "which", "key", F.explode(part).alias("part"))
+    return dealt.join(pending.select("cls", "n", "shingles"), "cls").groupBy("which", "key", "part").applyInArrow(_tile(percent), _EDGES)
 
 
-def _tiles_by_smallest_hash(pending: DataFrame, percent: int) -> DataFrame:
-    """Edges found in tiles of about TILE classes that share a smallest hash."""
-    keys = pending.select("rep", F.explode(F.array("k1", "k2")).alias("key"))
-    groups = keys.groupBy("key").count().where("count > 1")
-    dealt = keys.join(groups, "key").select("rep", "key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("count") / TILE)).alias("part"))
-    rows = dealt.join(pending.select("rep", "n", "shingles"), "rep")
-    return rows.groupBy("key", "part").applyInArrow(_tile(percent), _EDGES)
+def _postings(pending: DataFrame, components: DataFrame) -> DataFrame:
+    """token, cls, n, place, component and outside (of the token's largest component) of prefix shingles in several components;
+    of the shingles that the same classes hold one, with the first place."""
+    known = components.select(F.col("node").alias("cls"), "component")
+    rows = pending.select("cls", "n", F.explode(F.arrays_zip("prefix", "place")).alias("p")).select("cls", "n", F.col("p.prefix").alias("token"), "p.place")
+    rows = rows.join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    held = rows.groupBy("token", "component").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y"))
+    spread = held.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("count"), F.count("*").alias("several"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("several > 1")
+    same = spread.groupBy("count", "x", "y").agg(F.min("token").alias("lead"))
+    spread = spread.join(same, ["count", "x", "y"]).select("token", "lead", "main")
+    out = rows.join(spread, "token").groupBy(F.col("lead").alias("token"), "cls", "n", "component", "main").agg(F.min("place").alias("place"))
+    return out.withColumn("outside", F.col("component") != F.col("main")).drop("main")
 
 
 def _rest(pending: DataFrame, components: DataFrame, percent: int) -> DataFrame:
     """Links between the components, by the shingles of the prefixes that lie in more than one of them."""
-    known = components.select(F.col("node").alias("rep"), "component")
-    sets = pending.select("rep", "n", "shingles", "prefix").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    postings = sets.select("rep", "component", F.explode("prefix").alias("token"))
-    held = postings.groupBy("token", "component").count()
-    spread = held.groupBy("token").agg(F.max_by("component", "count").alias("main"), F.sum("count").alias("count"), F.count("*").alias("parts")).where("parts > 1")
-    rows = postings.join(spread, "token").withColumn("parts", F.ceil(F.col("count") / (4 * TILE)))
-    own = rows.select("token", "rep", (F.col("component") != F.col("main")).alias("probe"), F.lit(True).alias("build"), F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"))
-    sent = rows.where("component <> main and parts > 1").select("token", "rep", F.lit(True).alias("probe"), F.lit(False).alias("build"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
-    marks = sets.select("rep", "n", "component", "shingles").mapInArrow(_bits, "rep long, n long, component long, bits binary")
-    tiles = own.unionByName(sent).join(marks, "rep")
-    pairs = tiles.groupBy("token", "part").applyInArrow(_probe_tile(percent), _EDGES).distinct()
-    shingles = pending.select("rep", "shingles")
-    both = pairs.join(shingles.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a").join(shingles.select(F.col("rep").alias("b"), F.col("shingles").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_verify(percent), _EDGES)
-
-
-def _of_one_id(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.001)).cast("int")
+    rows = materialize(_postings(pending, components).withColumn("band", band), "postings")
+    parts = lambda c: F.ceil(c / TILE).cast("int")
+    bands = rows.groupBy("token", "band").agg(parts(F.count("*")).alias("builds"), parts(F.sum(F.col("outside").cast("int"))).alias("probes"))
+    own = bands.select("token", "band", F.col("builds").alias("b"), F.col("probes").alias("p"))
+    near = rows.join(own, ["token", "band"]).withColumn("other", F.explode(F.array(*(F.col("band") + F.lit(i) for i in (-1, 0, 1)))))
+    near = near.join(bands.withColumnRenamed("band", "other"), ["token", "other"])
+    at = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = ("cls", "n", "place", "component", "outside", "token")
+    probes = near.where("outside").select(*row, F.lit(True).alias("probe"), F.col("band").alias("pb"), F.col("other").alias("bb"), at("p").alias("pp"), each("builds").alias("bp"))
+    builds = near.where("probes > 0").select(*row, F.lit(False).alias("probe"), F.col("other").alias("pb"), F.col("band").alias("bb"), each("probes").alias("pp"), at("b").alias("bp"))
+    tiles = probes.unionByName(builds).join(pending.select("cls", "shingles"), "cls")
+    return tiles.groupBy("token", "pb", "bb", "pp", "bp").applyInArrow(_probe_tile(percent), _EDGES)
+
+
+def _of_one_id(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges between the classes of rows with one doc_id."""
-    own = sets.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep")
-    several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").select("doc_id", "a")
-    return own.join(several, "doc_id").where("rep > a").select("a", F.col("rep").alias("b"))
+    several = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id")
+    own = ids.join(several, "doc_id").select("doc_id", "key").distinct().join(texts.where("cls is not null").select("key", "cls"), "key")
+    least = own.groupBy("doc_id").agg(F.min("cls").alias("a"))
+    return own.join(least, "doc_id").where("cls > a").select("a", F.col("cls").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id of every document."""
+def text_key():
+    """The digest of a text; that of no text is that of the empty one."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key")
+
+
+def _nodes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """key, n_shingles, node (number of the component; null without words) and smallest (doc_id of the node) of every
+    distinct text."""
     n = B.block_count(docs)
-    sets = materialize(B.exchange(B.with_block(docs, n), _ask(n, words), _answer, _finish(n, words, percent), _SETS), "sets")
-    classes = sets.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    pending = sets.where("shingles is not null").join(classes, ["d1", "d2"]).where("doc_id = rep").drop("d1", "d2", "doc_id")
-    pending = materialize(pending, "pending")  # a row a set; sets whose smallest doc_id is the same are one node
-    found = materialize(_tiles_by_smallest_hash(pending, percent).unionByName(_of_one_id(sets, classes)), "links")
+    buckets = B.bucket_count(n)
+    blocks = docs.select(text_key(), "text").mapInArrow(_first_of_each(n), "block int, key binary, text string")
+    sets = materialize(B.exchange(blocks, _ask(buckets, words), _answer, _finish(words, percent, buckets), _SETS, n), "sets")
+    classes = sets.where("d1 is not null").select("d1", "d2").distinct().withColumn("cls", F.monotonically_increasing_id())
+    classes = materialize(classes, "classes")
+    texts = sets.select("key", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("key", "n", "cls")
+    pending = sets.where("shingles is not null").dropDuplicates(["d1", "d2"]).join(classes, ["d1", "d2"])
+    pending = materialize(pending.select("cls", "n", "shingles", "prefix", "place", "k1", "k2"), "pending")
+    ids = docs.select("doc_id", text_key())
+    found = materialize(_by_smallest_hash(pending, percent).unionByName(_of_one_id(ids, texts)), "links")
     more = _rest(pending, connected_components(found), percent)
     components = connected_components(found.unionByName(more))
-    out = sets.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
-    out = out.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    texts = texts.join(components.withColumnRenamed("node", "cls"), "cls", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("node"))
+    texts = materialize(texts.join(ids.groupBy("key").agg(F.min("doc_id").alias("least")), "key"), "texts")
+    for table in (pending, classes, sets):
+        discard(table)
+    least = texts.where("node is not null").groupBy("node").agg(F.min("least").alias("smallest"))
+    return texts.drop("least").join(least, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and node of every document (node: a number of its component, null without words)."""
+    out = docs.select("doc_id", text_key()).join(_nodes(docs, words, percent), "key")
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "node")
+
+
+def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without near copies: of each component the row with the smallest doc_id (rows without one last,
+    then by the digest of the text), once; rows without words stay."""
+    found = docs.select("doc_id", text_key()).join(_nodes(docs, words, percent).select("key", "node"), "key")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
+    best = found.where("node is not null").groupBy("node").agg(F.min(order).alias("b")).select(F.col("b.doc_id").alias("best_id"), F.col("b.key").alias("best_key"))
+    keyed = docs.withColumn("best_key", text_key())
+    rows = keyed.join(best.withColumnRenamed("best_key", "own_key"), (F.col("best_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("best_id")))
+    once = F.row_number().over(Window.partitionBy("best_key", "doc_id").orderBy("best_key"))
+    wordless = docs.where(F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\r\x0b\x0c"))) == 0)
+    return rows.withColumn("copy", once).where("copy = 1").select(*docs.columns).unionByName(wordless)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -1,17 +1,23 @@
 """Substring dedup: level-wise doubling of repeated word windows.
 
-Every window of ``first_words`` words is counted once over the whole corpus (block exchange of packed
-fingerprints). Two neighbouring windows that are both repeated are extended to one of about twice the length,
-and only these are counted at the next level, until the wanted length is reached or no candidates survive.
-Words covered by a repeated window of the wanted length are removed, in every place where it occurs.
+The levels are window lengths, each at most twice the one before, the last the wanted length. A window can only be
+repeated if its parts are, so at the first level each window of the second level's length is stood for by the smallest hash
+among its parts of ``first_words`` words: equal windows have equal smallest parts, and neighbours mostly share theirs, so
+that about a tenth of all parts is counted over the whole corpus (block exchange of packed 32-bit fingerprints, which can
+only keep too many). Windows all of whose parts are repeated are extended to about twice the length and alone counted
+at the next level, by 128-bit hashes, until the wanted length is reached or no candidates survive: a document without one
+is done at once. The removal covers words of windows of the wanted length, so longer ones need no counting: each word of
+theirs lies in one of these. Words covered by a repeated window are removed in every place where it occurs.
 
 Defined results: null text counts as empty; a text with fewer words than the window keeps everything; windows
-never cross documents; rows with equal or null doc_id are separate documents; other columns are ignored.
+never cross documents; rows with equal or null doc_id are separate documents; other columns are ignored; an
+empty table gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.llm import blocks as B
-from flowlake.llm.words import mix, window_hashes, word_hashes
+from flowlake.llm.words import KEY, mix, sliding_min, window_hashes, word_hashes
 from flowlake.tables import materialize
 
 WINDOW = 35
@@ -35,12 +41,14 @@ def levels(window: int, first_words: int) -> list[int]:
     return out
 
 
-def _windows(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
-    """Hashes of all windows of the block; window offsets and word counts of its documents."""
+def _windows(table: pa.Table, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all windows of each document of the block, and the documents' word counts."""
     words, offsets = word_hashes(table["text"], lower=False)
-    parts = [window_hashes(words[offsets[i] : offsets[i + 1]], size) for i in range(len(offsets) - 1)]
-    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), at, parts, np.diff(offsets)
+    return [window_hashes(words[offsets[i] : offsets[i + 1]], size) for i in range(len(offsets) - 1)], np.diff(offsets)
+
+
+def _concat(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def _keys(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -48,9 +56,15 @@ def _keys(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(n)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
 
 
-def _ask_first(size: int, n: int):
+def _first_keys(parts: list[np.ndarray], size: int, to: int, n: int) -> list[np.ndarray]:
+    """For each document the keys that stand for its windows of ``to`` words: the smallest hash of the windows of
+    ``size`` words in each."""
+    return [_keys(sliding_min(h, to - size + 1), n) for h in parts]
+
+
+def _ask_first(size: int, to: int, n: int):
     def ask(table: pa.Table) -> pa.Table:
-        keys = np.unique(_keys(_windows(table, size)[0], n))
+        keys = np.unique(_concat(_first_keys(_windows(table, size)[0], size, to, n)))
         at = B.bucket_offsets(keys >> np.uint64(32), n)
         low = keys.astype(np.uint32)
         return B.payload_table(table["block"][0].as_py(), ((k, low[at[k] : at[k + 1]].tobytes()) for k in range(n)))
@@ -62,28 +76,19 @@ def _answer(dtype):
     def answer(table: pa.Table) -> pa.Table:
         """For each block's distinct keys a bit: some other block has the key too."""
         asked = [np.frombuffer(p, dtype) for p in B.payloads(table)]
-        every = np.sort(np.concatenate(asked))
-        repeated = np.unique(every[1:][every[1:] == every[:-1]])
-        return B.answers_table(table, [np.packbits(_in_sorted(a, repeated)).tobytes() for a in asked])
+        every, inverse, counts = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
+        many, at = (counts > 1)[inverse], np.concatenate([[0], np.cumsum([len(a) for a in asked])])
+        return B.answers_table(table, [np.packbits(many[at[i] : at[i + 1]]).tobytes() for i in range(len(asked))])
 
     return answer
 
 
-def _in_sorted(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(x), bool)
-    i = np.searchsorted(table, x)
-    i[i == len(table)] = 0
-    return table[i] == x
-
-
-def _flags(keys: np.ndarray, bucket: np.ndarray, n: int, answers: pa.Table) -> np.ndarray:
-    """Bits of the answers, in the order of the block's sorted distinct keys."""
+def _flags(bucket: np.ndarray, n: int, answers: pa.Table) -> np.ndarray:
+    """Bits of the answers, in the order of the block's distinct keys sorted by bucket."""
     at = B.bucket_offsets(bucket, n)
-    out = np.zeros(len(keys), bool)
-    for k, bits in zip(np.sort(answers["bucket"].to_numpy()), B.by_bucket(answers)):
-        size = at[k + 1] - at[k]
-        out[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=size)
+    out = np.zeros(len(bucket), bool)
+    for k, bits in B.by_bucket(answers).items():
+        out[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[k + 1] - at[k])
     return out
 
 
@@ -107,28 +112,32 @@ def _rows(rows: list[tuple], table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
 
 
-def _next_requests(block: int, candidates: list[np.ndarray], n: int) -> list[tuple]:
-    """The distinct 64-bit hashes of the candidate windows, for their buckets; a bit tells repeats in the block."""
-    hashes, counts = np.unique(np.concatenate(candidates), return_counts=True) if candidates else (np.zeros(0, np.uint64), np.zeros(0, int))
-    bucket = (hashes >> np.uint64(32)) % np.uint64(n)
-    order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(n + 1))
-    return [("ask", block, k, hashes[order[at[k] : at[k + 1]]].tobytes(), None, None, None, None, None, None) for k in range(n) if at[k + 1] > at[k]]
+def _wide(words: np.ndarray, size: int, mask: np.ndarray) -> np.ndarray:
+    """128-bit hashes of the windows of ``size`` words at the places of mask."""
+    out = np.zeros(int(mask.sum()), KEY)
+    out["hi"], out["lo"] = (window_hashes(w, size)[mask] for w in (words, mix(words)))
+    return out
 
 
-def _extended(hashes: np.ndarray, size: int, to: int) -> np.ndarray:
-    """Hashes of the windows of ``to`` words from those of the two windows of ``size`` words that make them up."""
-    step = to - size
-    if not step:
-        return hashes
-    if len(hashes) <= step:
-        return np.zeros(0, np.uint64)
-    return mix(hashes[:-step] * np.uint64(0x9FB21C651E98DF25) + mix(hashes[step:]))
+def _distinct(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys sorted by bucket, their buckets, for each key the place of its own, and their counts."""
+    bucket = (keys["hi"] >> np.uint64(32)) % np.uint64(n)
+    order = np.lexsort((keys["lo"], keys["hi"], bucket))
+    own = keys[order]
+    first = np.ones(len(own), bool)
+    first[1:] = own[1:] != own[:-1]
+    inverse = np.zeros(len(own), np.int64)
+    inverse[order] = np.cumsum(first) - 1
+    return own[first], bucket[order][first], inverse, np.bincount(inverse, minlength=int(first.sum()))
 
 
-def _both(repeated: np.ndarray, step: int) -> np.ndarray:
-    """Windows whose two halves, step words apart, are both repeated."""
-    return repeated[:-step] & repeated[step:] if step else repeated
+def _next_requests(block: int, candidates: list[np.ndarray], n: int) -> list[tuple]:
+    """The distinct hashes of the candidate windows, for their buckets."""
+    if not candidates:
+        return []
+    keys, bucket, _, _ = _distinct(np.concatenate(candidates), n)
+    at = B.bucket_offsets(bucket, n)
+    return [("ask", block, k, keys[at[k] : at[k + 1]].tobytes(), None, None, None, None, None, None) for k in range(n) if at[k + 1] > at[k]]
 
 
 def _open(block: int, doc, n_words: int, text, mask: np.ndarray, rest) -> tuple:
@@ -139,61 +148,71 @@ def _done(block: int, doc, n_words: int, text, covered: np.ndarray | None, diges
     return ("done", block, None, None, doc, n_words, 0 if covered is None else int(covered.sum()), None, _kept(text, covered, digest), rest)
 
 
-def _finish_first(size: int, to: int, n: int, digest: bool):
+def _words(table: pa.Table) -> list[np.ndarray]:
+    words, offsets = word_hashes(table["text"], lower=False)
+    return [words[offsets[i] : offsets[i + 1]] for i in range(len(offsets) - 1)]
+
+
+def _close(table: pa.Table, masks: list[np.ndarray], n_words: list[int], found: Callable, n: int, digest: bool) -> pa.Table:
+    """Documents whose masks are empty are done; the others stay open, with requests for what ``found`` gives of each."""
+    block, out, wanted = table["block"][0].as_py(), [], []
+    for i, (doc, text, rest) in enumerate(zip(table["doc_id"].to_pylist(), table["text"], table["rest"].to_pylist())):
+        if masks[i].any():
+            wanted.append(found(i))
+            out.append(_open(block, doc, int(n_words[i]), text.as_py(), masks[i], rest))
+        else:
+            out.append(_done(block, doc, int(n_words[i]), text.as_py(), None, digest, rest))
+    return _rows(out + _next_requests(block, wanted, n), table)
+
+
+def _finish_first(window: int, size: int, to: int, n: int, digest: bool):
+    """Masks of the windows of ``window`` words of which every part of ``to`` words holds a repeated part of ``size`` words."""
+
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return _rows([], table)
-        hashes, at, parts, n_words = _windows(table, size)
-        keys, inverse, counts = np.unique(_keys(hashes, n), return_inverse=True, return_counts=True)
-        repeated = (_flags(keys, keys >> np.uint64(32), n, answers) | (counts > 1))[inverse]
-        block, out, found = table["block"][0].as_py(), [], []
-        for i, (doc, text, rest) in enumerate(zip(table["doc_id"].to_pylist(), table["text"], table["rest"].to_pylist())):
-            mask = _both(repeated[at[i] : at[i + 1]], to - size)
-            if mask.any():
-                found.append(_extended(parts[i], size, to)[mask])
-                out.append(_open(block, doc, int(n_words[i]), text.as_py(), mask, rest))
-            else:
-                out.append(_done(block, doc, int(n_words[i]), text.as_py(), None, digest, rest))
-        return _rows(out + _next_requests(block, found, n), table)
+        parts, n_words = _windows(table, size)
+        mine = _first_keys(parts, size, to, n)
+        keys = np.unique(_concat(mine))
+        every, counts = np.unique(_keys(_concat(parts), n), return_counts=True)  # a part repeated in the block itself counts
+        repeated = _flags(keys >> np.uint64(32), n, answers) | (counts[np.searchsorted(every, keys)] > 1)
+        masks = [sliding_min(repeated[np.searchsorted(keys, m)], window - to + 1) for m in mine]
+        words = _words(table)
+        return _close(table, masks, n_words, lambda i: _wide(words[i], to, _spread(masks[i], window - to)), n, digest)
 
     return finish
 
 
-def _finish_next(sizes: list[int], to: int, n: int, digest: bool):
-    """Candidates of sizes[-1] words get their answers; those repeated are extended to ``to`` words, or cover if to is 0."""
-    size = sizes[-1]
+def _spread(mask: np.ndarray, more: int) -> np.ndarray:
+    """Places of the parts of the windows of mask, which begin at most ``more`` words later."""
+    edge = np.zeros(len(mask) + more + 1, np.int64)
+    at = np.flatnonzero(mask)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + more + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _finish_next(window: int, size: int, to: int, n: int, digest: bool):
+    """Answers on the parts of ``size`` words of the open windows; those of which all are repeated ask about parts of ``to``
+    words, or, with size the window, cover."""
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return _rows([], table)
-        words, offsets = word_hashes(table["text"], lower=False)
-        hashes, masks = [], []
-        for i, bits in enumerate(B.payloads(table)):
-            h = window_hashes(words[offsets[i] : offsets[i + 1]], sizes[0])
-            for a, b in zip(sizes, sizes[1:]):
-                h = _extended(h, a, b)
-            hashes.append(h)
-            masks.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(h)).astype(bool))
-        every = np.concatenate([h[m] for h, m in zip(hashes, masks)])
-        distinct, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-        bucket = (distinct >> np.uint64(32)) % np.uint64(n)
-        order = np.argsort(bucket, kind="stable")
-        flags = np.zeros(len(distinct), bool)
-        flags[order] = _flags(distinct[order], bucket[order], n, answers)
-        repeated = (flags | (counts > 1))[inverse]
-        block, out, found, at = table["block"][0].as_py(), [], [], 0
-        for h, mask, doc, text, n_words, rest in zip(hashes, masks, table["doc_id"].to_pylist(), table["text"], table["n_words"].to_pylist(), table["rest"].to_pylist()):
-            some = int(mask.sum())
-            mask[mask] = repeated[at : at + some]
+        words, n_words = _words(table), table["n_words"].to_pylist()
+        masks = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(w) - window + 1).astype(bool) for b, w in zip(B.payloads(table), words)]
+        asked = [_spread(m, window - size) for m in masks]
+        _, bucket, inverse, counts = _distinct(np.concatenate([_wide(w, size, a) for w, a in zip(words, asked)]), n)
+        repeated, at = (_flags(bucket, n, answers) | (counts > 1))[inverse], 0
+        for i, a in enumerate(asked):
+            some = int(a.sum())
+            a[a] = repeated[at : at + some]
             at += some
-            longer = _both(mask, to - size) if to else mask
-            if to and longer.any():
-                found.append(_extended(h, size, to)[longer])
-                out.append(_open(block, doc, n_words, text.as_py(), longer, rest))
-            else:
-                covered = _cover(np.flatnonzero(mask), size, n_words) if not to and mask.any() else None
-                out.append(_done(block, doc, n_words, text.as_py(), covered, digest, rest))
-        return _rows(out + _next_requests(block, found, n), table)
+            masks[i] = masks[i] & sliding_min(a, window - size + 1)
+        if size < window:
+            return _close(table, masks, n_words, lambda i: _wide(words[i], to, _spread(masks[i], window - to)), n, digest)
+        block, rows = table["block"][0].as_py(), zip(table["doc_id"].to_pylist(), n_words, table["text"], masks, table["rest"].to_pylist())
+        return _rows([_done(block, doc, k, text.as_py(), _cover(np.flatnonzero(m), size, k) if m.any() else None, digest, rest) for doc, k, text, m, rest in rows], table)
 
     return finish
 
@@ -202,17 +221,17 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, first_words: in
     """doc_id, n_words, n_removed and ``kept``: the kept words joined by one space, or with digest their SHA-256;
     then the columns to keep."""
     n = B.block_count(docs)
-    sizes = levels(window, first_words)
+    buckets, sizes = B.bucket_count(n), levels(window, first_words)
     blocks = B.with_block(docs, n, keep)
     schema = B.schema_with_rest(_KINDS, blocks)
-    to = sizes[1] if len(sizes) > 1 else sizes[0]
-    state = materialize(B.exchange(blocks, _ask_first(sizes[0], n), _answer(np.uint32), _finish_first(sizes[0], to, n, digest), schema), "windows")
+    to = sizes[min(1, len(sizes) - 1)]
+    state = materialize(B.exchange(blocks, _ask_first(sizes[0], to, buckets), _answer(np.uint32), _finish_first(window, sizes[0], to, buckets, digest), schema, n), "windows")
     out = state.where("kind = 'done'")
-    for k in range(1, max(len(sizes), 2)):
-        to = sizes[k + 1] if k + 1 < len(sizes) else 0
+    for size, to in zip(sizes[1:] or sizes, [*sizes[2:], 0]):
         opened = state.where("kind = 'open'").select("block", "doc_id", "n_words", "text", "payload", "rest")
-        answered = state.where("kind = 'ask'").select("block", "bucket", "payload").groupBy("bucket").applyInArrow(_answer(np.uint64), B.PAYLOAD)
-        state = opened.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_finish_next(sizes[: k + 1], to, n, digest), schema)
+        asked = state.where("kind = 'ask'").select("block", "bucket", "payload")
+        answered = B.answered(asked, _answer(KEY), n)
+        state = opened.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_finish_next(window, size, to, buckets, digest), schema)
         if to:
             state = materialize(state, "windows")
         out = out.unionByName(state.where("kind = 'done'"))
@@ -223,3 +242,17 @@ def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = drop_repeated_windows(docs, digest=True)
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT row, w, unnest(range(1, len(w) - 33)) AS at FROM docs WHERE len(w) >= 35),
+hashed AS (SELECT row, at, md5(array_to_string(list_slice(w, at, at + 34), ' ')) AS key FROM starts),
+hits AS (SELECT row, at FROM hashed SEMI JOIN (SELECT key FROM hashed GROUP BY key HAVING count(*) > 1) USING (key)),
+gone AS (SELECT DISTINCT row, unnest(range(at, at + 35)) AS at FROM hits),
+covered AS (SELECT row, list(at) AS gone FROM gone GROUP BY row),
+flat AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM docs),
+left_over AS (SELECT row, string_agg(word, ' ' ORDER BY at) AS kept FROM flat ANTI JOIN gone USING (row, at) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN covered USING (row) LEFT JOIN left_over USING (row)
+"""

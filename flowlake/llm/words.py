@@ -18,6 +18,7 @@ _Q_INV = _U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
+KEY = np.dtype([("hi", np.uint64), ("lo", np.uint64)])  # a 128-bit hash
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,3 +114,15 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.uint64)
     return np.unique(window_hashes(words, min(size, len(words))) + _U(min(size, len(words))))
+
+
+def sliding_min(values: np.ndarray, span: int) -> np.ndarray:
+    """The smallest of every run of ``span`` values, by its first (empty when there are fewer)."""
+    out, have = values, 1
+    if len(values) < span:
+        return values[:0]
+    while have < span:
+        step = min(have, span - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
