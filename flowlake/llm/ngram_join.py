@@ -11,8 +11,9 @@
    component (probes) are compared with all its classes (builds) in size-banded tiles: bands are as wide as the ratio of
    sizes that can link, so only neighbouring bands meet, and probes and builds of a band are dealt to tiles of at most about
    ``TILE`` of each. Within a tile the sizes, the places of the shingle in the two orders and the bit counts of hashed
-   bitmaps bound the overlap from above; what passes is intersected as sorted arrays there and then. A tile returns the links
-   that join components, at most one fewer than it has classes, never its pairs.
+   bitmaps bound the overlap from above. Rows with a partner that these leave get their sorted arrays, and meet again in
+   their tile for the exact intersections. A tile returns rows, and then the links that join components, at most one fewer than
+   it has classes, never its pairs.
 
 Defined results: a text with fewer words than the shingle is one shingle; without words, the set is empty and links
 with nothing; rows with one doc_id are one node, whatever their texts; rows without doc_id are documents each, and a component
@@ -189,20 +190,52 @@ def _tile(percent: int):
     return tile
 
 
+_ROW = "token long, pb int, bb int, pp int, bp int, cls long, n long, place long, component long, outside boolean, probe boolean"
+_TILE_KEY = ("token", "pb", "bb", "pp", "bp")
+
+
+def _in_reach(table: pa.Table, percent: int):
+    """Each probe of a tile, and its builds for which sizes and places of the token leave enough overlap."""
+    sizes, ids, place, component = (table[c].to_numpy() for c in ("n", "cls", "place", "component"))
+    probe, also = (table[c].to_numpy(zero_copy_only=False) for c in ("probe", "outside"))
+    build, room = np.flatnonzero(~probe), sizes - place
+    for i in np.flatnonzero(probe):
+        others = build[(~also[build] | (ids[build] > ids[i])) & (component[build] != component[i])]  # two probes meet once
+        others = others[np.minimum(room[i], room[others]) >= needed(int(sizes[i]), sizes[others], percent)]
+        if len(others):
+            yield i, others
+
+
+def _sift_tile(percent: int):
+    def tile(table: pa.Table) -> pa.Table:
+        """The rows of the tile with a partner that sizes, places and bitmaps don't rule out."""
+        sizes, bits = table["n"].to_numpy(), np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in table["bits"]), np.uint64).reshape(len(table), -1)
+        some = np.zeros(len(table), bool)
+        for i, others in _in_reach(table, percent):
+            near = others[may_link(int(sizes[i]), bits[i], sizes[others], bits[others], percent)]
+            some[near] = True
+            some[i] |= len(near) > 0
+        return table.drop_columns(["bits"]).filter(pa.array(some))
+
+    return tile
+
+
 def _probe_tile(percent: int):
     def tile(table: pa.Table) -> pa.Table:
         one = _Tile(table, percent, table["component"].to_numpy())
-        probe, also, place = (table[c].to_numpy(zero_copy_only=False) for c in ("probe", "outside", "place"))
-        build, room = np.flatnonzero(~probe), one.sizes - place
-        for i in np.flatnonzero(probe):
-            others = build[~also[build] | (one.ids[build] > one.ids[i])]  # two probes meet once
-            others = others[np.minimum(room[i], room[others]) >= needed(int(one.sizes[i]), one.sizes[others], percent)]
+        for i, others in _in_reach(table, percent):
             one.compare(i, others)
         return one.links()
 
     return tile
 
 
+def _bits(batches):
+    for batch in batches:
+        rows = bitmaps([np.frombuffer(x.as_buffer(), np.uint64) for x in batch["shingles"]])
+        yield pa.record_batch([batch["cls"], pa.array([r.tobytes() for r in rows], pa.binary())], names=["cls", "bits"])
+
+
 def _by_smallest_hash(pending: DataFrame, percent: int) -> DataFrame:
     """Links found in tiles of about TILE classes that share a smallest hash."""
     keys = pending.select("cls", F.posexplode(F.array("k1", "k2")).alias("which", "key"))
@@ -241,8 +274,11 @@ def _rest(pending: DataFrame, components: DataFrame, percent: int) -> DataFrame:
     row = ("cls", "n", "place", "component", "outside", "token")
     probes = near.where("outside").select(*row, F.lit(True).alias("probe"), F.col("band").alias("pb"), F.col("other").alias("bb"), at("p").alias("pp"), each("builds").alias("bp"))
     builds = near.where("probes > 0").select(*row, F.lit(False).alias("probe"), F.col("other").alias("pb"), F.col("band").alias("bb"), each("probes").alias("pp"), at("b").alias("bp"))
-    tiles = probes.unionByName(builds).join(pending.select("cls", "shingles"), "cls")
-    return tiles.groupBy("token", "pb", "bb", "pp", "bp").applyInArrow(_probe_tile(percent), _EDGES)
+    names = [f.split()[0] for f in _ROW.split(", ")]
+    marks = pending.select("cls", "shingles").mapInArrow(_bits, "cls long, bits binary")
+    tiles = probes.unionByName(builds).join(marks, "cls").select(*names, "bits")
+    sifted = materialize(tiles.groupBy(*_TILE_KEY).applyInArrow(_sift_tile(percent), _ROW), "tiles")
+    return sifted.join(pending.select("cls", "shingles"), "cls").groupBy(*_TILE_KEY).applyInArrow(_probe_tile(percent), _EDGES)
 
 
 def _of_one_id(ids: DataFrame, texts: DataFrame) -> DataFrame:
