@@ -188,7 +188,7 @@ def test_code_estimates_are_close_and_bounded():
 
 
 def test_op4_lm_score(docs, texts, empty):
-    got = rows_of(lm_score.score(docs, sample=20))
+    got = rows_of(lm_score.score(docs))
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
     c = Counter(w for i, t in texts.items() if not held[i] for w in [*words(t, True), 0])
     n, v = sum(c.values()), len(c)
@@ -211,18 +211,22 @@ def test_windows_score_each_token_once_and_only_from_the_past():
     assert set(seen.values()) == {1} and len(seen) == 99 + 5 + 32 + 33 + 56 + 57
     other = text.copy()
     other[20:] = (other[20:] + 1) % 50
-    a, b = model.log_class(text[None, :31], text[None, 1:32])[0], model.log_class(other[None, :31], text[None, 1:32])[0]
-    assert np.allclose(a[:20], b[:20], atol=1e-5) and not np.allclose(a[20:], b[20:], atol=1e-5)
-    total = sum(np.exp(lm_score.score_ids(model, [np.array([0, i], np.int32)])[0] * np.log(10)) for i in range(50))
-    assert total == pytest.approx(1, abs=1e-4)
+    (a, _), (b, _) = model.log_next(text[None, :31], text[None, 1:32]), model.log_next(other[None, :31], text[None, 1:32])
+    assert np.allclose(a[0, :20], b[0, :20], atol=1e-5) and not np.allclose(a[0, 20:], b[0, 20:], atol=1e-5)
 
 
 def test_training_lowers_the_loss():
-    texts = [np.array([9, 1, 2, 3, 4] * 30, np.int32) for _ in range(10)]
+    texts = [np.array([9, 1, 2, 3, 4] * 30 + [9], np.int32) for _ in range(10)]
     counts = np.bincount(np.concatenate(texts), minlength=12).astype(float)
-    before = lm_score.score_ids(lm_score.Model(counts), texts).sum()
-    after = lm_score.score_ids(lm_score.train(lm_score.Model(counts), texts), texts).sum()
-    assert after > 0.5 * before
+    begins = np.isin(np.arange(12), [9, 2])
+    model = lm_score.Model(counts, begins)
+    sizes = [np.ones(149, np.int64)] * 10
+    total = lambda: sum(x.sum() for x in lm_score.word_scores(model, texts, sizes))
+    before = total()
+    state = {}
+    for k in range(20):
+        lm_score.learn(model, texts, state, k, 20)
+    assert total() > 0.5 * before
 
 
 def test_op5_topk(spark):
