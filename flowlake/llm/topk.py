@@ -2,13 +2,14 @@
 
 The components of the vectors are dealt to ``SLICES`` vertical slices, as a score is the sum of its slices' local
 scores. (1) Every slice gathers, in tiles of rows and queries, its local top k for each query; the exact scores of
-these entries give a safe cutoff, the k-th best so far. (2) An entry whose total reaches the cutoff has a local
+these entries give a safe cutoff, the k-th best so far. A tile holds at most about ``ROWS`` rows and ``QUERIES`` queries and
+scores ``CHUNK`` of these at a time, so rows are sent once for every 4096 queries and queries once for every 8192 rows. (2) An entry whose total reaches the cutoff has a local
 score of at least cutoff / SLICES somewhere: each query carries its cutoff to the tiles, which collect those entries
 (and, exact as well, leave out those that the norms of the other slices keep below the cutoff). (3) Entries whose
 upper bound reaches the cutoff and that lack a slice are resolved exactly.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and rows without vec_id, take no
-part; scores beyond a long are an error; queries are compared with vectors of their own length; rows with one vec_id are candidates each on its own
+part; scores that could pass a long are an error; queries are compared with vectors of their own length; rows with one vec_id are candidates each on its own
 but for the query of that vec_id, and as queries too: the pairs of all of them are ranked together; other columns are ignored.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from flowlake.llm.embedding_dedup import usable
 from flowlake.tables import materialize
 
-K, SLICES, ROWS, QUERIES = 10, 2, 8192, 256
+K, SLICES, ROWS, QUERIES, CHUNK = 10, 2, 8192, 4096, 256
 _LOCAL = "query_id long, query_row long, row long, vec_id long, local long"
 
 
@@ -33,9 +34,13 @@ def _matrix(column) -> np.ndarray:
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles while every sum stays below 2**53."""
-    if q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53:
+    """Exact integer inner products: in doubles while every sum stays below 2**53, else in longs; ArithmeticError where a
+    sum could pass these too."""
+    most = int(np.abs(q.astype(np.float64)).max()) * int(np.abs(x.astype(np.float64)).max()) * q.shape[1]
+    if most < 1 << 53:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    if most >= 1 << 63:
+        raise ArithmeticError("scores beyond a long")
     return q @ x.T
 
 
@@ -43,7 +48,8 @@ def _local(first: bool, k: int, slices: int):
     def tile(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out = {c: [] for c in ("query_id", "query_row", "row", "vec_id", "local")}
         if len(queries) and len(rows):
-            scores = _scores(_matrix(queries["part"]), _matrix(rows["part"]))
+            q, x = _matrix(queries["part"]), _matrix(rows["part"])
+            scores = (own for i in range(0, len(q), CHUNK) for own in _scores(q[i : i + CHUNK], x))
             ids, at, rest = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), rows["rest"].to_numpy()
             cutoffs = [None] * len(queries) if first else queries["cutoff"].to_pylist()
             for own, query, asking, cutoff, mine in zip(scores, queries["query_id"].to_numpy(), queries["query_row"].to_numpy(), cutoffs, queries["rest"].to_numpy()):
