@@ -1,14 +1,15 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its hashed words, its hashed character trigrams (over UTF-8 bytes) and a mark for every
-word that repeats the one before. Each feature has a learned vector; a document is the mean of its features' vectors,
-and a softmax layer gives the label. Training is stochastic gradient descent in numpy on at most ``SAMPLE`` labelled
-documents (those with the smallest hash of the id, whole texts). The output is linear in the mean, so scoring needs one
-number a feature: a table of constant size that every task holds, applied to all of every text.
+A document's features are its hashed words, pairs of neighbouring words and character n-grams of the lengths ``GRAMS`` (over
+code points). Each feature has a learned vector; a document is the mean of its features' vectors, and a linear layer with a
+softmax over the two labels gives the score. Training is stochastic gradient descent in numpy on at most ``SAMPLE`` labelled
+documents (those with the smallest hash of the id, whole texts). The layer is linear in the mean, so scoring needs one
+number a feature, the difference of the two outputs: a table of constant size that every task holds, applied to all of every text.
 
 Defined results: null or empty text has no features and gets the score of the bias alone; without labelled rows every
-score is 0.5; labels with a null or other value than 0 and 1 are left out; rows with equal or null doc_id are scored
-each on its own.
+score is 0.5; labels with a null or other value than 0 and 1 are left out, of several for one doc_id the highest counts; of
+several texts under one labelled doc_id the one with the smallest hash is learned; rows with equal or null doc_id are
+scored each on its own (a null id has a null held_out); other columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,43 +22,44 @@ from pyspark.sql import functions as F
 from flowlake.llm.words import CHUNK, mix, text_buffer, word_hashes
 
 BUCKETS, DIM, SAMPLE, EPOCHS, RATE, SEED = 1 << 18, 8, 3000, 6, 0.4, 7
-_REPEAT = np.uint64(0x5EED)
+GRAMS, LABELS = (3, 4, 5), 2
 
 
-def _trigrams(part: np.ndarray) -> np.ndarray:
-    b = part.astype(np.uint64)
-    return mix((b[:-2] | b[1:-1] << np.uint64(8) | b[2:] << np.uint64(16)) + np.uint64(1)) % np.uint64(BUCKETS)
+def _grams(points: np.ndarray, size: int) -> np.ndarray:
+    """Buckets of all runs of so many code points."""
+    h = np.full(max(len(points) - size + 1, 0), size, np.uint64)
+    for i in range(size):
+        h = (h ^ points[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(BUCKETS)).astype(np.int32)
 
 
-def _words(column) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words and of the repeats (the repeats' bucket replaces the word's second mark)."""
-    hashes, at = word_hashes(column, lower=False)
-    again = np.zeros(len(hashes), bool)
-    again[1:] = hashes[1:] == hashes[:-1]
-    again[at[:-1][at[:-1] < len(hashes)]] = False
-    return (hashes % np.uint64(BUCKETS)).astype(np.int64), at, again
+def _pairs(words: np.ndarray) -> np.ndarray:
+    return (mix(words[:-1] * np.uint64(3) + words[1:]) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+def _points(data: bytes) -> np.ndarray:
+    return np.frombuffer(data.decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature buckets of one text and how often each occurs."""
-    words, _, again = _words(pa.array([text]))
-    data = np.frombuffer(text.encode(), np.uint8)
-    tri = _trigrams(data).astype(np.int64) if len(data) > 2 else np.zeros(0, np.int64)
-    return np.unique(np.concatenate([words, tri, np.full(int(again.sum()), int(_REPEAT) % BUCKETS)]), return_counts=True)
+    words, _ = word_hashes(pa.array([text]), lower=False)
+    points = _points(text.encode())
+    return np.unique(np.concatenate([(words % np.uint64(BUCKETS)).astype(np.int32), _pairs(words), *(_grams(points, n) for n in GRAMS)]), return_counts=True)
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, float]:
-    """A weight for each bucket and the bias: the log odds of label 1 are the mean weight of the features plus bias."""
+    """A weight for each bucket and a bias: the log odds of label 1 are the mean weight of the features plus bias."""
     rng = np.random.default_rng(SEED)
-    weight, bias = np.zeros(BUCKETS, np.float32), 0.0
     if not texts:
-        return weight, bias
+        return np.zeros(BUCKETS, np.float32), 0.0
     rows = []
     for text in texts:
         at, count = features(text)
-        rows.append((at.astype(np.int32), (count / max(count.sum(), 1)).astype(np.float32)[:, None]))
+        rows.append((at, (count / max(count.sum(), 1)).astype(np.float32)[:, None]))
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    out = rng.uniform(-1 / DIM, 1 / DIM, DIM).astype(np.float32)
+    out, bias = rng.uniform(-1 / DIM, 1 / DIM, (DIM, LABELS)).astype(np.float32), np.zeros(LABELS, np.float32)
     step, steps = 0, epochs * len(rows)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -65,30 +67,39 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
             step += 1
             at, share = rows[i]
             mean = (vectors[at] * share).sum(axis=0)
-            slope = labels[i] - 1 / (1 + np.exp(-float(mean @ out) - bias))
-            ahead = out.copy()
-            out += lr * slope * mean
-            bias += lr * slope * 0.1
-            vectors[at] += (lr * len(at) ** 0.5 * slope) * share * ahead
-    return vectors @ out, float(bias)
+            z = np.exp(mean @ out + bias - (mean @ out + bias).max())
+            slope = -z / z.sum()
+            slope[labels[i]] += 1
+            ahead = out @ slope
+            out += lr * np.outer(mean, slope)
+            bias += lr * 0.1 * slope
+            vectors[at] += (lr * len(at) ** 0.5) * share * ahead
+    return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
+
+
+def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    run = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
+    return run[np.maximum(ends, starts)] - run[starts]
 
 
 def score_texts(column: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray:
     """Probability of label 1 for every text of the column."""
-    data, offsets = text_buffer(column)
-    words, at, again = _words(column)
-    total = np.concatenate([[0], np.cumsum(weight[words], dtype=np.float64)])
-    marks = np.concatenate([[0], np.cumsum(again)])
-    repeats = marks[at[1:]] - marks[at[:-1]]
-    sums = total[at[1:]] - total[at[:-1]] + repeats * float(weight[int(_REPEAT) % BUCKETS])
-    n = np.diff(at) + repeats + np.maximum(np.diff(offsets) - 2, 0)
-    for low in range(0, max(len(data) - 2, 0), CHUNK):
-        part = weight[_trigrams(data[low : low + CHUNK + 2])].astype(np.float64)
-        for back in (1, 2):  # trigrams that begin in one text and end in the next
-            over = offsets[1:-1] - back - low
-            part[over[(over >= 0) & (over < len(part))]] = 0
-        run = np.concatenate([[0], np.cumsum(part)])
-        sums += run[np.clip(offsets[1:] - low, 0, len(part))] - run[np.clip(offsets[:-1] - low, 0, len(part))]
+    data, _ = text_buffer(column)
+    words, at = word_hashes(column, lower=False)
+    low, high = at[:-1], at[1:]
+    sums = _sums(weight[(words % np.uint64(BUCKETS)).astype(np.int32)], low, high)
+    if len(words) > 1:
+        sums += _sums(weight[_pairs(words)], np.minimum(low, len(words) - 1), high - 1)
+    n = np.diff(at) + np.maximum(np.diff(at) - 1, 0)
+    lengths = np.array([len(x.as_py() or "") for x in column], np.int64)
+    ends = np.cumsum(lengths)
+    points = _points(data.tobytes())
+    for size in GRAMS:
+        n = n + np.maximum(lengths - size + 1, 0)
+        for begin in range(0, max(len(points) - size + 1, 0), CHUNK):
+            part = weight[_grams(points[begin : begin + CHUNK + size - 1], size)]
+            clip = lambda x: np.clip(x - begin, 0, len(part))  # noqa: E731, B023
+            sums += _sums(part, clip(ends - lengths), clip(np.maximum(ends - size + 1, ends - lengths)))
     return 1 / (1 + np.exp(-(sums / np.maximum(n, 1) + bias)))
 
 
@@ -108,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -> t
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).collect()  # at most sample rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()  # at most sample rows
     rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] or "" for r in rows], [r["quality"] for r in rows])
 

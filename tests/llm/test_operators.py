@@ -272,12 +272,30 @@ def test_op5_topk(spark, monkeypatch, shard, group):
 
 
 def test_op6_license(spark):
-    rows = [(1, "a/LICENSE", "\nReleased under the MIT License.\nmore"), (2, "a/b/x.py", "code"), (3, "a/b/c/y.py", "text\nLicensed under CC BY-NC 4.0."), (4, "z.py", None), (5, None, "Released under the MIT License."), (6, "a/b/c/w.py", ""), (7, "d/h.py", "Licensed under the Apache License, Version 2.0.\nx"), (8, "d/i.py", "y"), (9, "d/i.py", "y")]
+    rows = [(1, "a/LICENSE", "\nReleased under the MIT License.\nmore"), (2, "a/b/x.py", "code"), (3, "a/b/c/y.py", "text\n\nLicensed under CC BY-NC 4.0."), (4, "z.py", None), (5, None, "Released under the MIT License."), (6, "a/b/c/w.py", ""), (7, "d/h.py", "Licensed under the Apache License, Version 2.0.\nx"), (8, "d/i.py", "y"), (9, "d/i.py", "y")]
     got = rows_of(license.scan(spark.createDataFrame(rows, "row long, path string, text string")))
     assert {i: (g[3], g[4]) for i, g in got.items()} == {1: ("MIT", "file"), 2: ("MIT", "a"), 3: ("CC-BY-NC-4.0", "file"), 4: (None, None), 5: ("MIT", "file"), 6: ("MIT", "a"), 7: ("Apache-2.0", "file"), 8: ("Apache-2.0", "d"), 9: ("Apache-2.0", "d")}
     assert license.scan(spark.createDataFrame([], "row long, path string, text string")).count() == 0
 
 
+def test_op6_headers_and_files(spark):
+    wrapped = lambda text, mark: "\n".join(mark + " ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
+    rows, want = [], []
+    for k, (name, templates) in enumerate(license.TEMPLATES.items()):
+        rows.append((f"h{k}", f"p{k}/x.c", wrapped(templates[0], " * ") + "\n\nint main() { return 0; }\n" + "some other code words\n" * 5))
+        rows.append((f"f{k}", f"q{k}/LICENSE.txt", "Copyright 2020 Someone\n\n" + templates[0]))
+        rows.append((f"g{k}", f"q{k}/deep/er/y.c", "nothing of the kind"))
+        want += [(f"h{k}", name, "file"), (f"f{k}", name, "file"), (f"g{k}", name, f"q{k}")]
+    same = {"GPL-2.0": "GPL-3.0"}  # headers that differ in one figure
+    rows += [("a", "same/a.py", "plain"), ("a", "same/b.py", "Released under the MIT License."), (None, None, "text"), ("c", "other/c.py", "mit\n\nmit\n\nlicense")]
+    got = {r.row: (r.license, r["from"]) for r in license.scan(spark.createDataFrame(rows, "row string, path string, text string").withColumn("score", F.lit(3))).collect() if r.row not in ("a", None)}
+    for row, name, source in want:
+        assert got[row][0] in (name, same.get(name, name), {v: k for k, v in same.items()}.get(name)) and got[row][1] == source, row
+    assert got["c"] == (None, None)
+    twice = [(r.path, r.license) for r in license.scan(spark.createDataFrame(rows[-4:], "row string, path string, text string")).where("row = 'a'").collect()]
+    assert sorted(twice) == [("same/a.py", "MIT"), ("same/b.py", "MIT")]  # by the directory, not by the shared id
+
+
 def test_decisive_words_lose_no_line():
     _, vectors_, _ = license.weights(license.TEMPLATES)
     some = set(license.decisive_words(vectors_, license.THRESHOLD))
