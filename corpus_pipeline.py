@@ -3,6 +3,10 @@
 Each stage takes the documents that the one before kept and returns documents (doc_id, text, lang, source, n_chars);
 the last returns the pieces of the packed sequences. ``run`` applies them to ``documents``, each stage written and
 read again.
+
+Defined results of every stage: null text is empty text; rows with equal or null doc_id are rows each on its own, but for
+near_dedup; other columns than those of documents are left out; an empty table gives none. A document that has no word left
+goes at line_dedup and substring_dedup; the quality filter judges an empty text by the bias alone.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.llm.line_dedup import drop_common_lines
-from flowlake.llm.ngram_join import near_duplicates
+from flowlake.llm.ngram_join import first_of_each
 from flowlake.llm.packing import pack_documents
 from flowlake.llm.quality import score_quality
 from flowlake.llm.substring_dedup import drop_repeated_windows
@@ -39,9 +43,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    copies = near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near copies one row stays: that with the smallest doc_id (rows without one last). Rows under one doc_id
+    are a group, and so are equal rows; rows without words stay."""
+    return first_of_each(docs).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +65,7 @@ STAGES = [
     ("substring_dedup", substring_dedup),
     ("packing", packing),
 ]
-ORACLE_SQL = None  # the classifier and the tokenizer have no SQL form; tests/llm compares the stages with brute force
+ORACLE_SQL = None  # the classifier and the tokenizer have no SQL form; tests/llm holds stages and run() against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
