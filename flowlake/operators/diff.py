@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CLASSES = ("coverage-regression", "security-relevant", "routing", "behaviour", "content", "documentation-only")
-# Review class and weight of each change category.
+# Review categories from the lightest to the strictest, and the review that each asks for.
 REVIEW = {
-    "coverage-changed": "coverage-regression", "dependency-changed": "security-relevant", "entry-point-changed": "routing", "menu-choice-changed": "routing",
-    "outcome-path-changed": "routing", "action-changed": "behaviour", "condition-expression-changed": "behaviour", "variable-changed": "behaviour",
-    "prompt-reference-changed": "content", "flow-metadata-changed": "documentation-only", "published-version-only-changed": "documentation-only",
+    "cosmetic": "light-review", "documentation-only": "automated-plus-spot-check", "behavioral": "human-review-required",
+    "dependency": "engineer-review-required", "security-sensitive": "security-lead-review", "coverage-regression": "blocked",
 }
+AUTH_RELATED = "(?i)auth|credential|oauth|secret|token"
+
+
+def auth_related(dependency_type):
+    """Whether a dependency's type names a credential boundary."""
+    return F.coalesce(F.rlike(dependency_type, F.lit(AUTH_RELATED)), F.lit(False))
+
+
+def review_category(category, field, aspect, secure, dependency_type, direction):
+    """The review category of a change by its kind and, for some kinds, the field or aspect changed, the secure mark, the type of
+    dependency or the direction. A kind that is not known asks for a human's judgment."""
+    pick = lambda hit, yes, no: F.when(F.coalesce(hit, F.lit(False)), yes).otherwise(no)
+    return (
+        F.when(category == "flow-metadata-changed", pick(field == "secure", "security-sensitive", "cosmetic"))
+        .when(category == "menu-choice-changed", pick(aspect == "label", "cosmetic", "behavioral"))
+        .when(category == "action-changed", pick(aspect == "relabeled", "cosmetic", "behavioral"))
+        .when(category == "variable-changed", pick(secure, "security-sensitive", "behavioral"))
+        .when(category.isin("prompt-reference-changed", "published-version-only-changed"), "documentation-only")
+        .when(category == "dependency-changed", pick(auth_related(dependency_type), "security-sensitive", "dependency"))
+        .when(category == "coverage-changed", pick(direction == "regressed", "coverage-regression", "documentation-only"))
+        .otherwise("behavioral")
+    )
 
 
 def match(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
@@ -50,16 +70,17 @@ def positional_only(diffs: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def classify(changes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Per flow a count of every review class, the strictest one, and whether it blocks approval."""
-    review = F.create_map(*(F.lit(x) for p in REVIEW.items() for x in p))
-    rows = changes.withColumn("review", F.coalesce(F.element_at(review, F.col("category")), F.lit("documentation-only")))
-    counts = rows.groupBy("flow_id").agg(*(F.count_if(F.col("review") == c).alias(c.replace("-", "_")) for c in CLASSES))
-    names = [c.replace("-", "_") for c in CLASSES]
-    out = flows.select("flow_id").join(counts, "flow_id", "left").fillna(0, names)
-    none = sum(F.col(n) for n in names) == 0
+    """Per flow a count of every review category, the strictest review, and whether a regression of coverage blocks approval;
+    a flow without changes counts as documentation-only. changes(flow_id, category, field, aspect, secure, dependency_type, direction)."""
+    own = review_category(*(F.col(c) for c in ("category", "field", "aspect", "secure", "dependency_type", "direction")))
+    names = {c: c.replace("-", "_") for c in REVIEW}
+    rows = changes.select("flow_id", own.alias("review"))
+    counts = rows.groupBy("flow_id").agg(*(F.count_if(F.col("review") == c).alias(n) for c, n in names.items()))
+    out = flows.select("flow_id").join(counts, "flow_id", "left").fillna(0, list(names.values()))
+    none = sum(F.col(n) for n in names.values()) == 0
     out = out.withColumn("documentation_only", F.when(none, F.lit(1).cast("long")).otherwise(F.col("documentation_only")))
-    strictest = F.coalesce(*(F.when(F.col(n) > 0, F.lit(c)) for n, c in zip(names, CLASSES)))
-    return out.withColumn("strictest", strictest).withColumn("blocks_approval", F.col("coverage_regression") > 0)
+    strictest = F.coalesce(*(F.when(F.col(n) > 0, F.lit(REVIEW[c])) for c, n in reversed(names.items())))
+    return out.withColumn("highest_review", strictest).withColumn("blocks_approval", F.col("coverage_regression") > 0)
 
 
 def untrusted_text(column, most: int = 500):

@@ -84,11 +84,14 @@ def menu_offers(edge: DataFrame) -> DataFrame:
     return some.groupBy("flow_id", F.col("src").alias("node_id")).agg(F.array_sort(F.collect_list("label")).alias("offers"))
 
 
+# Node types that lead to another part of the same flow.
+INSIDE = ["TransferMenuAction", "TransferTaskAction", "CallTaskAction", "TaskAction", "MenuAction", "PreviousMenuAction"]
+
+
 def exit_kind(source_type: str = "source_type"):
-    """disconnect, transfer or other, by the type of a terminal node."""
+    """disconnect, transfer (any type of that name that doesn't stay inside the flow) or other, by the type of a node."""
     kind = F.col(source_type)
-    inside = ["TransferToTaskAction", "TransferToMenuAction", "TaskTransferAction", "MenuTransferAction", "TransferMenuAction", "TransferTaskAction"]
-    return F.when(kind.contains("Disconnect"), "disconnect").when(kind.contains("Transfer") & ~kind.isin(inside), "transfer").otherwise("other")
+    return F.when(kind == "DisconnectAction", "disconnect").when(kind.contains("Transfer") & ~kind.isin(INSIDE), "transfer").otherwise("other")
 
 
 def journeys(node: DataFrame, edge: DataFrame, entry: DataFrame, max_depth: int = 60, max_journeys: int | None = 50) -> DataFrame:

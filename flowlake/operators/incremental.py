@@ -22,11 +22,12 @@ def decide(previous: DataFrame, discovered: DataFrame, rebuild: bool = False) ->
     return rows.withColumn("action", action).withColumn("bucket", bucket)
 
 
-def metadata_notes(decided: DataFrame) -> DataFrame:
-    """flow_id and notes of flows known before and found now."""
-    both = decided.where("known and status = 'found'")
-    notes = F.array(F.when(~F.col("division").eqNullSafe(F.col("old_division")), "DIVISION_CHANGED"), F.when(~F.col("version").eqNullSafe(F.col("old_version")), "VERSION_CHANGED"))
-    return both.select("flow_id", F.array_compact(notes).alias("notes"))
+def metadata_notes(previous: DataFrame, found: DataFrame) -> DataFrame:
+    """flow_id and notes of flows that both sides (flow_id, division, type, name) have; an unknown old name is no change."""
+    old = previous.select("flow_id", *(F.col(c).alias(f"old_{c}") for c in ("division", "type", "name")))
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
+    notes = [F.when(differs("division"), "DIVISION_CHANGED"), F.when(differs("type"), "TYPE_CHANGED"), F.when(F.col("old_name").isNotNull() & differs("name"), "DISPLAY_NAME_CHANGED")]
+    return found.join(old, "flow_id").select("flow_id", F.array_compact(F.array(*notes)).alias("notes"))
 
 
 def carry_forward(previous: DataFrame, decided: DataFrame, captured: DataFrame) -> DataFrame:

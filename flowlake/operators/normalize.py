@@ -2,37 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.tables import materialize
 
 # Node types with modelled semantics.
-KNOWN_TYPES = ["PlayAudioAction", "DisconnectAction", "TransferToAcdAction", "MenuAction", "TaskAction", "DecisionAction", "SwitchAction", "UpdateDataAction", "DataAction", "CollectInputAction"]
+KNOWN_TYPES = ["Task", "Menu", "MenuAction", "PlayAudioAction", "TransferMenuAction", "TransferTaskAction", "TransferPureMatchAction", "DecisionAction", "DisconnectAction", "DataAction"]
 _COLUMNS = "flow_id, pointer, parent, key, depth, type, scalar"
 
 
-def flatten_json(docs: DataFrame, column: str = "definition", max_depth: int = 64) -> DataFrame:
+def flatten_json(docs: DataFrame, column: str = "definition") -> DataFrame:
     """flow_id, pointer (RFC 6901), parent, key, depth, type and scalar of every value of every document.
 
-    A round a level over VARIANT values; documents that don't parse give no rows (see ``unparsable``).
+    A round a level over VARIANT values, down to the deepest; documents that don't parse give no rows (see ``unparsable``).
     """
+    view = f"json_level_{uuid.uuid4().hex}"
     level = docs.select("flow_id", F.expr(f"try_parse_json({column})").alias("v")).where("v is not null")
     level = level.select("flow_id", F.lit("").alias("pointer"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("depth"), "v")
     out = None
-    for depth in range(max_depth):
+    while True:
         level = materialize(level, "json")
-        if level.isEmpty():
-            break
         kind = F.expr("regexp_extract(schema_of_variant(v), '^[A-Z]+', 0)")
         scalar = F.when(~kind.isin("OBJECT", "ARRAY"), F.expr("try_variant_get(v, '$', 'string')"))
         rows = level.select("flow_id", "pointer", "parent", "key", "depth", kind.alias("type"), scalar.alias("scalar"))
         out = rows if out is None else out.unionByName(rows)
-        level.createOrReplaceTempView("flowlake_json_level")
-        level = docs.sparkSession.sql("SELECT flow_id, pointer AS parent, coalesce(e.key, cast(e.pos AS string)) AS key, depth + 1 AS depth, e.value AS v FROM flowlake_json_level, LATERAL variant_explode(v) AS e")
+        if level.isEmpty():
+            docs.sparkSession.catalog.dropTempView(view)
+            return out
+        level.createOrReplaceTempView(view)
+        level = docs.sparkSession.sql(f"SELECT flow_id, pointer AS parent, coalesce(e.key, cast(e.pos AS string)) AS key, depth + 1 AS depth, e.value AS v FROM {view}, LATERAL variant_explode(v) AS e")
         escaped = F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
         level = level.select("flow_id", F.concat("parent", F.lit("/"), escaped).alias("pointer"), "parent", "key", "depth", "v")
-    return out
 
 
 def unparsable(docs: DataFrame, column: str = "definition") -> DataFrame:
@@ -86,10 +89,11 @@ def resolve(refs: DataFrame, nodes: DataFrame, dependencies: DataFrame) -> DataF
     return rows.select("flow_id", edge_id.alias("edge_id"), "src", F.coalesce("dst", "target").alias("dst"), "role", outcome.alias("outcome"))
 
 
-def branch_role(label):
-    """yes, no, default; other __X__ labels stripped; a GUID is a branch."""
-    bare = F.lower(F.regexp_replace(label, "^__+|__+$", ""))
-    return F.when(F.rlike(label, F.lit("^__.*__$")), bare).otherwise("branch")
+def branch_role(output_id, dynamic=None):
+    """The role of a path by its output: any name but an id, without its underscores, in lower case; else dynamic-branch or branch."""
+    bare = F.lower(F.regexp_replace(output_id, "^__+|__+$", ""))
+    named = output_id.isNotNull() & ~F.rlike(output_id, F.lit(GUID_LIKE)) & (F.length(bare) > 0)
+    return F.when(named, bare).when(F.coalesce(dynamic if dynamic is not None else F.lit(False), F.lit(False)), "dynamic-branch").otherwise("branch")
 
 
 def extract_variables(paths: DataFrame) -> DataFrame:

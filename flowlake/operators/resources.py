@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.tables import materialize
 
 
-def reference_closure(seeds: DataFrame, node: DataFrame, edge: DataFrame, max_depth: int = 64) -> DataFrame:
-    """key, status and depth of everything the seeds lead to; missing targets stay and don't expand."""
+def reference_closure(seeds: DataFrame, node: DataFrame, edge: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """key, status, depth and truncated of everything the seeds lead to; missing targets stay and don't expand. With max_depth, keys of
+    that depth that lead further are marked truncated."""
     known = node.select("key")
     seen = materialize(seeds.select("key").distinct().withColumn("depth", F.lit(0)), "refs")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         ahead = frontier.join(known, "key", "left_semi").join(edge.select(F.col("src").alias("key"), "dst"), "key").select(F.col("dst").alias("key")).distinct()
         frontier = materialize(ahead.join(seen, "key", "left_anti").withColumn("depth", F.lit(depth)), "refs")
-        if frontier.isEmpty():
+        if depth == (max_depth or 0) + 1 and max_depth is not None or frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return seen.join(known.withColumn("known", F.lit(True)), "key", "left").select("key", F.when(F.col("known"), "resolved").otherwise("not_found").alias("status"), "depth")
+    ends = edge.join(frontier.select(F.col("key").alias("dst")), "dst", "left_semi").select(F.col("src").alias("key"), F.lit(True).alias("more")).distinct()
+    out = seen.join(known.withColumn("known", F.lit(True)), "key", "left").join(ends, "key", "left")
+    return out.select("key", F.when(F.col("known"), "resolved").otherwise("not_found").alias("status"), "depth", (F.coalesce("more", F.lit(False)) & (F.col("depth") == F.lit(max_depth))).alias("truncated") if max_depth is not None else F.lit(False).alias("truncated"))
 
 
 def orphans(node: DataFrame, edge: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def documents(spark, d):
     actions = F.transform("l", lambda x, i: F.struct(kind(x).alias("__type"), x["k"].alias("trackingId"), F.concat(F.lit("a"), x["k"].cast("string")).alias("id"), F.concat(F.lit("line "), x["k"].cast("string")).alias("name"), follow(x, i).alias("nextAction"), F.array(value(x)).alias("inputs")))
     variables = F.transform("l", lambda x, i: F.struct(F.lit("IntegerVariable").alias("__type"), F.concat(F.lit("v"), x["part"].cast("string")).alias("id"), F.concat(F.lit("part "), x["part"].cast("string")).alias("name"), (x["flag"] == "A").alias("isInput"), (x["flag"] == "R").alias("isOutput")))
     manifest = F.transform("l", lambda x, i: F.struct(F.concat(F.lit("s"), x["supp"].cast("string")).alias("id"), F.concat(F.lit("supplier "), x["supp"].cast("string")).alias("name")))
-    container = F.array(F.struct(F.lit("TaskAction").alias("__type"), F.lit("c0").alias("id"), F.lit("main").alias("name"), F.concat(F.lit("a"), F.get("l", F.lit(0))["k"].cast("string")).alias("startAction"), actions.alias("actionList")))
+    container = F.array(F.struct(F.lit("Task").alias("__type"), F.lit("c0").alias("id"), F.lit("main").alias("name"), F.concat(F.lit("a"), F.get("l", F.lit(0))["k"].cast("string")).alias("startAction"), actions.alias("actionList")))
     doc = F.struct(F.concat(F.lit("order "), s("flow_id")).alias("name"), container.alias("flowSequenceItemList"), variables.alias("variables"), F.struct(manifest.alias("queue")).alias("manifest"))
     text = F.when(F.col("flow_id") % 97 == 0, F.lit("{broken")).otherwise(F.to_json(doc))
     return docs.select("flow_id", text.alias("definition"))
@@ -45,7 +45,7 @@ def n1_flatten_json(spark, d):
     return p.groupBy("flow_id").agg(F.count_if(action).alias("actions"), F.count_if(F.rlike("pointer", F.lit("/config/ref$"))).alias("refs"))
 
 
-@query(f"WITH {J_SQL} SELECT flow_id, 'trk_' || k AS node_id, 'a' || k AS source_id, 'action' AS kind, CASE flag WHEN 'A' THEN 'PlayAudioAction' WHEN 'N' THEN 'MenuAction' ELSE 'OtherAction' END AS source_type, CASE WHEN flag = 'R' THEN 'partial' ELSE 'full' END AS support_level FROM item WHERE {OK} UNION ALL SELECT DISTINCT flow_id, 'c0', 'c0', 'container', 'TaskAction', 'full' FROM item WHERE {OK}")
+@query(f"WITH {J_SQL} SELECT flow_id, 'trk_' || k AS node_id, 'a' || k AS source_id, 'action' AS kind, CASE flag WHEN 'A' THEN 'PlayAudioAction' WHEN 'N' THEN 'MenuAction' ELSE 'OtherAction' END AS source_type, CASE WHEN flag = 'R' THEN 'partial' ELSE 'full' END AS support_level FROM item WHERE {OK} UNION ALL SELECT DISTINCT flow_id, 'c0', 'c0', 'container', 'Task', 'full' FROM item WHERE {OK}")
 def n2_extract_nodes(spark, d):
     return N.extract_nodes(_paths(spark, d)).select("flow_id", "node_id", "source_id", "kind", "source_type", "support_level")
 
@@ -87,10 +87,12 @@ def r2_unreadable_documents(spark, d):
     return N.unparsable(documents(spark, d))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'branch' ELSE event_type END AS role FROM events")
+@query("""SELECT event_id, CASE WHEN event_type = 'error' OR event_id % 10 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'dynamic-branch' ELSE 'branch' END
+  WHEN event_type = 'view' THEN 'yes' WHEN event_type = 'click' THEN 'retry twice' ELSE lower(event_type) END AS role FROM events""")
 def n8_branch_role(spark, d):
-    label = F.when(F.col("event_type") == "error", F.lit("b7a1")).otherwise(F.concat(F.lit("__"), F.upper("event_type"), F.lit("__")))
-    return table(spark, d, "events").select("event_id", N.branch_role(label).alias("role"))
+    kind = F.col("event_type")
+    output = F.when(kind == "error", "0B7A1C22-aaaa-4bbb-8ccc-0123456789ab").when(F.col("event_id") % 10 == 0, "____").when(kind == "view", "__YES__").when(kind == "click", "__Retry Twice__").otherwise(F.initcap(kind))
+    return table(spark, d, "events").select("event_id", N.branch_role(output, F.col("event_id") % 2 == 0).alias("role"))
 
 
 @query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")

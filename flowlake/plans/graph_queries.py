@@ -15,7 +15,7 @@ REACH = "reach AS (SELECT flow_id, node_id FROM entry SEMI JOIN node USING (flow
 TERMINAL = "terminal AS (SELECT * FROM node n WHERE NOT EXISTS (FROM edge e JOIN node m ON m.flow_id = e.flow_id AND m.node_id = e.dst WHERE e.flow_id = n.flow_id AND e.src = n.node_id))"
 CLOSURE = "closure AS (SELECT flow_id, src, dst FROM valid UNION SELECT c.flow_id, c.src, v.dst FROM closure c JOIN valid v ON v.flow_id = c.flow_id AND v.src = c.dst)"
 SCC = "member AS (SELECT a.flow_id, a.src AS node_id, min(a.dst) AS component FROM closure a JOIN closure b ON a.flow_id = b.flow_id AND a.src = b.dst AND a.dst = b.src GROUP BY ALL), scc AS (SELECT flow_id, component, count(*) AS size, list_sort(list(node_id)) AS nodes FROM member GROUP BY ALL)"
-KIND = "CASE WHEN contains(source_type, 'Disconnect') THEN 'disconnect' WHEN contains(source_type, 'Transfer') THEN 'transfer' ELSE 'other' END"
+KIND = "CASE WHEN source_type = 'DisconnectAction' THEN 'disconnect' WHEN source_type IN ('TransferMenuAction', 'TransferTaskAction', 'CallTaskAction', 'TaskAction', 'MenuAction', 'PreviousMenuAction') THEN 'other' WHEN contains(source_type, 'Transfer') THEN 'transfer' ELSE 'other' END"
 GRAPH = f"WITH RECURSIVE {E_SQL}, {VALID}, {REACH}, {TERMINAL}, {CLOSURE}, {SCC}"
 PATHS = f"""path AS (SELECT e.flow_id, e.node_id AS at, [e.node_id] AS steps, FALSE AS loop FROM entry e SEMI JOIN node USING (flow_id, node_id)
   UNION ALL SELECT p.flow_id, v.dst, list_append(p.steps, v.dst), list_contains(p.steps, v.dst) FROM path p JOIN node n ON n.flow_id = p.flow_id AND n.node_id = p.at

@@ -9,6 +9,7 @@ from flowlake.functions import text as X
 from flowlake.functions.nfc import nfc
 from flowlake.operators import diff as D
 from flowlake.operators import incremental as C
+from flowlake.operators import normalize as N
 from flowlake.operators import resources as R
 from flowlake.plans.registry import query
 from flowlake.plans.views import M_SQL, O_SQL, P_SQL, R_SQL, catalogue, manifest_pair, resource_graph, snapshot_pair, table
@@ -42,28 +43,50 @@ def d3_slot_pairs(spark, d):
     return D.pair_slots(side("removed"), side("added"), ["flow_id"]).select("flow_id", F.col("removed.node_id").alias("removed"), F.col("added.node_id").alias("added"))
 
 
-CATEGORY = "CASE WHEN op = 'added' THEN 'entry-point-changed' WHEN op = 'removed' THEN 'coverage-changed' WHEN contains(fields, 'top') THEN 'dependency-changed' WHEN contains(fields, 'statuses') THEN 'variable-changed' ELSE 'action-changed' END"
+KINDS = ["flow-metadata-changed", "entry-point-changed", "menu-choice-changed", "action-changed", "condition-expression-changed", "variable-changed", "prompt-reference-changed",
+         "dependency-changed", "outcome-path-changed", "published-version-only-changed", "coverage-changed", "unclassified-change"]
+CHANGE_SQL = f"""change AS (SELECT l_suppkey AS flow_id, ([{", ".join(repr(k) for k in KINDS)}])[l_orderkey % 12 + 1] AS category, l_linenumber % 2 = 0 AS even, l_returnflag = 'R' AS returned
+  FROM lineitem WHERE l_returnflag <> 'N' AND NOT (l_suppkey % 3 = 0 AND l_orderkey % 12 = 10) AND l_suppkey % 17 <> 0)"""
 
 
-def _changes(spark, d):
-    rows = _diff(spark, d).where("op <> 'same'")
-    has = lambda f: F.array_contains("fields", f)
-    category = F.when(F.col("op") == "added", "entry-point-changed").when(F.col("op") == "removed", "coverage-changed").when(has("top"), "dependency-changed").when(has("statuses"), "variable-changed").otherwise("action-changed")
-    return rows.withColumn("category", category)
+def _reviewable(spark, d):
+    """A change a returned or accepted line, of every kind in turn."""
+    lines = table(spark, d, "lineitem").where("l_returnflag <> 'N' AND NOT (l_suppkey % 3 = 0 AND l_orderkey % 12 = 10) AND l_suppkey % 17 <> 0")
+    even, returned = F.col("l_linenumber") % 2 == 0, F.col("l_returnflag") == "R"
+    category = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("l_orderkey") % 12 + 1).cast("int"))
+    aspect = F.when(category == "menu-choice-changed", F.when(even, "label").otherwise("target")).otherwise(F.when(even, "relabeled").otherwise("added"))
+    return lines.select(
+        F.col("l_suppkey").alias("flow_id"), category.alias("category"), F.when(even, "secure").otherwise("description").alias("field"), aspect.alias("aspect"), returned.alias("secure"),
+        F.when(even & returned, "oauthClient").when(even, "queue").alias("dependency_type"), F.when(returned, "regressed").otherwise("improved").alias("direction"),
+    )
 
 
-@query(OPS + f" SELECT flow_id, node_id, {CATEGORY} AS category FROM ops WHERE op <> 'same'")
-def d7_semantic_changes(spark, d):
-    return _changes(spark, d).select("flow_id", "node_id", "category")
+REVIEWED = """r AS (SELECT flow_id, CASE category WHEN 'flow-metadata-changed' THEN CASE WHEN even THEN 'security-sensitive' ELSE 'cosmetic' END
+  WHEN 'menu-choice-changed' THEN CASE WHEN even THEN 'cosmetic' ELSE 'behavioral' END WHEN 'action-changed' THEN CASE WHEN even THEN 'cosmetic' ELSE 'behavioral' END
+  WHEN 'variable-changed' THEN CASE WHEN returned THEN 'security-sensitive' ELSE 'behavioral' END WHEN 'prompt-reference-changed' THEN 'documentation-only' WHEN 'published-version-only-changed' THEN 'documentation-only'
+  WHEN 'dependency-changed' THEN CASE WHEN even AND returned THEN 'security-sensitive' ELSE 'dependency' END WHEN 'coverage-changed' THEN CASE WHEN returned THEN 'coverage-regression' ELSE 'documentation-only' END ELSE 'behavioral' END AS review FROM change)"""
 
 
-@query(OPS + f""", c AS (SELECT flow_id, {CATEGORY} AS category FROM ops WHERE op <> 'same'), f AS (SELECT DISTINCT flow_id FROM ops)
-SELECT f.flow_id, count(*) FILTER (category = 'coverage-changed') AS coverage_regression, count(*) FILTER (category = 'dependency-changed') AS security_relevant, count(*) FILTER (category = 'entry-point-changed') AS routing,
-  count(*) FILTER (category IN ('variable-changed', 'action-changed')) AS behaviour, 0 AS content, CASE WHEN count(category) = 0 THEN 1 ELSE 0 END AS documentation_only,
-  CASE WHEN bool_or(category = 'coverage-changed') THEN 'coverage-regression' WHEN bool_or(category = 'dependency-changed') THEN 'security-relevant' WHEN bool_or(category = 'entry-point-changed') THEN 'routing'
-    WHEN count(category) > 0 THEN 'behaviour' ELSE 'documentation-only' END AS strictest, coalesce(bool_or(category = 'coverage-changed'), FALSE) AS blocks_approval FROM f LEFT JOIN c USING (flow_id) GROUP BY ALL""")
+@query(f"""WITH {CHANGE_SQL}, {REVIEWED}, f AS (SELECT s_suppkey AS flow_id FROM supplier)
+SELECT f.flow_id, count(*) FILTER (review = 'cosmetic') AS cosmetic, CASE WHEN count(review) = 0 THEN 1 ELSE count(*) FILTER (review = 'documentation-only') END AS documentation_only, count(*) FILTER (review = 'behavioral') AS behavioral,
+  count(*) FILTER (review = 'dependency') AS dependency, count(*) FILTER (review = 'security-sensitive') AS security_sensitive, count(*) FILTER (review = 'coverage-regression') AS coverage_regression,
+  CASE WHEN bool_or(review = 'coverage-regression') THEN 'blocked' WHEN bool_or(review = 'security-sensitive') THEN 'security-lead-review' WHEN bool_or(review = 'dependency') THEN 'engineer-review-required'
+    WHEN bool_or(review = 'behavioral') THEN 'human-review-required' WHEN count(review) = 0 OR bool_or(review = 'documentation-only') THEN 'automated-plus-spot-check' ELSE 'light-review' END AS highest_review,
+  coalesce(bool_or(review = 'coverage-regression'), FALSE) AS blocks_approval FROM f LEFT JOIN r USING (flow_id) GROUP BY f.flow_id""")
 def d9_classify_changes(spark, d):
-    return D.classify(_changes(spark, d), _diff(spark, d).select("flow_id").distinct())
+    return D.classify(_reviewable(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("flow_id")))
+
+
+@query(f"WITH {CHANGE_SQL}, {REVIEWED} SELECT review, count(*) AS changes FROM r GROUP BY ALL")
+def a7_review_counts(spark, d):
+    own = D.review_category(*(F.col(c) for c in ("category", "field", "aspect", "secure", "dependency_type", "direction")))
+    return _reviewable(spark, d).groupBy(own.alias("review")).agg(F.count("*").alias("changes"))
+
+
+@query("SELECT event_type, regexp_matches(CASE WHEN event_id % 3 = 0 THEN 'OAuthProvider' ELSE event_type END, '(?i)auth|credential|oauth|secret|token') AS auth, count(*) AS n FROM events GROUP BY ALL")
+def p7_auth_related(spark, d):
+    kind = F.when(F.col("event_id") % 3 == 0, "OAuthProvider").otherwise(F.col("event_type"))
+    return table(spark, d, "events").groupBy("event_type", D.auth_related(kind).alias("auth")).agg(F.count("*").alias("n"))
 
 
 @query(OPS + """, h AS (SELECT o_custkey AS flow_id, max(o_orderkey) FILTER (o_orderdate < TIMESTAMP '1998-06-01') AS hb, max(o_orderkey) FILTER (o_orderdate >= TIMESTAMP '1998-06-01') AS ha FROM orders GROUP BY 1)
@@ -100,9 +123,13 @@ def c1_decide_flow_action(spark, d):
     return C.decide(*manifest_pair(spark, d)).select("flow_id", "action", "bucket")
 
 
-@query(DECIDED + " SELECT flow_id, concat_ws(',', CASE WHEN nd IS DISTINCT FROM pd THEN 'DIVISION_CHANGED' END, CASE WHEN nv IS DISTINCT FROM pv THEN 'VERSION_CHANGED' END) AS notes FROM plan WHERE known AND status = 'found'")
+@query(f"""WITH {M_SQL} SELECT n.flow_id, concat_ws(',', CASE WHEN n.division IS DISTINCT FROM p.division THEN 'DIVISION_CHANGED' END, CASE WHEN coalesce(n.hash, 'none') <> p.hash THEN 'TYPE_CHANGED' END,
+  CASE WHEN p.version % 5 <> 0 AND p.version <> n.version THEN 'DISPLAY_NAME_CHANGED' END) AS notes FROM discovered n JOIN previous p ON p.flow_id = n.flow_id WHERE n.status = 'found'""")
 def c2_metadata_notes(spark, d):
-    return C.metadata_notes(C.decide(*manifest_pair(spark, d))).withColumn("notes", F.array_join("notes", ","))
+    previous, found = manifest_pair(spark, d)
+    old = previous.select("flow_id", "division", F.col("hash").alias("type"), F.when(F.col("version") % 5 != 0, F.col("version")).alias("name"))
+    new = found.where("status = 'found'").select("flow_id", "division", F.coalesce("hash", F.lit("none")).alias("type"), F.col("version").alias("name"))
+    return C.metadata_notes(old, new).withColumn("notes", F.array_join("notes", ","))
 
 
 @query(DECIDED + " SELECT flow_id, n.version, n.division, n.hash, FALSE AS carried FROM plan JOIN discovered n USING (flow_id) WHERE bucket = 'capture' UNION ALL SELECT p.flow_id, p.version, p.division, p.hash, TRUE FROM previous p JOIN plan q ON q.flow_id = p.flow_id AND q.bucket NOT IN ('capture', 'retire')")
@@ -176,19 +203,27 @@ def q13_asset_dedupe(spark, d):
 
 
 # ---------------------------------------------------------------- text (view T)
-PROBES = ["", " see https://example.com/x", " mail bob@example.com", " [a](b)", " ```code", " <b>x</b>", " " + "A" * 90, " password: x", " call +1 202 555 0101 22"]
+PROBES = ["", " see https://example.com/x", " mail bob@example.com", " [a](b)", " ```code", " <b>x</b>", " " + "A" * 90, " api_key: x", " call +1 202 555 0101 22", " id 0b7a1c22-aaaa-4bbb-8ccc-0123456789ab is the token", " node 0b7a1c22-aaaa-4bbb-8ccc-0123456789ab"]
 
 
 def _texts(spark, d):
-    probe = F.element_at(F.array(*map(F.lit, PROBES)), (F.col("doc_id") % 9 + 1).cast("int"))
+    probe = F.element_at(F.array(*map(F.lit, PROBES)), (F.col("doc_id") % len(PROBES) + 1).cast("int"))
     return table(spark, d, "documents").select("doc_id", F.concat(F.col("text"), probe).alias("text"))
 
 
-T_SQL = "t AS (SELECT doc_id, text || ([" + ", ".join(f"'{p}'" for p in PROBES) + "])[doc_id % 9 + 1] AS text FROM documents)"
+T_SQL = "t AS (SELECT doc_id, text || ([" + ", ".join(f"'{p}'" for p in PROBES) + f"])[doc_id % {len(PROBES)} + 1] AS text FROM documents)"
 CONTROL_RE = X.CONTROL
-FORBID = "CASE " + " ".join(
-    f"WHEN regexp_matches({'regexp_replace(text, ' + repr(X.GUID) + ', chr(0)[1:0], ' + repr('g') + ')' if n == 'PHONE' else 'text'}, '{p}') THEN '{n}'" for n, p in X.FORBIDDEN.items()
-) + " END"
+GUID_SQL = "\\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\\b"
+
+
+def forbid_sql(c: str) -> str:
+    first = f"regexp_extract({c}, '(?s)^(.*?){GUID_SQL}')"
+    near = f"(length({first}) > 0 AND regexp_matches(right(left({first}, length({first}) - 36), 60) || ' ' || substr({c}, length({first}) + 1, 60), '{X.SECRET_WORD}'))"
+    hit = lambda n, p: f"regexp_matches(regexp_replace({c}, '{GUID_SQL}', '', 'g'), '{p}')" if n == "PHONE" else f"regexp_matches({c}, '{p}')"
+    return "CASE " + " ".join(f"WHEN {hit(n, p)}{' OR ' + near if n == 'CREDENTIAL_SHAPED' else ''} THEN '{n}'" for n, p in X.FORBIDDEN.items()) + " END"
+
+
+FORBID = forbid_sql("text")
 
 
 @query(f"WITH {T_SQL} SELECT doc_id, {FORBID} AS found FROM t")
@@ -201,24 +236,35 @@ def f6_sanitize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", X.content_hash(nfc(X.strip_invisible(X.strip_control(F.col("text"))))).alias("digest"))
 
 
-@query(f"WITH {T_SQL}, p AS (SELECT doc_id, regexp_replace(text, '{X.FORBIDDEN['EMAIL']}', '[REDACTED:email]', 'g') AS r, len(regexp_extract_all(text, '{X.FORBIDDEN['EMAIL']}')) AS email FROM t) SELECT doc_id, sha256(r) AS redacted, email FROM p")
+@query("""WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS flow_id FROM customer) SELECT flow_id, unnest(['/name', '/Authorization', '/client-Secret', '/list/0/url', '/list/0/PASSWORD', '/list/0/note', '/list/0/n']) AS pointer,
+  unnest(['customer ' || flow_id, '[REDACTED:authorization]', '[REDACTED:client-secret]', 'https://host/' || flow_id, '[REDACTED:password]', 'ab', CAST(flow_id AS VARCHAR)]) AS value,
+  unnest([NULL, CASE WHEN flow_id % 2 = 1 THEN 'authorization' END, 'client-secret', 'url-credential', 'password', 'control-characters', NULL]) AS category FROM c""")
 def f8_redact(spark, d):
-    p = {"email": X.FORBIDDEN["EMAIL"]}
-    return _texts(spark, d).select("doc_id", F.sha2(X.redact(F.col("text"), p), 256).alias("redacted"), *X.redaction_counts(F.col("text"), p))
+    k, s = F.col("c_custkey").cast("long"), F.col("c_custkey").cast("string")
+    item = F.struct(F.concat(F.lit("https://u:p@host/"), s).alias("url"), F.lit("x").alias("PASSWORD"), F.lit("a\x07b").alias("note"), k.alias("n"))
+    held = F.when(k % 2 == 0, "[REDACTED:authorization]").otherwise(F.concat(F.lit("Bearer "), s))
+    doc = F.struct(F.concat(F.lit("customer "), s).alias("name"), held.alias("Authorization"), F.struct(F.struct(F.lit("deep").alias("a")).alias("b")).alias("client-Secret"), F.array(item).alias("list"))
+    paths = N.flatten_json(table(spark, d, "customer").select(k.alias("flow_id"), F.to_json(doc).alias("definition")))
+    return X.redact(paths).where("value is not null")
 
 
-@query("SELECT doc_id, array_to_string(list_concat(regexp_extract_all(q, '\"([^\"]+)\"', 1), regexp_extract_all(q, '`([^`]+)`', 1)), '|') AS quotes FROM (SELECT doc_id, '\"' || left(text, 20) || '\" and `' || lang || '`' AS q FROM documents)")
+@query("""SELECT doc_id, sha256(array_to_string(list_concat(regexp_extract_all(q, '"([^"]+)"', 1), regexp_extract_all(q, '`([^`]+)`', 1), regexp_extract_all(q, '“([^”]+)”', 1)), '|')) AS quotes
+FROM (SELECT doc_id, text || ' "' || source || '" and `' || lang || '` “' || doc_id || '”' AS q FROM documents)""")
 def f10_quotations(spark, d):
-    q = F.concat(F.lit('"'), F.left("text", F.lit(20)), F.lit('" and `'), "lang", F.lit("`"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(X.quotations(q), "|").alias("quotes"))
+    q = F.concat("text", F.lit(' "'), "source", F.lit('" and `'), "lang", F.lit("` “"), F.col("doc_id").cast("string"), F.lit("”"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.array_join(X.quotations(q), "|"), 256).alias("quotes"))
 
 
-SLUG = "regexp_replace(left(regexp_replace(regexp_replace(regexp_replace({0}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 120), '[-.]+$', '')"
+SLUG = "left(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({0}), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 120)"
+NAME_SQL = "CASE page_id % 5 WHEN 0 THEN 'LPT' || (page_id % 9 + 1) WHEN 1 THEN '..' || 'cafe' || chr(769) || ' ' || url ELSE url END"
 
 
-@query(f"WITH s AS (SELECT page_id, url, {SLUG.format('url')} AS s FROM pages) SELECT page_id, CASE WHEN s = '' THEN 'unnamed' ELSE s END || '-' || left(sha256(url), 8) AS directory FROM s")
+@query(f"""WITH s AS (SELECT page_id, url, {SLUG.format(NAME_SQL)} AS s FROM pages)
+SELECT page_id, CASE WHEN s = '' THEN 'unnamed' WHEN regexp_matches(s, '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$') THEN s || '-' ELSE s END || '-' || left(sha256(url), 8) AS directory FROM s""")
 def f12_flow_directory(spark, d):
-    return table(spark, d, "pages").select("page_id", X.flow_directory(F.col("url"), F.sha2("url", 256)).alias("directory"))
+    turn = F.col("page_id") % 5
+    name = F.when(turn == 0, F.concat(F.lit("LPT"), (F.col("page_id") % 9 + 1).cast("string"))).when(turn == 1, F.concat(F.lit("..cafe\u0301 "), "url")).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", X.flow_directory(name, F.sha2("url", 256)).alias("directory"))
 
 
 @query("SELECT page_id, regexp_replace('https://user:pw@' || substr(url, strpos(url, '://') + 3), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/@\\s]*@', '\\1') AS url FROM pages")

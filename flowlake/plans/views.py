@@ -23,7 +23,7 @@ edge AS (SELECT flow_id, src || '->' || dst AS edge_id, src, dst,
   CASE WHEN dst = 'click' THEN 'menu-choice' WHEN dst = 'error' THEN 'failure' ELSE 'next' END AS role, CASE WHEN dst IN ('click', 'error') THEN 'on ' || dst END AS label, count(*) AS n
   FROM trans WHERE dst IS NOT NULL AND NOT (dst = 'signup' AND flow_id % 5 = 0) GROUP BY flow_id, src, dst HAVING count(*) >= 4),
 node AS (SELECT user_id AS flow_id, event_type AS node_id, 'step ' || event_type AS name,
-  CASE WHEN event_type = 'purchase' THEN 'TransferAction' WHEN event_type = 'signup' THEN 'DisconnectAction' ELSE 'PlayAction' END AS source_type,
+  CASE WHEN event_type = 'purchase' AND user_id % 4 = 0 THEN 'TransferTaskAction' WHEN event_type = 'purchase' THEN 'TransferAction' WHEN event_type = 'signup' AND user_id % 7 = 0 THEN 'DisconnectLaterAction' WHEN event_type = 'signup' THEN 'DisconnectAction' ELSE 'PlayAction' END AS source_type,
   CASE WHEN event_type = 'view' THEN 'partial' ELSE 'full' END AS support_level, min(event_id) AS ord
   FROM events WHERE NOT (event_type = 'error' AND user_id % 3 = 0) GROUP BY user_id, event_type),
 entry AS (SELECT user_id AS flow_id, arg_min(event_type, event_id) AS node_id FROM events GROUP BY user_id)"""
@@ -40,7 +40,9 @@ def control_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     edge = edge.select("flow_id", F.concat("src", F.lit("->"), "dst").alias("edge_id"), "src", "dst", role.alias("role"), label.alias("label"), "n")
     kept = events.where(~((F.col("event_type") == "error") & (F.col("flow_id") % 3 == 0)))
     node = kept.groupBy("flow_id", F.col("event_type").alias("node_id")).agg(F.min("event_id").alias("ord"))
-    kind = F.when(F.col("node_id") == "purchase", "TransferAction").when(F.col("node_id") == "signup", "DisconnectAction").otherwise("PlayAction")
+    bought, signed = F.col("node_id") == "purchase", F.col("node_id") == "signup"
+    kind = F.when(bought & (F.col("flow_id") % 4 == 0), "TransferTaskAction").when(bought, "TransferAction")
+    kind = kind.when(signed & (F.col("flow_id") % 7 == 0), "DisconnectLaterAction").when(signed, "DisconnectAction").otherwise("PlayAction")
     level = F.when(F.col("node_id") == "view", "partial").otherwise("full")
     node = node.select("flow_id", "node_id", F.concat(F.lit("step "), "node_id").alias("name"), kind.alias("source_type"), level.alias("support_level"), "ord")
     entry = events.groupBy("flow_id").agg(F.min_by("event_type", "event_id").alias("node_id"))

@@ -103,8 +103,8 @@ def test_closure_with_cycle_and_missing(spark):
 def test_texts(spark):
     df = spark.createDataFrame([("a\x00b​c <b>", "https://u:p@h/x", "Foo Bar_baz", 'x "q1" `q2`'), ("", "plain", "con", "")], "t string, u string, n string, q string")
     r = df.select(X.strip_invisible(X.strip_control(F.col("t"))), X.strip_url_credentials(F.col("u")), X.safe_segment(F.col("n")), X.quotations(F.col("q")), X.forbidden_pattern(F.col("t"))).collect()
-    assert tuple(r[0]) == ("abc <b>", "https://h/x", "Foo-Bar_baz", ["q1", "q2"], "CONTROL")
-    assert tuple(r[1]) == ("", "plain", "con_", [], None)
+    assert tuple(r[0]) == ("abc <b>", "https://h/x", "Foo-Bar_baz", ["q1", "q2"], "CONTROL_CHARACTER")
+    assert tuple(r[1]) == ("", "plain", "con-", [], None)
 
 
 def test_greedy_budget_skips_and_goes_on(spark):
@@ -157,3 +157,33 @@ def test_streams_agree_with_batch(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("retired").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.flow_id, r.run) for r in spark.sql("SELECT * FROM retired").collect()} == {(r.flow_id, r.run) for r in C.confirm_retired(runs).collect()}
+
+
+def test_deep_values_and_references_are_kept(spark):
+    doc = json.dumps("end")
+    for _ in range(80):
+        doc = '{"k":' + doc + "}"
+    rows = N.flatten_json(spark.createDataFrame([("f", doc)], "flow_id string, definition string"))
+    assert rows.agg({"depth": "max"}).first()[0] == 80 and rows.where("scalar = 'end'").count() == 1
+    node = spark.createDataFrame([(f"n{i}", "t") for i in range(5)], "key string, type string")
+    edge = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "") for i in range(4)], "src string, dst string, via string")
+    got = {r.key: (r.depth, r.truncated) for r in R.reference_closure(node.where("key = 'n0'"), node, edge, max_depth=2).collect()}
+    assert got == {"n0": (0, False), "n1": (1, False), "n2": (2, True)}
+
+
+def test_branch_roles_and_notes(spark):
+    from flowlake.operators import incremental as C
+
+    df = spark.createDataFrame([("__YES__", False), ("__DEFAULT__", False), ("Plain", False), ("____", True), ("____", False), (None, True), ("0B7A1C22-aaaa-4bbb-8ccc-0123456789ab", False)], "o string, d boolean")
+    assert [r[0] for r in df.select(N.branch_role(df.o, df.d)).collect()] == ["yes", "default", "plain", "dynamic-branch", "branch", "dynamic-branch", "branch"]
+    old = spark.createDataFrame([(1, None, "a", "x"), (2, "d", "a", None), (3, "d", "a", "x")], "flow_id int, division string, type string, name string")
+    new = spark.createDataFrame([(1, "d", "a", "x"), (2, "d", "b", "y"), (3, "d", "a", "z"), (4, "d", "a", "z")], "flow_id int, division string, type string, name string")
+    assert {r.flow_id: r.notes for r in C.metadata_notes(old, new).collect()} == {1: ["DIVISION_CHANGED"], 2: ["TYPE_CHANGED"], 3: ["DISPLAY_NAME_CHANGED"]}
+
+
+def test_redaction_takes_whole_subtrees(spark):
+    doc = json.dumps({"Pass-word": {"a": ["b"]}, "x": [{"cookie": "[REDACTED:authorization]", "y": "https://u@h/"}], "token": "t"})
+    rows = X.redact(N.flatten_json(spark.createDataFrame([("f", doc)], "flow_id string, definition string"))).where("value is not null")
+    assert {r.pointer: (r.value, r.category) for r in rows.collect()} == {
+        "/Pass-word": ("[REDACTED:password]", "password"), "/x/0/cookie": ("[REDACTED:authorization]", None), "/x/0/y": ("https://h/", "url-credential"), "/token": ("t", None)
+    }
