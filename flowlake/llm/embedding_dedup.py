@@ -195,8 +195,8 @@ WITH RECURSIVE good AS (
 links AS (SELECT a.row AS a, b.row AS b, a.vec_id AS a_id, b.vec_id AS b_id FROM good a JOIN good b ON a.label = b.label AND a.row <> b.row AND len(a.v) = len(b.v)
   WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.98),
 counts AS (SELECT a AS row, count(*) AS n FROM links GROUP BY a),
-reached AS (SELECT DISTINCT a_id AS id, b_id AS to FROM links UNION SELECT r.id, l.b_id FROM reached r JOIN links l ON r.to = l.a_id),
-least AS (SELECT id, min(to) AS component FROM reached GROUP BY id)
+reached AS (SELECT DISTINCT a_id AS id, b_id AS other FROM links UNION SELECT r.id, l.b_id FROM reached r JOIN links l ON r.other = l.a_id),
+least AS (SELECT id, min(other) AS component FROM reached GROUP BY id)
 SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, CAST(least(e.vec_id, coalesce(m.component, e.vec_id)) AS BIGINT) AS component_id, e.vec_id <= coalesce(m.component, e.vec_id) AS kept
 FROM (SELECT vec_id FROM embeddings) e LEFT JOIN good g USING (vec_id) LEFT JOIN counts c USING (row) LEFT JOIN least m ON m.id = e.vec_id
 """

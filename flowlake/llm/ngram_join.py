@@ -341,3 +341,16 @@ def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingle AS (SELECT DISTINCT row, array_to_string(list_slice(w, p, p + 4), ' ') AS s FROM (SELECT row, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM docs WHERE len(w) > 0)),
+size AS (SELECT row, count(*) AS n FROM shingle GROUP BY row),
+common AS (SELECT a.row AS a, b.row AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.row < b.row GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN size x ON x.row = a JOIN size y ON y.row = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edge AS (SELECT d.doc_id AS a, e.doc_id AS b FROM link JOIN docs d ON d.row = a JOIN docs e ON e.row = b UNION SELECT e.doc_id, d.doc_id FROM link JOIN docs d ON d.row = a JOIN docs e ON e.row = b),
+reached AS (SELECT a AS id, b AS other FROM edge UNION SELECT r.id, e.b FROM reached r JOIN edge e ON r.other = e.a),
+least AS (SELECT id, min(other) AS component FROM reached GROUP BY id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(least(doc_id, coalesce(component, doc_id)) AS BIGINT) AS component_id FROM docs LEFT JOIN size USING (row) LEFT JOIN least ON id = doc_id
+"""

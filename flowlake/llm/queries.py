@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlake.llm import license, line_dedup, topk
+from flowlake.llm import embedding_dedup, license, line_dedup, ngram_join, substring_dedup, topk
 from flowlake.llm.bpe import op1_bpe
 from flowlake.llm.embedding_dedup import op3_embedding_dedup
 from flowlake.llm.license import op6_license
@@ -18,4 +18,6 @@ QUERIES = {
     f.__name__: f
     for f in (op1_bpe, op2_packing, op3_embedding_dedup, op4_lm_score, op5_topk, op6_license, op7_quality, op8_substring_dedup, op9_line_dedup, op10_ngram_join)
 }
-ORACLES: dict[str, str] = {"op5_topk": topk.ORACLE, "op6_license": license.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": embedding_dedup.ORACLE, "op5_topk": topk.ORACLE, "op6_license": license.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE,
+}

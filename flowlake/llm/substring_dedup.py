@@ -246,13 +246,13 @@ def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-starts AS (SELECT row, w, unnest(range(1, len(w) - 33)) AS at FROM docs WHERE len(w) >= 35),
-hashed AS (SELECT row, at, md5(array_to_string(list_slice(w, at, at + 34), ' ')) AS key FROM starts),
-hits AS (SELECT row, at FROM hashed SEMI JOIN (SELECT key FROM hashed GROUP BY key HAVING count(*) > 1) USING (key)),
-gone AS (SELECT DISTINCT row, unnest(range(at, at + 35)) AS at FROM hits),
-covered AS (SELECT row, list(at) AS gone FROM gone GROUP BY row),
-flat AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM docs),
-left_over AS (SELECT row, string_agg(word, ' ' ORDER BY at) AS kept FROM flat ANTI JOIN gone USING (row, at) GROUP BY row)
+starts AS (SELECT row, w, unnest(range(1, len(w) - 33)) AS pos FROM docs WHERE len(w) >= 35),
+hashed AS (SELECT row, pos, md5(array_to_string(list_slice(w, pos, pos + 34), ' ')) AS key FROM starts),
+hits AS (SELECT row, pos FROM hashed SEMI JOIN (SELECT key FROM hashed GROUP BY key HAVING count(*) > 1) USING (key)),
+gone AS (SELECT DISTINCT row, unnest(range(pos, pos + 35)) AS pos FROM hits),
+covered AS (SELECT row, list(pos) AS gone FROM gone GROUP BY row),
+flat AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs),
+left_over AS (SELECT row, string_agg(word, ' ' ORDER BY pos) AS kept FROM flat ANTI JOIN gone USING (row, pos) GROUP BY row)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs LEFT JOIN covered USING (row) LEFT JOIN left_over USING (row)
 """
