@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its hashed words, pairs of neighbouring words and character n-grams of the lengths ``GRAMS`` (over
+A document's features are its hashed words, pairs of neighbouring words (those of equal words as one) and character n-grams of the lengths ``GRAMS`` (over
 code points). Each feature has a learned vector; a document is the mean of its features' vectors, and a linear layer with a
 softmax over the two labels gives the score. Training is stochastic gradient descent in numpy on at most ``SAMPLE`` labelled
 documents (those with the smallest hash of the id, whole texts). The layer is linear in the mean, so scoring needs one
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from flowlake.llm.words import CHUNK, mix, text_buffer, word_hashes
 
-BUCKETS, DIM, SAMPLE, EPOCHS, RATE, SEED = 1 << 18, 8, 3000, 6, 0.4, 7
-GRAMS, LABELS = (3, 4, 5), 2
+BUCKETS, DIM, SAMPLE, EPOCHS, RATE, SEED = 1 << 18, 8, 3000, 8, 0.8, 7
+GRAMS, LABELS, TWICE = (3, 4, 5), 2, 24301
 
 
 def _grams(points: np.ndarray, size: int) -> np.ndarray:
@@ -35,7 +35,10 @@ def _grams(points: np.ndarray, size: int) -> np.ndarray:
 
 
 def _pairs(words: np.ndarray) -> np.ndarray:
-    return (mix(words[:-1] * np.uint64(3) + words[1:]) % np.uint64(BUCKETS)).astype(np.int32)
+    """Buckets of neighbouring words; all pairs of equal words are one feature."""
+    out = (mix(words[:-1] * np.uint64(3) + words[1:]) % np.uint64(BUCKETS)).astype(np.int32)
+    out[words[:-1] == words[1:]] = TWICE
+    return out
 
 
 def _points(data: bytes) -> np.ndarray:
