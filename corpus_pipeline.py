@@ -65,7 +65,7 @@ STAGES = [
     ("substring_dedup", substring_dedup),
     ("packing", packing),
 ]
-ORACLE_SQL = None  # the classifier and the tokenizer have no SQL form; tests/llm holds stages and run() against brute force
+ORACLE_SQL = None  # the classifier and the tokenizer have no SQL form; tests/llm covers columns, subsets and labelled recall of the stages
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
