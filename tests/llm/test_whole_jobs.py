@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from flowlake.llm import lm_score, ngram_join, topk
+from flowlake.llm import blocks, bpe, lm_score, ngram_join, substring_dedup, topk
 
 
 def test_op4_keeps_its_classes_and_context():
@@ -148,3 +148,16 @@ def test_op10_all_texts_of_one_id_link(spark):
             want = {i: 10 * k + 3 if i // 10 == k else c for i, c in want.items()} | {10 * k + 3: 10 * k + 3}
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
+
+
+def test_payloads_through_districts_give_the_same_answers(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i if i % 7 else None, " ".join(f"w{j}" for j in rng.integers(0, 300, 200)) + (" " + passage if i % 5 == 0 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = lm_score.vocabulary_path("word_bpe_49k.json")
+    run = lambda: [sorted(map(str, f(df).collect())) for f in (substring_dedup.drop_repeated_windows, lambda d: bpe.encode(d, path))]
+    direct = run()
+    monkeypatch.setattr(blocks, "DIRECT", 1)
+    monkeypatch.setattr(blocks, "block_count", lambda *a: 7)
+    assert run() == direct
