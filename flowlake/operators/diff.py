@@ -41,18 +41,22 @@ def match(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     return both.withColumn("op", F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").otherwise("matched"))
 
 
-def diff(before: DataFrame, after: DataFrame, key: list[str], fields: list[str], sets: list[str] = ()) -> DataFrame:
-    """key, op (added, removed, changed, same) and the names of the changed fields; sets compare as multisets."""
+def compare(before: DataFrame, after: DataFrame, key: list[str], fields: list[str], sets: list[str] = ()) -> DataFrame:
+    """key, structs b and a, op (added, removed, changed, same) and the names of the changed fields; sets compare as multisets."""
 
     def differs(f: str):
         b, a = F.col(f"b.{f}"), F.col(f"a.{f}")
         return ~(F.array_sort(b).eqNullSafe(F.array_sort(a)) if f in sets else b.eqNullSafe(a))
 
-    rows = match(before, after, key)
-    changed = F.filter(F.array(*(F.when(differs(f), F.lit(f)) for f in [*fields, *sets])), lambda x: x.isNotNull())
-    rows = rows.withColumn("fields", F.when(F.col("op") == "matched", changed).otherwise(F.array().cast("array<string>")))
-    op = F.when(F.col("op") != "matched", F.col("op")).when(F.size("fields") > 0, "changed").otherwise("same")
-    return rows.select(*key, op.alias("op"), "fields")
+    names = [*fields, *(s for s in sets if s not in fields)]
+    changed = F.array_compact(F.array(*(F.when(differs(f), F.lit(f)) for f in names)))
+    rows = match(before, after, key).withColumn("fields", F.when(F.col("op") == "matched", changed).otherwise(F.array().cast("array<string>")))
+    return rows.withColumn("op", F.when(F.col("op") != "matched", F.col("op")).when(F.size("fields") > 0, "changed").otherwise("same"))
+
+
+def diff(before: DataFrame, after: DataFrame, key: list[str], fields: list[str], sets: list[str] = ()) -> DataFrame:
+    """key, op and changed fields, as ``compare`` finds them."""
+    return compare(before, after, key, fields, sets).select(*key, "op", "fields")
 
 
 def pair_slots(removed: DataFrame, added: DataFrame, slot: list[str]) -> DataFrame:
