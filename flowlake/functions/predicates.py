@@ -28,3 +28,11 @@ def severity_at_least(column, least: str):
 def drop_reserved(column, reserved: list[str]):
     """A map without the reserved keys."""
     return F.map_filter(column, lambda k, v: ~k.isin(reserved))
+
+
+def list_flows(raw: DataFrame, types: list[str] | None = None, divisions: list[int] | None = None) -> DataFrame:
+    """The flows of a discovery: types in lower case, a flow found on several pages once, those of the wanted types and divisions."""
+    rows = raw.withColumn("type", F.lower("type")).dropDuplicates(["flow_id"])
+    if types:
+        rows = rows.where(F.col("type").isin([t.lower() for t in types]))
+    return rows.where(F.col("division_id").isin(divisions)) if divisions else rows

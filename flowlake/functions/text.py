@@ -121,3 +121,13 @@ def redact(paths):
     value = F.when(done, F.col("scalar")).when(kind.isNotNull(), F.concat(F.lit("[REDACTED:"), kind, F.lit("]"))).when(text, strip_control(clean)).otherwise(F.col("scalar"))
     category = F.when(done, None).when(kind.isNotNull(), kind).when(text & (clean != F.col("scalar")), "url-credential").when(text & (strip_control(clean) != clean), "control-characters")
     return rows.select("flow_id", "pointer", value.alias("value"), category.alias("category"))
+
+
+def bounded_bytes(c, most: int):
+    """The longest start of a text within a number of UTF-8 bytes: the cut steps back over the bytes of a character begun."""
+    raw = F.encode(c, "UTF-8")
+    inner = lambda at: F.substr(F.hex(raw), F.lit(2 * at + 1), F.lit(1)).isin("8", "9", "A", "B")
+    at = F.lit(max(most - 3, 0))
+    for n in range(max(most - 2, 0), most + 1):
+        at = F.when(~inner(n), F.lit(n)).otherwise(at)
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.decode(F.substr(raw, F.lit(1), at), "UTF-8"))

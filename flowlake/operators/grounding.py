@@ -12,6 +12,7 @@ from flowlake.functions.text import forbidden_pattern
 # Sections that may be narrated, and the budgets.
 SECTIONS = ["overview", "journeys", "decisions", "dependencies", "risks", "operations", "unknowns"]
 MAX_TEXT, MAX_QUOTE, SECTION_CLAIMS, SECTION_CHARS, DRAFT_CLAIMS, DRAFT_CHARS = 500, 120, 40, 8000, 200, 40000
+MAX_UNKNOWNS = 50
 
 
 def validate_claims(claim: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -64,3 +65,26 @@ def cap_with_record(rows: DataFrame, key: list[str], order: list[str], most: int
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
     omitted = ranked.groupBy(*key).agg(F.max("_r").alias("n")).where(F.col("n") > most)
     return ranked.where(F.col("_r") <= most).drop("_r"), omitted.select(*key, (F.col("n") - most).cast("long").alias("omitted"))
+
+
+def subject_index(rows: DataFrame) -> DataFrame:
+    """What each piece of evidence is about, once: flow_id, evidence_id, kind, id."""
+    return rows.select("flow_id", "evidence_id", "kind", "id").distinct()
+
+
+def subject_supported(claim: DataFrame, index: DataFrame) -> DataFrame:
+    """claim(flow_id, claim_idx, evidence_ids, subject_kind, subject_id) with ``supported``: whether any cited evidence is about the
+    declared subject. A claim without evidence has no support."""
+    cited = claim.select("flow_id", "claim_idx", F.explode("evidence_ids").alias("evidence_id"), F.col("subject_kind").alias("kind"), F.col("subject_id").alias("id"))
+    good = cited.join(index, ["flow_id", "evidence_id", "kind", "id"], "left_semi").select("flow_id", "claim_idx").distinct().withColumn("supported", F.lit(True))
+    return claim.join(good, ["flow_id", "claim_idx"], "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
+
+
+def validate_unknowns(unknown: DataFrame, most: int = MAX_UNKNOWNS, chars: int = MAX_TEXT) -> DataFrame:
+    """unknown(flow_id, idx, text) with its failure or null: once ``most`` are accepted, all later ones of the draft are too many."""
+    from pyspark.sql import Window
+
+    own = F.when(F.col("text").isNull(), "malformed").when(F.length("text") > chars, "too-large").when(forbidden_pattern(F.col("text")).isNotNull(), "forbidden-pattern")
+    before = F.count_if(F.col("failure").isNull()).over(Window.partitionBy("flow_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    rows = unknown.withColumn("failure", own)
+    return rows.withColumn("accepted", before).withColumn("failure", F.when(F.col("accepted") >= most, "draft-too-large").otherwise(F.col("failure"))).drop("accepted")

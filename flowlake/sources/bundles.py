@@ -46,3 +46,23 @@ def write_snapshot(tables: dict[str, DataFrame], root: str, run_id: str) -> None
         df.write.mode("overwrite").parquet(f"{root}/{name}/run_id={run_id}")
     spark = next(iter(tables.values())).sparkSession
     spark.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").json(f"{root}/current_run")
+
+
+def seal_bundle(flows: DataFrame, resources: DataFrame, node: DataFrame, assets: DataFrame, mode: str = "migration", assets_captured: bool = True, truncated: bool = False) -> DataFrame:
+    """One manifest row: counts, a content hash over all rows that doesn't depend on their order, caveats, and whether the bundle can be
+    imported: migration mode, with flows, every reference read. node(type, status, ...), assets(digest, byte_length)."""
+    from flowlake.operators.quality import table_hash
+
+    hashes = None
+    for name, df in (("assets", assets), ("flows", flows), ("graph", node), ("resources", resources)):
+        one = table_hash(df).select(F.lit(name).alias("part"), "rows", "content_hash")
+        hashes = one if hashes is None else hashes.unionByName(one)
+    count = lambda name: F.max(F.when(F.col("part") == name, F.col("rows"))).alias(name)
+    digest = F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "content_hash"))), lambda e: e["content_hash"]), "|"), 256))
+    counts = hashes.agg(count("flows"), count("resources"), count("assets"), digest.alias("content_hash"))
+    missing = node.where("status <> 'resolved'").agg(F.count("*").alias("unresolved"), F.array_sort(F.collect_set("type")).alias("unresolved_types"))
+    size = assets.agg(F.coalesce(F.sum("byte_length"), F.lit(0)).alias("asset_bytes"))
+    out = counts.crossJoin(missing).crossJoin(size)  # one row each
+    migration = F.lit(mode == "migration")
+    caveats = [F.when(F.lit(truncated), "GRAPH_TRUNCATED"), F.when(F.lit(not assets_captured), "ASSETS_NOT_CAPTURED"), F.when(F.lit(mode == "context"), "CONTEXT_MODE"), F.when(migration & (F.col("unresolved") > 0), "REFERENCES_UNREAD")]
+    return out.withColumn("caveats", F.array_compact(F.array(*caveats))).withColumn("importable", migration & (F.col("flows") > 0) & (F.col("unresolved") == 0))
