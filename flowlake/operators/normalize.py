@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.tables import materialize
+from flowlake.tables import discard, materialize
 
 # Node types with modelled semantics.
 KNOWN_TYPES = ["Task", "Menu", "MenuAction", "PlayAudioAction", "TransferMenuAction", "TransferTaskAction", "TransferPureMatchAction", "DecisionAction", "DisconnectAction", "DataAction"]
@@ -17,21 +17,26 @@ _COLUMNS = "flow_id, pointer, parent, key, depth, type, scalar"
 def flatten_json(docs: DataFrame, column: str = "definition") -> DataFrame:
     """flow_id, pointer (RFC 6901), parent, key, depth, type and scalar of every value of every document.
 
-    A round a level over VARIANT values, down to the deepest; documents that don't parse give no rows (see ``unparsable``).
+    A round a level over VARIANT values, down to the deepest; documents that don't parse give no rows (see ``unparsable``). The rows
+    are written once, without the sub-trees of the levels, so that extractors scan only the columns and keys that they ask for.
     """
     view = f"json_level_{uuid.uuid4().hex}"
     level = docs.select("flow_id", F.expr(f"try_parse_json({column})").alias("v")).where("v is not null")
     level = level.select("flow_id", F.lit("").alias("pointer"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("depth"), "v")
-    out = None
+    out, levels = None, []
     while True:
         level = materialize(level, "json")
+        levels.append(level)
         kind = F.expr("regexp_extract(schema_of_variant(v), '^[A-Z]+', 0)")
         scalar = F.when(~kind.isin("OBJECT", "ARRAY"), F.expr("try_variant_get(v, '$', 'string')"))
         rows = level.select("flow_id", "pointer", "parent", "key", "depth", kind.alias("type"), scalar.alias("scalar"))
         out = rows if out is None else out.unionByName(rows)
         if level.isEmpty():
             docs.sparkSession.catalog.dropTempView(view)
-            return out
+            paths = materialize(out, "json_path")
+            for done in levels:
+                discard(done)
+            return paths
         level.createOrReplaceTempView(view)
         level = docs.sparkSession.sql(f"SELECT flow_id, pointer AS parent, coalesce(e.key, cast(e.pos AS string)) AS key, depth + 1 AS depth, e.value AS v FROM {view}, LATERAL variant_explode(v) AS e")
         escaped = F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
