@@ -12,8 +12,8 @@ the format, each a folder of Parquet files that any executor can read through Sp
 combine into that of the document. ``read_range`` decodes only the segments between two positions.
 
 Defined results: null text is empty text, the end id alone; rows with a null doc_id come first; rows with one doc_id lie next to
-each other, the shorter first, then by checksum; documents longer than a block span several, texts of any length are encoded
-in parts cut at white space; an empty table gives files without blocks and no rows; other columns are ignored. Bytes that
+each other, the shorter first, then by checksum; documents longer than a block span several, and a text of any length is
+encoded as a whole; an empty table gives files without blocks and no rows; other columns are ignored. Bytes that
 don't fit their checksums raise ValueError.
 """
 
@@ -21,13 +21,13 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,85 +36,123 @@ from flowlake.llm.bpe import encode_words, id_type, splits_at_spaces, tokenizer,
 from flowlake.llm.ranks import running_start
 from flowlake.tables import discard, materialize, shared_root
 
-BLOCK, AT_ONCE, SHARD_BYTES, PART, KNOWN = 4 * rans.SEGMENT, 16, 64 << 20, 4 << 20, 400_000
+BLOCK, AT_ONCE, SHARD_BYTES, PART, KNOWN = 4 * rans.SEGMENT, 16, 64 << 20, 12 << 20, 1_500_000
 _TOKENS = "doc_id long, n_tokens long, crc long, row long, ids binary"
 _BLOCKS = pa.schema([
     ("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("states", pa.binary()), ("places", pa.binary()), ("words", pa.binary()),
     ("bytes_crc", pa.int64()), ("ids_crc", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("doc_start", pa.list_(pa.int64())), ("begin", pa.list_(pa.int32())), ("after", pa.list_(pa.int64())),
 ])
 _BLOCKS_DDL = "shard int, block int, first long, n_ids int, states binary, places binary, words binary, bytes_crc long, ids_crc long, doc_id array<long>, doc_start array<long>, begin array<int>, after array<long>"
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=?@\[-`{-~]*)")
+_MARKS, _LETTERS = "".join(chr(c) for c in range(33, 127) if not (chr(c).isalnum() or chr(c) == "'")), "^[a-zß-öø-ÿ]*$"
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}  # how byte-level vocabularies write these bytes
+_WITHIN = {b: c for b, c in _BYTE_CHARS.items() if b != 32}
 _encoders: dict[str, WordEncoder] = {}
 
 
-class _Numbers(dict):
-    """Words by the order in which they first come."""
+class _Table:
+    """Distinct strings by number, in the order in which they come."""
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+    def __init__(self, first: list[str]):
+        self.values = pa.array(first, pa.string())
+
+    def numbers(self, distinct: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The number of each of the distinct strings, and those among them that are new."""
+        found = pc.index_in(distinct, self.values)
+        fresh = distinct.filter(found.is_null())
+        out = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        out[out < 0] = np.arange(len(self.values), len(self.values) + len(fresh))
+        if len(fresh):
+            self.values = pa.concat_arrays([self.values, fresh])
+        return out, fresh
 
 
 class WordEncoder:
-    """Ids of texts whose words are encoded once each, as long as no more than ``limit`` of them are known. A word of letters
-    with ASCII marks behind it goes straight to the merges of the model, any other to the tokenizer."""
+    """Ids of texts whose words are encoded once each, as long as no more than ``limit`` of them are known. A word is one or two
+    pieces. Letters and the ASCII marks behind them are written in the characters of the byte-level vocabulary and go straight to the
+    merges of the model, many at a time; any other word is one piece and goes to the tokenizer. The last id of what the merges
+    make of a piece, and no other, is one whose text has the end-of-word mark."""
 
     def __init__(self, path: str, limit: int = KNOWN):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.path, self.limit, self.kind = path, limit, id_type(path)
-        self.model = tokenizer(path).model
+        whole = tokenizer(path)
+        mark = whole.model.end_of_word_suffix
+        self.model = Tokenizer(whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.last = np.array([bool(mark) and (whole.id_to_token(i) or "").endswith(mark) for i in range(whole.get_vocab_size())])
+        single = [_BYTE_CHARS.get(b, chr(b)) for b in range(256)]
+        self.direct = bool(mark) and all(whole.token_to_id(c + mark) is not None for c in single)
         self.forget()
 
     def forget(self) -> None:
-        self.numbers, self.ids, self.size, self.pieces = _Numbers(), [], [], {}
-        self.flat, self.at = np.zeros(0, self.kind), np.zeros(1, np.int64)
-
-    def piece(self, text: str) -> list[int]:
-        if text not in self.pieces:
-            raw = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_CHARS)
-            self.pieces[text] = [t.id for t in self.model.tokenize(raw)]
-        return self.pieces[text]
-
-    def learn(self, words: list[bytes]) -> None:
-        found: list[list[int]] = [[]] * len(words)
-        other = []
-        for i, word in enumerate(words):
-            if m := _PLAIN.fullmatch(word.decode()):
-                letters, marks = m.groups()
-                found[i] = (self.piece(letters.lower()) if letters else []) + (self.piece(marks) if marks else [])
-            else:
-                other.append(i)
-        for i, ids in zip(other, encode_words(self.path, [words[i] for i in other])):
-            found[i] = ids
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), self.kind, int(size.sum()))])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-
-    def part(self, words: list[bytes]) -> np.ndarray:
-        if len(self.numbers) > self.limit:
+        self.words, self.pieces = _Table([""]), _Table([""])
+        self.of_word = np.zeros((1, 2), np.int32)  # the pieces of each word
+        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)  # of each piece in ids
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def _merged(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of letters or marks, and how many each has."""
+        ids = []
+        for i in range(0, len(pieces), 4096):
+            text = " ".join(pieces.slice(i, 4096).to_pylist())
+            raw = text if text.isascii() else text.encode().decode("latin-1").translate(_WITHIN)
+            ids += [np.array(e.ids, self.kind) for e in self.model.encode_batch_fast([raw], add_special_tokens=False)]
+        flat = np.concatenate(ids) if ids else np.zeros(0, self.kind)
+        return flat, np.diff(np.flatnonzero(self.last[flat]) + 1, prepend=0)
+
+    def _whole(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        codes = encode_words(self.path, [w.encode() for w in words.to_pylist()])
+        return np.array([i for x in codes for i in x], self.kind), np.array([len(x) for x in codes], np.int64)
+
+    def learn(self, words: pa.Array) -> None:
+        lower = pc.utf8_lower(words)
+        letters = pc.utf8_rtrim(lower, characters=_MARKS)
+        plain = pc.match_substring_regex(letters, _LETTERS) if self.direct else pa.array(np.zeros(len(words), bool))
+        marks = pc.replace_substring_regex(lower.filter(plain), "^[a-zß-öø-ÿ]*", "")
+        odd = pc.binary_join_element_wise(words.filter(pc.invert(plain)), "", "\n")  # no other piece has a line's end
+        coded = pa.concat_arrays([letters.filter(plain), marks, odd]).dictionary_encode()
+        number, fresh = self.pieces.numbers(coded.dictionary)
+        number, is_plain = number[coded.indices.to_numpy()], plain.to_numpy(zero_copy_only=False)
+        own, n = np.zeros((len(words), 2), np.int32), int(is_plain.sum())
+        own[is_plain, 0], own[is_plain, 1], own[~is_plain, 0] = number[:n], number[n : 2 * n], number[2 * n :]
+        self.of_word = np.concatenate([self.of_word, own])
+        ends_line = pc.ends_with(fresh, "\n")
+        direct, other = self._merged(fresh.filter(pc.invert(ends_line))), self._whole(pc.utf8_rtrim(fresh.filter(ends_line), characters="\n"))
+        at = ends_line.to_numpy(zero_copy_only=False)
+        size, start = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        for rows, (ids, sizes) in ((~at, direct), (at, other)):
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.append(self.ids, np.zeros(len(self.ids) + len(ids), self.kind))
+            self.ids[self.used : self.used + len(ids)] = ids
+            start[rows], size[rows] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.used += len(ids)
+        self.start, self.size = np.append(self.start, start), np.append(self.size, size)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: none)."""
+        if len(self.words.values) > self.limit:
             self.forget()
-        known = len(self.numbers)
-        own = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if new := len(self.numbers) - known:
-            self.learn(list(itertools.islice(reversed(self.numbers), new))[::-1])
-        size = self.at[own + 1] - self.at[own]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.at[own] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-
-    def encode(self, text: str | None) -> np.ndarray:
-        raw = (text or "").encode()
-        if len(raw) <= PART:
-            return self.part(raw.split())
-        out, at = [], 0
-        while at < len(raw):
-            to = at + PART
-            cut = max((raw.rfind(c, at, to) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")), default=-1) if to < len(raw) else len(raw)
-            while cut < 0:  # one word longer than a part
-                to += PART
-                cut = max(raw.rfind(c, at, to) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) if to < len(raw) else len(raw)
-            out.append(self.part(raw[at:cut].split()))
-            at = cut + 1
-        return np.concatenate(out)
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        number, fresh = self.words.numbers(coded.dictionary)
+        if len(fresh):
+            self.learn(fresh)
+        pieces = self.of_word[number[coded.indices.to_numpy()]].ravel()
+        size = self.size[pieces]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.ids[np.repeat(self.start[pieces] - ends[:-1], size) + np.arange(ends[-1])]
+        at = ends[2 * (split.offsets.to_numpy() - split.offsets[0].as_py())]
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about PART bytes of text; a longer text is a slice."""
+    total, lo = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()), 0
+    while lo < len(batch):
+        hi = max(int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PART, side="right")), lo + 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -130,9 +168,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         own = _encoder(path)
         end = np.array([end_id], own.kind)
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                ids = [np.append(own.encode(t.as_py()), end) for t in part["text"]]
+            for part in slices(batch):
+                ids = [np.append(x, end) for x in own.encode(part["text"])]
                 crc = [zlib.crc32(x.astype("<u4")) for x in ids]
                 columns = [part["doc_id"], pa.array(map(len, ids), pa.int64()), pa.array(crc, pa.int64()), part["row"], pa.array([x.tobytes() for x in ids], pa.binary())]
                 yield pa.record_batch(columns, names=["doc_id", "n_tokens", "crc", "row", "ids"])
