@@ -28,7 +28,6 @@ from flowlake.llm.ranks import ranked
 from flowlake.tables import materialize
 
 ARITY, BAND = 3, 5
-WIDTH = ARITY**BAND
 _OUT = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
@@ -64,10 +63,10 @@ class Node:
         return self.lo <= other.lo and other.hi <= self.hi
 
 
-def levels(nodes: list[Node], in_tree: int) -> list[list[Node]]:
+def levels(nodes: list[Node], in_tree: int, height: int) -> list[list[Node]]:
     """The nodes of a packed row and of the levels above them in their band; in_tree: nodes that the whole tree has on their level."""
     out = [nodes]
-    while in_tree > 1 and len(out) <= BAND:
+    while in_tree > 1 and len(out) <= height:
         below = out[-1]
         runs = [below[i : i + ARITY] for i in range(0, len(below), ARITY)]
         out.append([Node(r[0].lo, r[-1].hi, digest(x.digest for x in r)) for r in runs])
@@ -102,9 +101,8 @@ def fold(leaf: bytes, proof: bytes, places: Iterable[tuple[int, int]]) -> bytes:
     return leaf
 
 
-def packed(nodes: DataFrame, band: int, *more: str) -> DataFrame:
-    """The nodes (tree, n, lo, hi, digest) of a band in rows of at most WIDTH, each with its interval."""
-    width = WIDTH ** (band + 1)
+def packed(nodes: DataFrame, width: int, *more: str) -> DataFrame:
+    """The nodes (tree, n, lo, hi, digest) that lie in an interval of width as one row, with its interval."""
     items = F.sort_array(F.collect_list(F.struct("lo", "hi", "digest", *more))).alias("items")
     return nodes.groupBy("tree", "n", F.floor(F.col("lo") / width).alias("place")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), items)
 
@@ -113,30 +111,37 @@ def _nodes(items: list[dict]) -> list[Node]:
     return [Node(x["lo"], x["hi"], x["digest"].hex().encode()) for x in items]
 
 
-def _grown(row: dict, band: int) -> list[list[Node]]:
-    return levels(_nodes(row["items"]), -(-row["n"] // WIDTH**band))
+def _grown(row: dict, band: int, height: int) -> list[list[Node]]:
+    return levels(_nodes(row["items"]), -(-row["n"] // ARITY ** (height * band)), height)
 
 
 class Forest:
     """The bands of trees whose leaves are (tree, n, lo, hi, digest), from below."""
 
-    def __init__(self, base: DataFrame, *more: str):
+    def __init__(self, base: DataFrame, height: int, *more: str):
+        self.height = height
         self.bands: list[DataFrame] = []
         most = base.agg(F.max("n").alias("m")).first()["m"] or 0
         nodes, band = base, 0
         while True:
-            self.bands.append(materialize(packed(nodes, band, *(more if not band else ())), f"band{band}"))
+            self.bands.append(materialize(packed(nodes, self.width(band), *(more if not band else ())), f"band{band}"))
             nodes = self._tops(band)
-            if most <= WIDTH ** (band + 1):
+            if most <= self.width(band):
                 break
             band += 1
         self.roots = nodes  # one node a tree
 
+    def width(self, band: int) -> int:
+        """Leaves below a packed row of a band."""
+        return ARITY ** (self.height * (band + 1))
+
     def _tops(self, band: int) -> DataFrame:
+        height = self.height
+
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = batch.to_pylist()
-                top = [_grown(r, band)[-1][0] for r in rows]
+                top = [_grown(r, band, height)[-1][0] for r in rows]
                 columns = [batch["tree"], batch["n"], pa.array([x.lo for x in top], pa.int64()), pa.array([x.hi for x in top], pa.int64()), pa.array([bytes.fromhex(x.digest.decode()) for x in top], pa.binary())]
                 yield pa.record_batch(columns, names=["tree", "n", "lo", "hi", "digest"])
 
@@ -144,20 +149,21 @@ class Forest:
 
     def known(self, above: DataFrame, band: int) -> DataFrame:
         """Packed rows of a band with what the node that contains them knows: ``above`` has tree, lo, hi and proof."""
-        width = WIDTH ** (band + 1)
+        width = self.width(band)
         up = above.select(F.col("tree").alias("_tree"), F.floor(F.col("lo") / width).alias("_place"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "proof")
         inside = (F.col("_lo") <= F.col("lo")) & (F.col("hi") <= F.col("_hi"))
         return self.bands[band].join(up, (F.col("tree") == F.col("_tree")) & (F.col("place") == F.col("_place")) & inside)
 
     def handed_down(self, above: DataFrame, down_to: int) -> DataFrame:
         """What the nodes of band down_to - 1's tops know: tree, lo, hi, proof; above: that of the roots."""
+        height = self.height
 
         def step(band: int):
             def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     rows = []
                     for r in batch.to_pylist():
-                        grown = _grown(r, band)
+                        grown = _grown(r, band, height)
                         rows += [(r["tree"], x.lo, x.hi, p) for x, p in zip(grown[0], proofs(grown, r["proof"]))]
                     columns = zip(*rows) if rows else [[]] * 4
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["tree", "lo", "hi", "proof"])
@@ -169,8 +175,8 @@ class Forest:
         return above
 
 
-def manifest(docs: DataFrame) -> DataFrame:
-    """One row a document; see the module."""
+def manifest(docs: DataFrame, height: int = BAND) -> DataFrame:
+    """One row a document; see the module. height: levels of a band."""
     spark = docs.sparkSession
     own = materialize(leaves(docs).withColumn("row", F.monotonically_increasing_id()), "leaves")
     sources = materialize(ranked(own.groupBy("source").agg(F.count("*").alias("n")), [], ["source"]).withColumnRenamed("rank", "tree"), "sources")
@@ -179,9 +185,9 @@ def manifest(docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], _OUT)
     placed = ranked(own, ["source"], ["doc_id", "leaf", "row"]).alias("a").join(sources.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
     base = placed.select("b.tree", "b.n", F.col("rank").alias("lo"), (F.col("rank") + 1).alias("hi"), F.col("leaf").alias("digest"), "doc_id", "tampered")
-    trees = Forest(base, "doc_id", "tampered")
+    trees = Forest(base, height, "doc_id", "tampered")
     subroots = materialize(trees.roots, "subroots")
-    top = Forest(subroots.select(F.lit(0).cast("long").alias("tree"), F.lit(n_sources).cast("long").alias("n"), F.col("tree").alias("lo"), (F.col("tree") + 1).alias("hi"), "digest"))
+    top = Forest(subroots.select(F.lit(0).cast("long").alias("tree"), F.lit(n_sources).cast("long").alias("n"), F.col("tree").alias("lo"), (F.col("tree") + 1).alias("hi"), "digest"), height)
     root = top.roots.first()["digest"].hex()
     nothing = spark.createDataFrame([(0, 0, n_sources, b"")], "tree long, lo long, hi long, proof binary")
     over = top.handed_down(nothing, 0).select(F.col("lo").alias("tree"), "proof")
@@ -193,7 +199,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                grown, out = _grown(r, 0), []
+                grown, out = _grown(r, 0, height), []
                 for item, node, proof in zip(r["items"], grown[0], proofs(grown, r["proof"])):
                     start = item["tampered"].hex().encode() if item["tampered"] else node.digest
                     folded = fold(start, proof, ((item["lo"], r["n"]), (r["tree"], n_sources))).decode()

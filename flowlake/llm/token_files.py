@@ -43,7 +43,7 @@ _BLOCKS = pa.schema([
     ("bytes_crc", pa.int64()), ("ids_crc", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("doc_start", pa.list_(pa.int64())), ("begin", pa.list_(pa.int32())), ("after", pa.list_(pa.int64())),
 ])
 _BLOCKS_DDL = "shard int, block int, first long, n_ids int, states binary, places binary, words binary, bytes_crc long, ids_crc long, doc_id array<long>, doc_start array<long>, begin array<int>, after array<long>"
-_MARKS, _LETTERS = "".join(chr(c) for c in range(33, 127) if not (chr(c).isalnum() or chr(c) == "'")), "^[a-zß-öø-ÿ]*$"
+_MARKS, _LETTERS = "".join(chr(c) for c in range(33, 127) if not (chr(c).isalnum() or chr(c) == "'")), "[A-Za-zÀ-ÖØ-öø-ÿ]*"
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}  # how byte-level vocabularies write these bytes
 _WITHIN = {b: c for b, c in _BYTE_CHARS.items() if b != 32}
 _encoders: dict[str, WordEncoder] = {}
@@ -106,12 +106,11 @@ class WordEncoder:
         return np.array([i for x in codes for i in x], self.kind), np.array([len(x) for x in codes], np.int64)
 
     def learn(self, words: pa.Array) -> None:
-        lower = pc.utf8_lower(words)
-        letters = pc.utf8_rtrim(lower, characters=_MARKS)
-        plain = pc.match_substring_regex(letters, _LETTERS) if self.direct else pa.array(np.zeros(len(words), bool))
-        marks = pc.replace_substring_regex(lower.filter(plain), "^[a-zß-öø-ÿ]*", "")
+        letters = pc.utf8_rtrim(words, characters=_MARKS)
+        plain = pc.match_substring_regex(letters, f"^{_LETTERS}$") if self.direct else pa.array(np.zeros(len(words), bool))
+        marks = pc.replace_substring_regex(words.filter(plain), f"^{_LETTERS}", "")
         odd = pc.binary_join_element_wise(words.filter(pc.invert(plain)), "", "\n")  # no other piece has a line's end
-        coded = pa.concat_arrays([letters.filter(plain), marks, odd]).dictionary_encode()
+        coded = pa.concat_arrays([pc.utf8_lower(letters.filter(plain)), marks, odd]).dictionary_encode()
         number, fresh = self.pieces.numbers(coded.dictionary)
         number, is_plain = number[coded.indices.to_numpy()], plain.to_numpy(zero_copy_only=False)
         own, n = np.zeros((len(words), 2), np.int32), int(is_plain.sum())
