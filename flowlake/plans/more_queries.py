@@ -123,12 +123,6 @@ def b1_identity(spark, d):
     return catalogue(spark, d).join(nation, "division_id", "left").join(region, "r_regionkey", "left").select("flow_id", "name", "type", state.alias("state"), "division", "region")
 
 
-@query("SELECT o_custkey AS flow_id, o_orderkey AS evidence, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS mark, count(*) OVER (PARTITION BY o_custkey, o_orderstatus) AS of_class FROM orders")
-def b10_evidence_index(spark, d):
-    by = Window.partitionBy("o_custkey")
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("flow_id"), F.col("o_orderkey").alias("evidence"), F.dense_rank().over(by.orderBy("o_orderdate", "o_orderkey")).cast("long").alias("mark"), F.count("*").over(Window.partitionBy("o_custkey", "o_orderstatus")).alias("of_class"))
-
-
 @query("SELECT o_custkey AS flow_id, count(*) AS versions, count(DISTINCT o_orderstatus) AS states, array_to_string(list_sort(list(o_orderkey))[1:10], ',') AS first FROM orders GROUP BY ALL")
 def b15_inspection(spark, d):
     some = F.array_join(F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 10), ",")

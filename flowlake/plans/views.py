@@ -148,3 +148,54 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     version = F.when(F.col("c_acctbal") > 0, F.round("c_acctbal").cast("long"))
     return c.select(F.col("c_custkey").alias("flow_id"), F.right("c_name", F.lit(2)).alias("name"), F.col("c_mktsegment").alias("type"), F.col("c_nationkey").alias("division_id"), version.alias("published_version"))
+
+
+# --- S: flows of some hundred nodes ------------------------------------------------------------------------------
+# A supplier's lines in order: 110 runs of four, closed and open in turn, then one long cycle.
+S_SQL = """
+line AS (SELECT l_suppkey AS flow_id, l_orderkey, l_partkey, l_returnflag, l_linestatus, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus) - 1 AS rn FROM lineitem),
+sized AS (SELECT *, count(*) OVER (PARTITION BY flow_id) AS n FROM line),
+flow AS (SELECT DISTINCT flow_id, 'Flow ' || flow_id AS name, 'inboundcall' AS type, CASE WHEN flow_id % 4 = 0 THEN repeat('long ', 300) WHEN flow_id % 2 = 0 THEN 'about ' || flow_id END AS description FROM line),
+node AS (SELECT flow_id, 'n' || lpad(CAST(rn AS VARCHAR), 9, '0') AS node_id, 'Step ' || l_orderkey AS name, CASE l_returnflag WHEN 'R' THEN 'DataAction' WHEN 'A' THEN 'PlayAudioAction' ELSE 'DecisionAction' END AS source_type,
+  '/flowSequenceItemList/0/actionList/' || rn AS pointer, rn, n, l_orderkey, l_partkey, l_returnflag, l_linestatus FROM sized),
+step AS (SELECT flow_id, rn, rn + 1 AS to_rn, 'next' AS role FROM sized WHERE rn + 1 < n AND (rn >= 440 OR rn % 4 < 3)
+  UNION ALL SELECT flow_id, rn, rn - 3, 'loop' FROM sized WHERE rn < 440 AND rn % 8 = 3 UNION ALL SELECT flow_id, rn, 440, 'loop' FROM sized WHERE rn + 1 = n AND rn > 440
+  UNION ALL SELECT flow_id, rn, 1000000 + rn, 'failure' FROM sized WHERE rn % 50 = 0),
+edge AS (SELECT flow_id, 'n' || lpad(CAST(rn AS VARCHAR), 9, '0') AS src, 'n' || lpad(CAST(to_rn AS VARCHAR), 9, '0') AS dst, role FROM step),
+entry AS (SELECT flow_id, node_id FROM node WHERE rn = 0 OR rn < 440 AND rn % 8 = 4),
+variable AS (SELECT flow_id, variable_id, 'var ' || variable_id AS name, 'flow' AS scope, l_partkey % 10 = 0 AS secure, '/variables/' || (row_number() OVER (PARTITION BY flow_id ORDER BY variable_id) - 1) AS pointer
+  FROM (SELECT DISTINCT flow_id, 'v' || l_partkey || l_linestatus AS variable_id, l_partkey FROM line)),
+dependency AS (SELECT flow_id, dependency_id, type, CASE WHEN l_orderkey % 7 <> 0 THEN 'Dep ' || l_orderkey END AS display_name, CASE WHEN l_orderkey % 5 = 0 THEN 'not-found' ELSE 'resolved' END AS status,
+  '/manifest/' || type || '/' || (row_number() OVER (PARTITION BY flow_id, type ORDER BY dependency_id) - 1) AS pointer
+  FROM (SELECT DISTINCT flow_id, 'd' || l_orderkey AS dependency_id, l_orderkey, CASE l_orderkey % 3 WHEN 0 THEN 'dataAction' WHEN 1 THEN 'queue' ELSE 'userPrompt' END AS type FROM line))"""
+
+
+def supplier_flows(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """flow, node, edge, entry, variable, use and dependency."""
+    order = Window.partitionBy("flow_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("flow_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
+    line = line.withColumn("rn", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("flow_id")))
+    text = lambda c: F.col(c).cast("string")
+    node_id = lambda c: F.concat(F.lit("n"), F.lpad(c.cast("string"), 9, "0"))
+    flow_id, rn = F.col("flow_id"), F.col("rn")
+    about = F.when(flow_id % 4 == 0, F.repeat(F.lit("long "), F.lit(300))).when(flow_id % 2 == 0, F.concat(F.lit("about "), text("flow_id")))
+    flow = line.select("flow_id").distinct().select("flow_id", F.concat(F.lit("Flow "), text("flow_id")).alias("name"), F.lit("inboundcall").alias("type"), about.alias("description"))
+    kind = F.when(F.col("l_returnflag") == "R", "DataAction").when(F.col("l_returnflag") == "A", "PlayAudioAction").otherwise("DecisionAction")
+    node = line.select("flow_id", node_id(rn).alias("node_id"), F.concat(F.lit("Step "), text("l_orderkey")).alias("name"), kind.alias("source_type"), F.concat(F.lit("/flowSequenceItemList/0/actionList/"), text("rn")).alias("pointer"), "rn")
+    step = lambda on, to, role: F.when(on, F.struct(to.cast("int").alias("to"), F.lit(role).alias("role")))
+    steps = F.array_compact(F.array(
+        step((rn + 1 < F.col("n")) & ((rn >= 440) | (rn % 4 < 3)), rn + 1, "next"), step((rn < 440) & (rn % 8 == 3), rn - 3, "loop"),
+        step((rn + 1 == F.col("n")) & (rn > 440), F.lit(440), "loop"), step(rn % 50 == 0, rn + 1000000, "failure"),
+    ))
+    edge = line.select("flow_id", "rn", F.explode(steps).alias("s")).select("flow_id", node_id(rn).alias("src"), node_id(F.col("s.to")).alias("dst"), "s.role")
+    entry = node.where((rn == 0) | ((rn < 440) & (rn % 8 == 4))).select("flow_id", "node_id")
+    var = F.concat(F.lit("v"), text("l_partkey"), "l_linestatus")
+    at = lambda *keys: (F.row_number().over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1])) - 1).cast("string")
+    variable = line.select("flow_id", var.alias("variable_id"), "l_partkey").distinct()
+    variable = variable.select("flow_id", "variable_id", F.concat(F.lit("var "), "variable_id").alias("name"), F.lit("flow").alias("scope"), (F.col("l_partkey") % 10 == 0).alias("secure"), F.concat(F.lit("/variables/"), at("flow_id", "variable_id")).alias("pointer"))
+    mode = F.when(F.col("l_returnflag") == "R", "read").otherwise("write")
+    use = line.where(F.col("l_returnflag").isin("R", "A")).select("flow_id", var.alias("variable_id"), node_id(rn).alias("node_id"), mode.alias("mode"))
+    key = F.col("l_orderkey")
+    dep = line.select("flow_id", F.concat(F.lit("d"), text("l_orderkey")).alias("dependency_id"), "l_orderkey", F.when(key % 3 == 0, "dataAction").when(key % 3 == 1, "queue").otherwise("userPrompt").alias("type")).distinct()
+    dep = dep.select("flow_id", "dependency_id", "type", F.when(key % 7 != 0, F.concat(F.lit("Dep "), text("l_orderkey"))).alias("display_name"), F.when(key % 5 == 0, "not-found").otherwise("resolved").alias("status"), F.concat(F.lit("/manifest/"), "type", F.lit("/"), at("flow_id", "type", "dependency_id")).alias("pointer"))
+    return {"flow": flow, "node": node.drop("rn"), "edge": edge, "entry": entry, "variable": variable, "use": use, "dependency": dep}
