@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.tables import discard, materialize
+from flowlake.tables import materialize
 
 MAX_ROUNDS = 10_000
 
@@ -49,29 +49,112 @@ def terminal_nodes(node: DataFrame, edge: DataFrame) -> DataFrame:
     return node.join(out, ["flow_id", "node_id"], "left_anti")
 
 
-def transitive_closure(edge: DataFrame) -> DataFrame:
-    """flow_id, src, dst over paths of any length, by doubling; the number of rounds is logarithmic."""
-    pairs = materialize(edge.select("flow_id", "src", "dst").distinct(), "closure")
-    size = pairs.count()
-    while size:
-        right = pairs.select("flow_id", F.col("src").alias("dst"), F.col("dst").alias("far"))
-        longer = pairs.join(right, ["flow_id", "dst"]).select("flow_id", "src", F.col("far").alias("dst"))
-        after = materialize(pairs.unionByName(longer).distinct(), "closure")
-        discard(pairs)
-        pairs, before = after, size
-        size = pairs.count()
-        if size == before:
-            break
-    return pairs
+SMALL_FLOW = 50_000  # edges of a flow that one task takes whole
+
 
+def strongly_connected_components(node: DataFrame, edge: DataFrame, small: int = SMALL_FLOW) -> DataFrame:
+    """flow_id, component (its smallest node), size and sorted nodes, of two nodes or more or with a self-loop.
 
-def strongly_connected_components(node: DataFrame, edge: DataFrame) -> DataFrame:
-    """flow_id, component (its smallest node), size and sorted nodes, of two nodes or more or with a self-loop."""
-    paths = transitive_closure(valid_edges(node, edge))
-    back = paths.select("flow_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = paths.join(back, ["flow_id", "src", "dst"])  # a node on no cycle is not mutual with itself
-    of = mutual.groupBy("flow_id", F.col("src").alias("node_id")).agg(F.min("dst").alias("component"))
-    return of.groupBy("flow_id", "component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node_id")).alias("nodes"))
+    A flow of at most ``small`` edges is one group, searched depth-first in time linear in its edges; larger ones are
+    coloured together by joins (see ``coloured_components``), so no group grows without bound."""
+    steps = materialize(valid_edges(node, edge).select("flow_id", "src", "dst").distinct(), "steps")
+    large = materialize(steps.groupBy("flow_id").agg(F.count("*").alias("n")).where(F.col("n") > small).select("flow_id"), "large")
+    kinds = {c: steps.schema[c].dataType.simpleString() for c in ("flow_id", "src")}
+    members = steps.join(large, "flow_id", "left_anti").groupBy("flow_id").applyInArrow(_components_of_flow, f"flow_id {kinds['flow_id']}, node_id {kinds['src']}, component {kinds['src']}")
+    if not large.isEmpty():
+        members = members.unionByName(coloured_components(steps.join(large, "flow_id", "left_semi")))
+    return members.groupBy("flow_id", "component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node_id")).alias("nodes"))
+
+
+def _components_of_flow(rows: pa.Table) -> pa.Table:
+    """Members of the components of one flow; nodes are visited from an explicit stack."""
+    ahead: dict = {}
+    for a, b in zip(rows["src"].to_pylist(), rows["dst"].to_pylist()):
+        ahead.setdefault(a, []).append(b)
+    number: dict = {}
+    low, open_nodes, on_path, found = {}, [], set(), []
+    for start in ahead:
+        if start in number:
+            continue
+        work = [(start, iter(ahead[start]))]
+        number[start] = low[start] = len(number)
+        open_nodes.append(start)
+        on_path.add(start)
+        while work:
+            at, rest = work[-1]
+            for to in rest:
+                if to not in number:
+                    number[to] = low[to] = len(number)
+                    open_nodes.append(to)
+                    on_path.add(to)
+                    work.append((to, iter(ahead.get(to, ()))))
+                    break
+                if to in on_path:
+                    low[at] = min(low[at], number[to])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[at])
+                if low[at] == number[at]:
+                    own = [open_nodes.pop()]
+                    while own[-1] != at:
+                        own.append(open_nodes.pop())
+                    on_path.difference_update(own)
+                    if len(own) > 1 or at in ahead.get(at, ()):
+                        first = min(own)
+                        found += [(n, first) for n in own]
+    flow, kind = rows.schema.field("flow_id").type, rows.schema.field("src").type
+    return pa.table([pa.array([rows["flow_id"][0].as_py()] * len(found), flow), pa.array([n for n, _ in found], kind), pa.array([c for _, c in found], kind)], names=["flow_id", "node_id", "component"])
+
+
+def coloured_components(steps: DataFrame) -> DataFrame:
+    """flow_id, node_id, component over distinct edges (flow_id, src, dst), by rounds of trimming and colouring.
+
+    A round drops edges whose start has no edge in or whose end has no edge out; gives every node the smallest node that reaches it as
+    its colour; and walks back from each node that kept its own colour, within the colour: what it meets is its component. Edges
+    between colours and of found nodes go, and the rest is coloured anew. Every step writes only what is new in it, so rows stay
+    within a small multiple of the edges."""
+    loops = steps.where("src = dst").select("flow_id", F.col("src").alias("node_id"), F.col("src").alias("component"))
+    rest, out = steps.where("src <> dst"), None
+    for _ in range(MAX_ROUNDS):
+        ends, starts = rest.select("flow_id", F.col("dst").alias("src")).distinct(), rest.select("flow_id", F.col("src").alias("dst")).distinct()
+        rest = materialize(rest.join(ends, ["flow_id", "src"], "left_semi").join(starts, ["flow_id", "dst"], "left_semi"), "steps")
+        if rest.isEmpty():
+            break
+        colour = materialize(_colours(rest), "colour")
+        inside = rest.join(colour.select("flow_id", F.col("node_id").alias("src"), "colour"), ["flow_id", "src"]).join(colour.select("flow_id", F.col("node_id").alias("dst"), "colour"), ["flow_id", "dst", "colour"])
+        inside = materialize(inside, "inside")
+        ahead = inside.where("dst = colour").select("flow_id", F.col("src").alias("node_id"), "colour").distinct()
+        met = frontier = materialize(ahead.unionByName(ahead.select("flow_id", F.col("colour").alias("node_id"), "colour")).distinct(), "members")
+        while True:
+            back = inside.join(frontier.select("flow_id", F.col("node_id").alias("dst")), ["flow_id", "dst"]).select("flow_id", F.col("src").alias("node_id"), "colour").distinct()
+            frontier = materialize(back.join(met, ["flow_id", "node_id"], "left_anti"), "members")
+            if frontier.isEmpty():
+                break
+            met = met.unionByName(frontier)
+        out = met if out is None else out.unionByName(met)
+        gone = met.select("flow_id", F.col("node_id").alias("src"))
+        rest = inside.select("flow_id", "src", "dst").join(gone, ["flow_id", "src"], "left_anti").join(gone.withColumnRenamed("src", "dst"), ["flow_id", "dst"], "left_anti")
+    if out is None:
+        return loops
+    found = out.withColumnRenamed("colour", "component")
+    return found.unionByName(loops.join(found, ["flow_id", "node_id"], "left_anti"))
+
+
+def _colours(steps: DataFrame) -> DataFrame:
+    """flow_id, node_id and colour: the smallest node that reaches it, itself included; a round tells the neighbours only of what changed."""
+    nodes = steps.select("flow_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    all_of = changed = nodes.withColumn("colour", F.col("node_id"))
+    for k in range(MAX_ROUNDS):
+        told = steps.join(changed.select("flow_id", F.col("node_id").alias("src"), "colour"), ["flow_id", "src"]).groupBy("flow_id", F.col("dst").alias("node_id")).agg(F.min("colour").alias("colour"))
+        was = all_of.select("flow_id", "node_id", F.col("colour").alias("was"))
+        changed = materialize(told.join(was, ["flow_id", "node_id"]).where("colour < was").drop("was"), "changed")
+        if changed.isEmpty():
+            return all_of
+        all_of = all_of.unionByName(changed).groupBy("flow_id", "node_id").agg(F.min("colour").alias("colour"))
+        if k % 4 == 3:  # else the plan grows with the rounds
+            all_of = materialize(all_of, "colours")
+    raise RuntimeError("colours did not settle")
 
 
 def nodes_in_cycles(components: DataFrame) -> DataFrame:
