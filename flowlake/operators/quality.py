@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def schema_validate(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -63,3 +67,48 @@ def stability_gate(first: DataFrame, second: DataFrame) -> DataFrame:
     both = first.select("id", F.col("digest").alias("d1")).join(second.select("id", F.col("digest").alias("d2")), "id")
     out = both.agg(F.count("*").alias("assets"), F.count_if(F.col("d1") != F.col("d2")).alias("unstable"))
     return out.withColumn("verdict", F.when(F.col("assets") == 0, "INCONCLUSIVE").when(F.col("unstable") > 0, "FAIL").otherwise("PASS"))
+
+
+MAX_CANARIES = 100_000  # patterns of one automaton, which every task builds
+
+
+def canary_scan(tables: dict[str, tuple[DataFrame, str]], canaries: list[tuple[str, str]]) -> DataFrame:
+    """table, column, key and canary of every planted text found in any text column, or inside a nested column, of the tables.
+
+    tables has a name, its rows and their key; canaries an id and a text. All texts are looked for at once: each task builds one
+    automaton of them (their number is bounded) and walks every value once, whatever their number. An empty text is no canary."""
+    import ahocorasick  # noqa: F401  fails here rather than in a task
+
+    if len(canaries) > MAX_CANARIES:
+        raise ValueError(f"more than {MAX_CANARIES} canaries")
+    planted: dict[str, list[str]] = {}
+    for name, text in canaries:
+        if text:
+            planted.setdefault(text, []).append(name)
+
+    def find(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for text, names in planted.items():
+            automaton.add_word(text, names)
+        automaton.make_automaton()
+        for batch in batches:
+            out = []
+            for column, cells in zip(batch.schema.names[2:], batch.columns[2:]):
+                for at, cell in enumerate(cells):
+                    if cell.is_valid:
+                        out += [(at, column, name) for name in sorted({n for _, names in automaton.iter(cell.as_py()) for n in names})]
+            at = pa.array([x[0] for x in out], pa.int32())
+            yield pa.record_batch([batch.column(0).take(at), pa.array([x[1] for x in out], pa.string()), batch.column(1).take(at), pa.array([x[2] for x in out], pa.string())], names=["table", "column", "key", "canary"])
+
+    parts = []
+    for name, (rows, key) in tables.items():
+        texts = [f.name for f in rows.schema if isinstance(f.dataType, T.StringType)]
+        nested = [f.name for f in rows.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+        cells = [F.col(f"`{c}`").alias(c) for c in texts] + [F.to_json(f"`{c}`").alias(c) for c in nested]
+        if cells and planted:
+            parts.append(rows.select(F.lit(name).alias("table"), F.col(f"`{key}`").cast("string").alias("key"), *cells).mapInArrow(find, "table string, column string, key string, canary string"))
+    if not parts:
+        return next(iter(tables.values()))[0].sparkSession.createDataFrame([], "table string, column string, key string, canary string")
+    return reduce(DataFrame.unionByName, parts)

@@ -10,6 +10,7 @@ from flowlake.functions.nfc import nfc
 from flowlake.operators import diff as D
 from flowlake.operators import incremental as C
 from flowlake.operators import normalize as N
+from flowlake.operators import quality as I
 from flowlake.operators import resources as R
 from flowlake.plans.registry import query
 from flowlake.plans.views import M_SQL, O_SQL, P_SQL, R_SQL, catalogue, manifest_pair, resource_graph, snapshot_pair, table
@@ -284,9 +285,18 @@ def f15_kebab_case(spark, d):
     return table(spark, d, "events").select("event_id", X.kebab_case(name).alias("kebab"))
 
 
-@query("SELECT count(*) FILTER (text LIKE '%scum%') AS hits, count(*) AS docs FROM documents")
+CANARY_SQL = """canary AS (SELECT 'b' || item_id AS id, left(text, 40) AS text FROM benchmark WHERE length(text) >= 40 UNION ALL SELECT 'c', 'Customer#000000001' UNION ALL SELECT 'none', 'this is planted nowhere'),
+cell AS (SELECT 'documents' AS tbl, 'text' AS col, CAST(doc_id AS VARCHAR) AS key, text AS cell FROM documents UNION ALL SELECT 'documents', 'source', CAST(doc_id AS VARCHAR), source FROM documents
+  UNION ALL SELECT 'documents', 'lang', CAST(doc_id AS VARCHAR), lang FROM documents UNION ALL SELECT 'customer', 'c_name', CAST(c_custkey AS VARCHAR), c_name FROM customer
+  UNION ALL SELECT 'customer', 'c_mktsegment', CAST(c_custkey AS VARCHAR), c_mktsegment FROM customer UNION ALL SELECT 'pages', 'url', CAST(page_id AS VARCHAR), url FROM pages UNION ALL SELECT 'pages', 'html', CAST(page_id AS VARCHAR), html FROM pages)"""
+
+
+@query(f"WITH {CANARY_SQL} SELECT DISTINCT tbl AS \"table\", col AS \"column\", key, id AS canary FROM cell JOIN canary ON contains(cell.cell, canary.text)")
 def q9_canary_scan(spark, d):
-    return table(spark, d, "documents").agg(F.count_if(F.contains("text", F.lit("scum"))).alias("hits"), F.count("*").alias("docs"))
+    """Starts of benchmark items and a customer's name, looked for in all texts of three tables."""
+    planted = table(spark, d, "benchmark").where(F.length("text") >= 40).select(F.concat(F.lit("b"), F.col("item_id").cast("string")), F.left("text", F.lit(40)))
+    canaries = [tuple(r) for r in planted.limit(I.MAX_CANARIES + 1).collect()] + [("c", "Customer#000000001"), ("none", "this is planted nowhere")]
+    return I.canary_scan({"documents": (table(spark, d, "documents"), "doc_id"), "customer": (table(spark, d, "customer"), "c_custkey"), "pages": (table(spark, d, "pages"), "page_id")}, canaries)
 
 
 # ---------------------------------------------------------------- catalogue (view P)
