@@ -86,29 +86,33 @@ def canary_scan(tables: dict[str, tuple[DataFrame, str]], canaries: list[tuple[s
         if text:
             planted.setdefault(text, []).append(name)
 
-    def find(batches):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for text, names in planted.items():
-            automaton.add_word(text, names)
-        automaton.make_automaton()
-        for batch in batches:
-            out = []
-            for column, cells in zip(batch.schema.names[2:], batch.columns[2:]):
-                for at, cell in enumerate(cells):
-                    if cell.is_valid:
-                        out += [(at, column, name) for name in sorted({n for _, names in automaton.iter(cell.as_py()) for n in names})]
-            at = pa.array([x[0] for x in out], pa.int32())
-            yield pa.record_batch([batch.column(0).take(at), pa.array([x[1] for x in out], pa.string()), batch.column(1).take(at), pa.array([x[2] for x in out], pa.string())], names=["table", "column", "key", "canary"])
+    def finder(columns: list[str]):
+        def find(batches):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for text, names in planted.items():
+                automaton.add_word(text, names)
+            automaton.make_automaton()
+            for batch in batches:
+                out = []
+                for column, cells in zip(columns, batch.columns[2:]):
+                    for at, cell in enumerate(cells):
+                        if cell.is_valid:
+                            out += [(at, column, name) for name in sorted({n for _, names in automaton.iter(cell.as_py()) for n in names})]
+                at = pa.array([x[0] for x in out], pa.int32())
+                yield pa.record_batch([batch.column(0).take(at), pa.array([x[1] for x in out], pa.string()), batch.column(1).take(at), pa.array([x[2] for x in out], pa.string())], names=["table", "column", "key", "canary"])
+
+        return find
 
     parts = []
     for name, (rows, key) in tables.items():
         texts = [f.name for f in rows.schema if isinstance(f.dataType, T.StringType)]
         nested = [f.name for f in rows.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-        cells = [F.col(f"`{c}`").alias(c) for c in texts] + [F.to_json(f"`{c}`").alias(c) for c in nested]
+        cells = [F.col(f"`{c}`") for c in texts] + [F.to_json(f"`{c}`") for c in nested]
         if cells and planted:
-            parts.append(rows.select(F.lit(name).alias("table"), F.col(f"`{key}`").cast("string").alias("key"), *cells).mapInArrow(find, "table string, column string, key string, canary string"))
+            own = rows.select(F.lit(name).alias("of"), F.col(f"`{key}`").cast("string").alias("at"), *(c.alias(f"c{i}") for i, c in enumerate(cells)))
+            parts.append(own.mapInArrow(finder(texts + nested), "table string, column string, key string, canary string"))
     if not parts:
         return next(iter(tables.values()))[0].sparkSession.createDataFrame([], "table string, column string, key string, canary string")
     return reduce(DataFrame.unionByName, parts)

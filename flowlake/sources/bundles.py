@@ -40,14 +40,6 @@ def data_table_rows(rows: DataFrame, key: str, order: str, most: int = 2000) ->
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_r") <= most).drop("_r")
 
 
-def write_snapshot(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
-    """Each table under its run, then the pointer row that publishes the run."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/run_id={run_id}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").json(f"{root}/current_run")
-
-
 def seal_bundle(flows: DataFrame, resources: DataFrame, node: DataFrame, assets: DataFrame, mode: str = "migration", assets_captured: bool = True, truncated: bool = False) -> DataFrame:
     """One manifest row: counts, a content hash over all rows that doesn't depend on their order, caveats, and whether the bundle can be
     imported: migration mode, with flows, every reference read. node(type, status, ...), assets(digest, byte_length)."""

@@ -139,8 +139,6 @@ def test_bundles(spark, tmp_path):
     node, edge = S.read_resource_graph(spark, str(tmp_path / "g.json"))
     assert node.first().status == "resolved" and edge.first().dst == "q:2"
     assert S.read_assets(spark, str(tmp_path / "b")).count() == 7
-    S.write_snapshot({"node": node}, str(tmp_path / "out"), "r1")
-    assert spark.read.parquet(str(tmp_path / "out" / "node")).first().run_id == "r1"
 
 
 def test_streams_agree_with_batch(spark, tmp_path):
@@ -150,7 +148,7 @@ def test_streams_agree_with_batch(spark, tmp_path):
     stream = spark.readStream.schema(found.schema).parquet(str(tmp_path / "in"))
     T.stream_flow_changes(stream, previous, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     want = {(r.flow_id, r.action) for r in C.decide(previous, found).collect()}
-    assert {(r.flow_id, r.action) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+    assert {(r.flow_id, r.action) for r in spark.read.parquet(str(tmp_path / "out" / "decisions")).collect()} == want
     runs = spark.range(8).select((F.col("id") % 2).alias("flow_id"), F.timestamp_seconds(F.col("id") * 3600 + 1).alias("run"), (F.col("id") >= 4).alias("absent"))
     runs.coalesce(1).write.parquet(str(tmp_path / "runs"))
     out = T.stream_retire_confirmation(spark.readStream.schema(runs.schema).parquet(str(tmp_path / "runs")))
