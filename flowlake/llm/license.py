@@ -4,12 +4,14 @@ Files are rows of a path and a text. The units of a text are its lines, its head
 lines) and, of a file named as a licence file, the whole text. A unit is a sparse vector of its words, weighted by one
 plus the logarithm of their frequency and by the inverse document frequency of the word among the templates; templates are
 licence texts, standard headers, notices and identifiers. A unit matches a template by a cosine of at least ``threshold``, with
-at least two words in common, one of them of ``MARKS``: words that every licence text has some of and plain text hardly any.
+at least two words in common.
 A file's licence is that of the match with the highest cosine over all its units. A file named as a licence file, or whose header or
 first line with words is a match, also licenses its directory. A file without a licence of its own takes that of its nearest
 ancestor directory: paths are joined with the licensed directories, each ancestor a row.
 
-Units without any of the marks go before they are taken apart, as they could not match. Copies of a text are taken apart once. Everything is DataFrame functions; the templates are a fixed small set.
+Units that cannot reach the threshold go before they are taken apart: by Cauchy's inequality a unit without any of a template's
+decisive words (see ``decisive``) has a cosine below it, and for a template of many words several of them must be there. No unit that
+could match is lost. Copies of a text are taken apart once. Everything is DataFrame functions; the templates are a fixed small set.
 
 Defined results: null or empty text has no licence of its own; a null path has no directory and inherits nothing;
 rows with equal path or id are files each on its own; ties go to the licence first in name order; directory ties go to
@@ -56,8 +58,9 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"],
     "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "zlib License", "SPDX-License-Identifier: Zlib"],
 }
-# Words of which each template has at least one.
-MARKS = ["copyright", "endorse", "license", "licensed", "redistribution", "redistributions", "spdx", "sublicense", "unencumbered", "warranty"]
+# Words that plain text is full of: they and numbers are the last to be taken as decisive. The list only orders words; results don't depend on it.
+COMMON = set("a all also an and any are as at be but by can for free from get has have if in is it may more must no not of on one or other out people see that the their they this to under use used was we were will with without work you your".split())
+LONG, SEVERAL = 16, 4
 THRESHOLD = 0.75
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 _WORD = "[a-z0-9]+"
@@ -82,7 +85,39 @@ def weights(templates: dict[str, list[str]]) -> tuple[dict[str, float], dict[tup
     return idf, vectors, math.log(1 + n) + 1
 
 
-MARKED = f"(?<![a-z0-9])({'|'.join(MARKS)})(?![a-z0-9])"
+def decisive(vector: dict[str, float], threshold: float, least: int) -> list[str]:
+    """Words of a template, rare ones first, such that a unit with fewer than ``least`` of them has a cosine below threshold: the norm of
+    the other words, and of the heaviest ``least`` - 1 of these, is too small. All words, if no fewer do."""
+    some: list[str] = []
+    rest = 1.0
+    for word in sorted(vector, key=lambda w: (w in COMMON or w.isdigit(), -vector[w], w)):
+        rest -= vector[word] ** 2
+        some.append(word)
+        if rest + sum(sorted((vector[w] ** 2 for w in some), reverse=True)[: least - 1]) < threshold**2 - 1e-5:  # scores are rounded to 6 digits
+            break
+    return some
+
+
+def _pattern(words: set[str]) -> str:
+    """Any of the words as a whole, by first letters."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words):
+        heads.setdefault(w[0], []).append(w[1:])
+    return f"(?<![a-z0-9])(?:{'|'.join(h + '(?:' + '|'.join(t) + ')' for h, t in heads.items())})(?![a-z0-9])"
+
+
+def could_match(low, vectors: dict, threshold: float):
+    """Whether a text in lower case, or a unit of it, could reach the threshold with any template."""
+    one, many = set(), set()
+    for v in vectors.values():
+        if len(v) < LONG:
+            one.update(decisive(v, threshold, 1))
+        else:
+            many.update(decisive(v, threshold, SEVERAL))
+    ok = F.lit(False)
+    if one:
+        ok = ok | F.rlike(low, F.lit(_pattern(one)))
+    return ok | (F.regexp_count(low, F.lit(_pattern(many))) >= SEVERAL) if many else ok
 
 
 def text_units(text, named):
@@ -104,14 +139,14 @@ def scan_units(texts: DataFrame, templates: dict[str, list[str]] = TEMPLATES, th
     idf, vectors, unknown = weights(templates)
     table = spark.createDataFrame([(n, i, w, x) for (n, i), v in vectors.items() for w, x in v.items()], "license string, template int, word string, weight double")
     known = spark.createDataFrame(sorted(idf.items()), "word string, idf double")
-    rows = texts.select("key", "named", F.explode(F.filter(text_units(F.col("text"), F.col("named")), lambda s: s["value"].rlike(MARKED))).alias("s"))
+    rows = texts.select("key", "named", F.explode(F.filter(text_units(F.col("text"), F.col("named")), lambda s: could_match(s["value"], vectors, threshold))).alias("s"))
     words = rows.select("key", "named", "s.unit", F.explode(F.regexp_extract_all("s.value", F.lit(f"({_WORD})"), F.lit(1))).alias("word"))
     unit = ["key", "named", "unit"]
     counts = materialize(words.groupBy(*unit, "word").count(), "license_words")
     x = (1 + F.log(F.col("count").cast("double"))) * F.coalesce("idf", F.lit(unknown))
     valued = counts.join(F.broadcast(known), "word", "left").withColumn("x", x)
     norms = valued.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = valued.join(F.broadcast(table), "word").groupBy(*unit, "license", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.count("*").alias("n"), F.max(F.col("word").isin(MARKS)).alias("marked")).where("n > 1 and marked")
+    dots = valued.join(F.broadcast(table), "word").groupBy(*unit, "license", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.count("*").alias("n")).where("n > 1")
     out = dots.join(norms, unit).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
     return out.groupBy(*unit, "license").agg(F.max("score").alias("score"))
 
@@ -126,7 +161,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshol
     """row, path, own_license, score, license, and from: 'file', a directory, or null, of files of row, path and text."""
     name, key = F.element_at(F.split("path", "/"), -1), F.md5("text").alias("key")
     named = F.coalesce(name.rlike(FILE_NAMES), F.lit(False)).alias("named")
-    texts = files.where(F.col("text").rlike("(?i)" + MARKED)).select(key, named, "text").groupBy("key", "named").agg(F.any_value("text").alias("text"))
+    texts = files.where(could_match(F.lower("text"), weights(templates)[1], threshold)).select(key, named, "text").groupBy("key", "named").agg(F.any_value("text").alias("text"))
     hits = scan_units(texts, templates, threshold)
     best = hits.groupBy("key", "named").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("top"), F.min("unit").alias("first"))
     best = best.select("key", "named", F.col("top.license").alias("own_license"), (-F.col("top.minus")).alias("score"), "first")
@@ -178,7 +213,7 @@ counts AS (SELECT row, unit, word, count(*) AS c FROM (SELECT row, unit, unnest(
 valued AS (SELECT row, unit, counts.word, (1 + ln(c)) * coalesce(idf, {unknown!r}e0) AS x FROM counts LEFT JOIN idf USING (word)),
 norms AS (SELECT row, unit, sqrt(sum(x * x)) AS norm FROM valued GROUP BY ALL),
 hits AS (SELECT row, unit, license, round(sum(x * weight) / any_value(norm), 6) AS score
-  FROM valued JOIN template USING (word) JOIN norms USING (row, unit) GROUP BY row, unit, license, template HAVING count(*) > 1 AND bool_or(word IN ({', '.join(repr(m) for m in MARKS)})) AND round(sum(x * weight) / any_value(norm), 6) >= {THRESHOLD}),
+  FROM valued JOIN template USING (word) JOIN norms USING (row, unit) GROUP BY row, unit, license, template HAVING count(*) > 1 AND round(sum(x * weight) / any_value(norm), 6) >= {THRESHOLD}),
 ranked AS (SELECT row, license, score, min(unit) OVER (PARTITION BY row) AS first, row_number() OVER (PARTITION BY row ORDER BY score DESC, license) AS r FROM hits),
 found AS (SELECT f.row, f.doc_id, f.path, f.named, regexp_extract(f.path, '^(.*)/[^/]*$', 1) AS dir, r.license AS own_license, r.score, r.first FROM named f LEFT JOIN ranked r ON f.row = r.row AND r.r = 1),
 licensed AS (SELECT dir, own_license AS inherited FROM (SELECT dir, own_license, row_number() OVER (PARTITION BY dir ORDER BY score DESC, own_license) AS r FROM found

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.llm import blocks as B
@@ -331,11 +331,11 @@ def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     found = docs.select("doc_id", text_key()).join(_nodes(docs, words, percent).select("key", "node"), "key")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
     best = found.where("node is not null").groupBy("node").agg(F.min(order).alias("b")).select(F.col("b.doc_id").alias("best_id"), F.col("b.key").alias("best_key"))
-    keyed = docs.withColumn("best_key", text_key())
-    rows = keyed.join(best.withColumnRenamed("best_key", "own_key"), (F.col("best_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("best_id")))
-    once = F.row_number().over(Window.partitionBy("best_key", "doc_id").orderBy("best_key"))
+    keyed = docs.select("doc_id", text_key().alias("own_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own_row"))  # the caller's columns may have any names
+    rows = keyed.join(best, (F.col("own_key") == F.col("best_key")) & F.col("doc_id").eqNullSafe(F.col("best_id")))
+    once = rows.groupBy("best_key", "best_id").agg(F.any_value("own_row").alias("own_row"))
     wordless = docs.where(F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\r\x0b\x0c"))) == 0)
-    return rows.withColumn("copy", once).where("copy = 1").select(*docs.columns).unionByName(wordless)
+    return once.select("own_row.*").unionByName(wordless)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def test_op4_learns_from_all_training_documents(spark, monkeypatch):
 def block_row(b, texts):
     """A row of texts of ids, each id a word."""
     ids = np.unique(np.concatenate(texts))
-    parts = [np.int64([len(ids), len(ids)]), np.ones(len(ids), np.int64), np.ones(len(ids), np.uint16), ids.astype(np.uint16)]
+    parts = [np.int64([len(ids), len(ids)]), np.ones(len(ids), np.int64), np.ones(len(ids), np.uint32), ids.astype(np.uint16)]
     parts += [np.append(np.searchsorted(ids, t), 0).astype(np.uint32) for t in texts]
     return (b, [0] * len(texts), [False] * len(texts), [len(t) + 1 for t in texts], 0, 0, zstandard.compress(b"".join(x.tobytes() for x in parts)))
 
