@@ -10,8 +10,8 @@ first line with words is a match, also licenses its directory. A file without a
 ancestor directory: paths are joined with the licensed directories, each ancestor a row.
 
 Units that cannot reach the threshold go before they are taken apart: by Cauchy's inequality a unit without any of a template's
-decisive words (see ``decisive``) has a cosine below it, and for a template of many words several of them must be there. No unit that
-could match is lost. Copies of a text are taken apart once. Everything is DataFrame functions; the templates are a fixed small set.
+decisive words (see ``decisive``) has a cosine below it, and a second word of the template must be there, or for a template of many
+words several decisive ones. No unit that could match is lost. Copies of a text are taken apart once. Everything is DataFrame functions; the templates are a fixed small set.
 
 Defined results: null or empty text has no licence of its own; a null path has no directory and inherits nothing;
 rows with equal path or id are files each on its own; ties go to the licence first in name order; directory ties go to
@@ -59,8 +59,8 @@ TEMPLATES: dict[str, list[str]] = {
     "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "zlib License", "SPDX-License-Identifier: Zlib"],
 }
 # Words that plain text is full of: they and numbers are the last to be taken as decisive. The list only orders words; results don't depend on it.
-COMMON = set("a all also an and any are as at be but by can for free from get has have if in is it may more must no not of on one or other out people see that the their they this to under use used was we were will with without work you your".split())
-LONG, SEVERAL = 16, 4
+COMMON = set("a all also an and any are as at be but by can do for free from get has have if in is it may more must no not of on one or other out people see so that the their they this to under use used was we were will with without work you your".split())
+LONG = 14
 THRESHOLD = 0.75
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 _WORD = "[a-z0-9]+"
@@ -85,39 +85,52 @@ def weights(templates: dict[str, list[str]]) -> tuple[dict[str, float], dict[tup
     return idf, vectors, math.log(1 + n) + 1
 
 
-def decisive(vector: dict[str, float], threshold: float, least: int) -> list[str]:
-    """Words of a template, rare ones first, such that a unit with fewer than ``least`` of them has a cosine below threshold: the norm of
-    the other words, and of the heaviest ``least`` - 1 of these, is too small. All words, if no fewer do."""
+def decisive(vector: dict[str, float], threshold: float, several: bool) -> tuple[list[str], int]:
+    """Words of a template and a number of them without which a unit has a cosine below threshold, as the norm of the template's other
+    words, with the heaviest of those that the unit may still have, is too small. Of a short template few words, one of which must be
+    there; with ``several`` all but the common ones, as many of which as possible must."""
+    most = threshold**2 - 1e-5  # scores are rounded to 6 digits
     some: list[str] = []
     rest = 1.0
     for word in sorted(vector, key=lambda w: (w in COMMON or w.isdigit(), -vector[w], w)):
+        if rest < most and not (several and word not in COMMON):
+            break
         rest -= vector[word] ** 2
         some.append(word)
-        if rest + sum(sorted((vector[w] ** 2 for w in some), reverse=True)[: least - 1]) < threshold**2 - 1e-5:  # scores are rounded to 6 digits
-            break
-    return some
+    need = 1
+    heavy = sorted((vector[w] ** 2 for w in some), reverse=True)
+    while need < len(some) and rest + sum(heavy[:need]) < most:
+        need += 1
+    return some, need
 
 
-def _pattern(words: set[str]) -> str:
-    """Any of the words as a whole, by first letters."""
+def _any(words: set[str]) -> str:
+    """Any of the words, by first letters."""
     heads: dict[str, list[str]] = {}
     for w in sorted(words):
         heads.setdefault(w[0], []).append(w[1:])
-    return f"(?<![a-z0-9])(?:{'|'.join(h + '(?:' + '|'.join(t) + ')' for h, t in heads.items())})(?![a-z0-9])"
+    return "(?:" + "|".join(h + "(?:" + "|".join(t) + ")" for h, t in heads.items()) + ")"
+
+
+_START, _END = "(?<![a-z0-9])", "(?![a-z0-9])"
 
 
 def could_match(low, vectors: dict, threshold: float):
     """Whether a text in lower case, or a unit of it, could reach the threshold with any template."""
-    one, many = set(), set()
+    one, short, many, need = set(), set(), set(), None
     for v in vectors.values():
+        words, least = decisive(v, threshold, len(v) >= LONG)
         if len(v) < LONG:
-            one.update(decisive(v, threshold, 1))
+            one.update(words)
+            short.update(v)
         else:
-            many.update(decisive(v, threshold, SEVERAL))
+            many.update(words)
+            need = least if need is None else min(need, least)
     ok = F.lit(False)
-    if one:
-        ok = ok | F.rlike(low, F.lit(_pattern(one)))
-    return ok | (F.regexp_count(low, F.lit(_pattern(many))) >= SEVERAL) if many else ok
+    if one:  # a match has another word of the template besides
+        pair = lambda a, b: F.rlike(low, F.lit(f"(?s){_START}({_any(a)}){_END}.*?{_START}(?!\\1{_END}){_any(b)}{_END}"))
+        ok = F.rlike(low, F.lit(f"{_START}{_any(one)}{_END}")) & (pair(one, short) | pair(short, one))
+    return ok | (F.regexp_count(low, F.lit(f"{_START}{_any(many)}{_END}")) >= need) if many else ok
 
 
 def text_units(text, named):
