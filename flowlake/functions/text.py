@@ -51,7 +51,7 @@ def bounded(c, most: int):
 
 
 def strip_url_credentials(c):
-    return F.regexp_replace(c, r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/@\s]*@", "$1")
+    return F.regexp_replace(c, r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/@\s]+@", "$1")
 
 
 def id_near_secret(c):
@@ -96,7 +96,7 @@ def delimit_untrusted(c, most: int = 2000):
 
 
 def kebab_case(c):
-    return F.lower(F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1-$2"), "[_ ]+", "-"))
+    return F.lower(F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1-$2"), r"[_\s]+", "-"))
 
 
 def content_hash(c):

@@ -16,17 +16,21 @@ MAX_UNKNOWNS = 50
 
 
 def validate_claims(claim: DataFrame, evidence: DataFrame) -> DataFrame:
-    """The claims with their first failure, or null."""
-    known = evidence.select("flow_id", "evidence_id", F.col("text").alias("corpus"))
-    rows = claim.join(known, ["flow_id", "evidence_id"], "left")
+    """The claims with their first failure, or null: a quotation must stand in some evidence of the flow, whichever the claim cites."""
+    known = evidence.select("flow_id", "evidence_id", F.lit(True).alias("known")).distinct()
+    quoted = claim.where("quote is not null").select(F.col("flow_id").alias("of"), "claim_idx", "quote")
+    texts = evidence.select("flow_id", F.col("text").alias("corpus"))
+    found = quoted.join(texts, (F.col("of") == F.col("flow_id")) & F.contains("corpus", F.col("quote")), "left_semi")
+    found = found.select(F.col("of").alias("flow_id"), "claim_idx", "quote").distinct().withColumn("found", F.lit(True))
+    rows = claim.join(known, ["flow_id", "evidence_id"], "left").join(found, ["flow_id", "claim_idx", "quote"], "left")
     cited = F.col("evidence_id").isNotNull()
     failure = (
         F.when(F.col("text").isNull() | (F.length(F.trim("text")) == 0), "malformed").when(F.length("text") > MAX_TEXT, "too-large")
         .when(forbidden_pattern(F.col("text")).isNotNull(), "forbidden-pattern").when(F.length("quote") > MAX_QUOTE, "quotation-too-long")
-        .when(cited & F.col("corpus").isNull(), "unknown-evidence").when(F.col("quote").isNotNull() & ~F.coalesce(F.contains("corpus", F.col("quote")), F.lit(False)), "quotation-not-in-corpus")
+        .when(F.col("quote").isNotNull() & F.col("found").isNull(), "quotation-not-in-corpus").when(cited & F.col("known").isNull(), "unknown-evidence")
         .when(~cited & (F.col("kind") != "unknown"), "no-evidence").when(F.col("kind") == "inference", "inference-not-allowed")
     )
-    return rows.withColumn("failure", failure).drop("corpus")
+    return rows.withColumn("failure", failure).drop("known", "found")
 
 
 def section_gate(claim: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -154,11 +154,23 @@ def generic_references(paths: DataFrame, pattern: str = GUID_LIKE) -> DataFrame:
     return rows.select("flow_id", "pointer", "parent", field.alias("field"), F.col("scalar").alias("target"))
 
 
-def prompt_references(paths: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(prompt uses: manifest prompts and inline references that resolve to them, inline ones that don't)."""
-    prompts = dependencies.where(F.col("type").isin("userPrompt", "systemPrompt", "queue")).select("flow_id", F.col("dependency_id").alias("prompt_id")).distinct()
-    inline = paths.where("key = 'promptId' and scalar is not null").select("flow_id", F.col("scalar").alias("prompt_id")).distinct()
-    return prompts.unionByName(inline.join(prompts, ["flow_id", "prompt_id"], "left_semi")).distinct(), inline.join(prompts, ["flow_id", "prompt_id"], "left_anti")
+# Dependency types that are prompts, and the type of a reference to one.
+PROMPT_TYPES, PROMPT_REFERENCE = ["userPrompt", "systemPrompt"], "pmt"
+
+
+def prompt_references(paths: DataFrame, nodes: DataFrame, dependencies: DataFrame, contexts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(flow_id, node_id, prompt_id of the prompts that a node uses; a DANGLING_REFERENCE for each inline reference to none).
+
+    A node uses the prompts that its values refer to, by a reference of type pmt, and those whose manifest entry names it in
+    contexts (flow_id, dependency_id, node_id)."""
+    prompts = dependencies.where(F.col("type").isin(PROMPT_TYPES)).select("flow_id", F.col("dependency_id").alias("prompt_id")).distinct()
+    refs = paths.where((F.col("key") == "type") & (F.col("scalar") == PROMPT_REFERENCE) & F.rlike("parent", F.lit("/ref$"))).select("flow_id", "parent")
+    inline = variable_reads(paths.join(refs, ["flow_id", "parent"], "left_semi"), nodes).select("flow_id", "node_id", F.col("variable_id").alias("prompt_id"))
+    uses = inline.join(prompts, ["flow_id", "prompt_id"], "left_semi").select("flow_id", "node_id", "prompt_id")
+    if contexts is not None:
+        uses = uses.unionByName(contexts.select("flow_id", "node_id", F.col("dependency_id").alias("prompt_id")).join(prompts, ["flow_id", "prompt_id"], "left_semi").select("flow_id", "node_id", "prompt_id")).distinct()
+    lost = inline.join(prompts, ["flow_id", "prompt_id"], "left_anti").select("flow_id", "node_id", F.lit("DANGLING_REFERENCE").alias("code"))
+    return uses, lost
 
 
 def settings(paths: DataFrame, nodes: DataFrame, excluded: list[str], most: int = 4000) -> DataFrame:

@@ -82,10 +82,34 @@ def n6_field_roles(spark, d):
     return rows.select("flow_id", F.col("scalar").alias("target"), kebab_case(F.col("key")).alias("role"))
 
 
-@query(f"WITH {J_SQL} SELECT DISTINCT flow_id, 's' || supp AS prompt_id FROM item WHERE {OK}")
+PROMPTS = """spoken AS (SELECT flow_id, k, supp, flag, CASE WHEN flag = 'A' THEN 'userPrompt' WHEN k % 2 = 1 THEN 'systemPrompt' ELSE 'queue' END AS kind,
+  lead(supp, 1, 0) OVER (PARTITION BY flow_id ORDER BY k) AS said, CASE WHEN k % 3 = 0 THEN 'int' ELSE 'pmt' END AS type FROM line),
+inline AS (SELECT DISTINCT flow_id, 'trk_' || k AS node_id, 's' || said AS prompt_id FROM spoken WHERE type = 'pmt'),
+prompt AS (SELECT DISTINCT flow_id, 's' || supp AS prompt_id FROM spoken WHERE kind <> 'queue')"""
+
+
+def _spoken(spark, d):
+    """Paths of documents whose actions say the prompt of the next line, if that line is a prompt."""
+    line = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("flow_id"), F.col("l_linenumber").alias("k")).agg(F.min("l_suppkey").alias("supp"), F.min("l_returnflag").alias("flag"))
+    line = line.withColumn("said", F.lead("supp", 1, 0).over(Window.partitionBy("flow_id").orderBy("k")))
+    kind = F.when(F.col("flag") == "A", "userPrompt").when(F.col("k") % 2 == 1, "systemPrompt").otherwise("queue")
+    action = F.format_string('{"__type":"PlayAudioAction","trackingId":%d,"say":{"config":{"And":{"operands":[{"ref":{"type":"%s","val":"s%d"}}]}}}}', "k", F.when(F.col("k") % 3 == 0, "int").otherwise("pmt"), "said")
+    docs = line.groupBy("flow_id").agg(
+        F.array_join(F.collect_list(action), ",").alias("actions"), *(F.array_join(F.collect_list(F.when(kind == name, F.format_string('{"id":"s%d"}', "supp"))), ",").alias(name) for name in ("userPrompt", "systemPrompt", "queue"))
+    )
+    return N.flatten_json(docs.select("flow_id", F.format_string('{"flowSequenceItemList":[{"id":"c","actionList":[%s]}],"manifest":{"userPrompt":[%s],"systemPrompt":[%s],"queue":[%s]}}', "actions", "userPrompt", "systemPrompt", "queue").alias("definition")))
+
+
+@query(f"WITH {J_SQL}, {PROMPTS} SELECT * FROM inline SEMI JOIN prompt USING (flow_id, prompt_id)")
 def n13_prompt_references(spark, d):
-    p = _paths(spark, d)
-    return N.prompt_references(p, N.extract_dependencies(p))[0]
+    p = _spoken(spark, d)
+    return N.prompt_references(p, N.extract_nodes(p), N.extract_dependencies(p))[0]
+
+
+@query(f"WITH {J_SQL}, {PROMPTS} SELECT flow_id, node_id, 'DANGLING_REFERENCE' AS code FROM inline ANTI JOIN prompt USING (flow_id, prompt_id)")
+def n13_dangling_prompts(spark, d):
+    p = _spoken(spark, d)
+    return N.prompt_references(p, N.extract_nodes(p), N.extract_dependencies(p))[1]
 
 
 @query(f"WITH {J_SQL} SELECT flow_id, 'trk_' || k AS node_id, 'name' AS key, 'line ' || k AS value FROM item WHERE {OK} UNION ALL SELECT DISTINCT flow_id, 'c0', 'name', 'main' FROM item WHERE {OK}")

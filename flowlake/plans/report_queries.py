@@ -24,7 +24,7 @@ claim AS (SELECT flow_id, claim_idx, text, ['overview', 'journeys', 'decisions',
   ['fact', 'derived', 'inference', 'unknown'][claim_idx % 4 + 1] AS kind, CASE WHEN claim_idx % 5 = 0 THEN -1 WHEN claim_idx % 9 = 0 THEN NULL ELSE claim_idx - 1 END AS evidence_id,
   CASE WHEN claim_idx % 7 = 0 THEN 'made up' ELSE left(prev, 40) END AS quote FROM said WHERE role = 'assistant')"""
 FAIL = f"""CASE WHEN c.text IS NULL OR length(trim(c.text)) = 0 THEN 'malformed' WHEN length(c.text) > 500 THEN 'too-large' WHEN ({forbid_sql('c.text')}) IS NOT NULL THEN 'forbidden-pattern'
-  WHEN length(quote) > 120 THEN 'quotation-too-long' WHEN c.evidence_id IS NOT NULL AND e.text IS NULL THEN 'unknown-evidence' WHEN quote IS NOT NULL AND NOT coalesce(contains(e.text, quote), FALSE) THEN 'quotation-not-in-corpus'
+  WHEN length(quote) > 120 THEN 'quotation-too-long' WHEN quote IS NOT NULL AND NOT EXISTS (FROM evidence q WHERE q.flow_id = c.flow_id AND contains(q.text, quote)) THEN 'quotation-not-in-corpus' WHEN c.evidence_id IS NOT NULL AND e.evidence_id IS NULL THEN 'unknown-evidence'
   WHEN c.evidence_id IS NULL AND kind <> 'unknown' THEN 'no-evidence' WHEN kind = 'inference' THEN 'inference-not-allowed' END"""
 CHECKED = f"WITH {K_SQL}, checked AS (SELECT c.flow_id, claim_idx, section_id, {FAIL} AS failure, length(c.text) AS n FROM claim c LEFT JOIN evidence e ON e.flow_id = c.flow_id AND e.evidence_id = c.evidence_id)"
 
