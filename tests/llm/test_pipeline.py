@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages_are_the_operators_in_order():
     assert [n for n, _ in P.STAGES] == ["quality", "line_dedup", "near_dedup", "substring_dedup", "packing"]
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
 
 
 def test_stages(spark):
