@@ -1,7 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its hashed words, pairs of neighbouring words (those of equal words as one) and character n-grams of the lengths ``GRAMS`` (over
-code points). Each feature has a learned vector; a document is the mean of its features' vectors, and a linear layer with a
+A document's features are its hashed words and character n-grams of the lengths ``GRAMS`` (over code points). Each feature has a learned vector; a document is the mean of its features' vectors, and a linear layer with a
 softmax over the two labels gives the score. Training is stochastic gradient descent in numpy on at most ``SAMPLE`` labelled
 documents (those with the smallest hash of the id, whole texts). The layer is linear in the mean, so scoring needs one
 number a feature, the difference of the two outputs: a table of constant size that every task holds, applied to all of every text.
@@ -19,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.words import CHUNK, mix, text_buffer, word_hashes
+from flowlake.llm.words import CHUNK, text_buffer, word_hashes
 
-BUCKETS, DIM, SAMPLE, EPOCHS, RATE, SEED = 1 << 18, 8, 3000, 8, 0.8, 7
-GRAMS, LABELS, TWICE = (3, 4, 5), 2, 24301
+BUCKETS, DIM, SAMPLE, EPOCHS, RATE, SEED = 1 << 18, 8, 3000, 6, 0.5, 7
+GRAMS, LABELS = (3, 4, 5), 2
 
 
 def _grams(points: np.ndarray, size: int) -> np.ndarray:
@@ -34,13 +33,6 @@ def _grams(points: np.ndarray, size: int) -> np.ndarray:
     return (h % np.uint64(BUCKETS)).astype(np.int32)
 
 
-def _pairs(words: np.ndarray) -> np.ndarray:
-    """Buckets of neighbouring words; all pairs of equal words are one feature."""
-    out = (mix(words[:-1] * np.uint64(3) + words[1:]) % np.uint64(BUCKETS)).astype(np.int32)
-    out[words[:-1] == words[1:]] = TWICE
-    return out
-
-
 def _points(data: bytes) -> np.ndarray:
     return np.frombuffer(data.decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
 
@@ -49,7 +41,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature buckets of one text and how often each occurs."""
     words, _ = word_hashes(pa.array([text]), lower=False)
     points = _points(text.encode())
-    return np.unique(np.concatenate([(words % np.uint64(BUCKETS)).astype(np.int32), _pairs(words), *(_grams(points, n) for n in GRAMS)]), return_counts=True)
+    return np.unique(np.concatenate([(words % np.uint64(BUCKETS)).astype(np.int32), *(_grams(points, n) for n in GRAMS)]), return_counts=True)
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, float]:
@@ -91,9 +83,7 @@ def score_texts(column: pa.Array, weight: np.ndarray, bias: float) -> np.ndarray
     words, at = word_hashes(column, lower=False)
     low, high = at[:-1], at[1:]
     sums = _sums(weight[(words % np.uint64(BUCKETS)).astype(np.int32)], low, high)
-    if len(words) > 1:
-        sums += _sums(weight[_pairs(words)], np.minimum(low, len(words) - 1), high - 1)
-    n = np.diff(at) + np.maximum(np.diff(at) - 1, 0)
+    n = np.diff(at)
     lengths = np.array([len(x.as_py() or "") for x in column], np.int64)
     ends = np.cumsum(lengths)
     points = _points(data.tobytes())
