@@ -122,11 +122,16 @@ def variable_reads(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     return best.select("flow_id", "variable_id", "node_id").distinct()
 
 
-def extract_dependencies(paths: DataFrame) -> DataFrame:
+def manifest_entries(paths: DataFrame) -> DataFrame:
+    """flow_id, type, dependency_id, display_name and pointer of every manifest entry with an id."""
     objects = paths.where("type = 'OBJECT'").where(F.rlike("pointer", F.lit("^/manifest/[^/]+/[0-9]+$")))
     rows = fields_of(paths, objects, ["id", "name"])
     kind = F.regexp_extract("pointer", "^/manifest/([^/]+)/", 1)
-    return rows.where(F.length(F.trim("id")) > 0).select("flow_id", kind.alias("type"), F.col("id").alias("dependency_id"), F.col("name").alias("display_name")).dropDuplicates(["flow_id", "type", "dependency_id"])
+    return rows.where(F.length(F.trim("id")) > 0).select("flow_id", kind.alias("type"), F.col("id").alias("dependency_id"), F.col("name").alias("display_name"), "pointer")
+
+
+def extract_dependencies(paths: DataFrame) -> DataFrame:
+    return manifest_entries(paths).drop("pointer").dropDuplicates(["flow_id", "type", "dependency_id"])
 
 
 def build_evidence(nodes: DataFrame) -> DataFrame:
