@@ -75,8 +75,8 @@ def forbidden_pattern(c):
 
 def quotations(c):
     """Non-empty texts inside straight quotes, back-ticks and curly quotes."""
-    parts = [F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in ('"([^"]+)"', "`([^`]+)`", "“([^”]+)”")]
-    return F.concat(*parts)
+    parts = [F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in ('"([^"]*)"', "`([^`]*)`", "“([^”]*)”")]
+    return F.filter(F.concat(*parts), lambda q: F.length(q) > 0)
 
 
 def safe_segment(c, most: int = 120):

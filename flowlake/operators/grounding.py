@@ -7,12 +7,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.functions.text import forbidden_pattern
+from flowlake.functions.text import forbidden_pattern, quotations
 
 # Sections that may be narrated, and the budgets.
 SECTIONS = ["overview", "journeys", "decisions", "dependencies", "risks", "operations", "unknowns"]
 MAX_TEXT, MAX_QUOTE, SECTION_CLAIMS, SECTION_CHARS, DRAFT_CLAIMS, DRAFT_CHARS = 500, 120, 40, 8000, 200, 40000
 MAX_UNKNOWNS = 50
+CLAIM_KINDS, SUBJECT_KINDS = ["fact", "derived", "inference", "unknown"], ["variable", "node", "edge", "dependency", "flow", "general"]
 
 
 def validate_claims(claim: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -92,3 +93,69 @@ def validate_unknowns(unknown: DataFrame, most: int = MAX_UNKNOWNS, chars: int =
     before = F.count_if(F.col("failure").isNull()).over(Window.partitionBy("flow_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
     rows = unknown.withColumn("failure", own)
     return rows.withColumn("accepted", before).withColumn("failure", F.when(F.col("accepted") >= most, "draft-too-large").otherwise(F.col("failure"))).drop("accepted")
+
+
+def claim_failures(claim: DataFrame, evidence: DataFrame, corpus: DataFrame, index: DataFrame, allow_inference: bool = False) -> DataFrame:
+    """claim(flow_id, section, claim_idx, text, kind, evidence_ids, subject_kind, subject_id) with its first failure, or null.
+
+    section is a section's place in its draft, claim_idx a claim's place in it. evidence(flow_id, evidence_id) is what may be cited,
+    corpus(flow_id, text) every text of the pack and index what each piece of evidence is about. Quotations are taken from the text
+    itself, and the first bad one decides; each must stand within one text of the pack. A fact and what is derived need evidence
+    about their subject, unless it is a general one or none. Only quotations and ids travel to the pack's rows, each once a flow."""
+    key = ["flow_id", "section", "claim_idx"]
+    quoted = claim.select(*key, F.posexplode(quotations(F.col("text"))).alias("pos", "quote"))
+    told = quoted.select(F.col("flow_id").alias("of"), "quote").distinct()
+    found = told.join(corpus.select("flow_id", F.col("text").alias("part")), (F.col("of") == F.col("flow_id")) & F.contains("part", F.col("quote")), "left_semi")
+    found = found.select(F.col("of").alias("flow_id"), "quote", F.lit(True).alias("found"))
+    bad = F.when(F.length("quote") > MAX_QUOTE, "quotation-too-long").when(F.col("found").isNull(), "quotation-not-in-corpus")
+    bad = quoted.join(found, ["flow_id", "quote"], "left").withColumn("bad", bad).where("bad is not null").groupBy(*key).agg(F.min_by("bad", "pos").alias("bad_quote"))
+    ids = claim.select(*key, F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
+    strange = ids.join(evidence.select("flow_id", "evidence_id").distinct(), ["flow_id", "evidence_id"], "left_anti").select(*key, F.lit(True).alias("strange")).distinct()
+    about = claim.select(*key, F.col("subject_kind").alias("kind"), F.col("subject_id").alias("id"), F.explode("evidence_ids").alias("evidence_id"))
+    backed = about.join(index, ["flow_id", "evidence_id", "kind", "id"], "left_semi").select(*key, F.lit(True).alias("backed")).distinct()
+    rows = claim.join(bad, key, "left").join(strange, key, "left").join(backed, key, "left")
+    well_formed = F.col("text").isNotNull() & F.col("kind").isin(CLAIM_KINDS) & ~F.exists("evidence_ids", lambda i: i.isNull()) & (F.col("subject_kind").isNull() | F.col("subject_kind").isin(SUBJECT_KINDS))
+    needs_subject = F.col("kind").isin("fact", "derived") & (F.col("subject_kind") != "general")
+    failure = (
+        F.when(~F.coalesce(well_formed, F.lit(False)), "malformed").when(F.length("text") > MAX_TEXT, "too-large")
+        .when(forbidden_pattern(F.col("text")).isNotNull(), "forbidden-pattern").when(F.col("bad_quote").isNotNull(), F.col("bad_quote"))
+        .when(F.col("strange"), "unknown-evidence").when((F.col("kind") != "unknown") & (F.size("evidence_ids") == 0), "no-evidence")
+        .when((F.col("kind") == "inference") & F.lit(not allow_inference), "inference-not-allowed").when(needs_subject & F.col("backed").isNull(), "unsupported-subject")
+    )
+    return rows.withColumn("failure", failure).drop("bad_quote", "strange", "backed")
+
+
+def _judged(items, most: int, chars: int, full: str):
+    """items (i, n, failure) in order, with the budget's failure where one of them passes it; what doesn't fit is skipped, and later smaller
+    ones may still fit. Once the count is reached, every later item has that failure, whatever its own."""
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("count"), F.array().cast("array<struct<i:bigint,n:bigint,failure:string>>").alias("out"))
+
+    def step(acc, x):
+        failure = F.when(acc["count"] >= most, full).when(x["failure"].isNotNull(), x["failure"]).when(acc["used"] + x["n"] > chars, full)
+        item = F.struct(x["i"].alias("i"), x["n"].alias("n"), failure.alias("failure"))
+        return F.struct((acc["used"] + F.when(failure.isNull(), x["n"]).otherwise(0)).alias("used"), (acc["count"] + F.when(failure.isNull(), 1).otherwise(0)).alias("count"), F.array_append(acc["out"], item).alias("out"))
+
+    return F.aggregate(items, start, step)["out"]
+
+
+def validate_draft(claim: DataFrame, evidence: DataFrame, corpus: DataFrame, index: DataFrame, section_claims: int = SECTION_CLAIMS, section_chars: int = SECTION_CHARS, draft_claims: int = DRAFT_CLAIMS, draft_chars: int = DRAFT_CHARS) -> DataFrame:
+    """flow_id, section, section_id, claim_idx, failure and reported_idx of every claim, and one row without claim for each section that
+    may not be narrated: as claim_failures, then the section's budget, then the draft's over what its sections accepted, in
+    order. reported_idx is the claim's place, for the draft's budget that among the section's accepted claims. A draft is folded in one
+    row: it is what a narrator wrote about one flow."""
+    ok = F.coalesce(F.col("section_id").isin(SECTIONS), F.lit(False))
+    shut = claim.where(~ok).select("flow_id", "section", "section_id", F.lit(None).cast("bigint").alias("claim_idx"), F.lit("section-not-allowed").alias("failure"), F.lit(None).cast("bigint").alias("reported_idx")).distinct()
+    own = claim_failures(claim.where(ok), evidence, corpus, index, False)
+    item = F.struct(F.col("claim_idx").cast("bigint").alias("i"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"), "failure")
+    folded = own.groupBy("flow_id", "section", "section_id").agg(_judged(F.array_sort(F.collect_list(item)), section_claims, section_chars, "section-too-large").alias("items"))
+    kept = F.filter("items", lambda x: x["failure"].isNull())
+    folded = folded.select("flow_id", "section", "section_id", F.filter("items", lambda x: x["failure"].isNotNull()).alias("lost"), kept.alias("kept"))
+    lost = folded.select("flow_id", "section", "section_id", F.inline("lost")).select("flow_id", "section", "section_id", F.col("i").alias("claim_idx"), "failure", F.col("i").alias("reported_idx"))
+    # the draft's order: sections, then their accepted claims; i is the place in that order
+    parts = folded.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("section", "section_id", "kept"))).alias("parts"))
+    flat = F.flatten(F.transform("parts", lambda p: F.transform(p["kept"], lambda x, j: F.struct(p["section"].alias("section"), p["section_id"].alias("section_id"), x["i"].alias("claim_idx"), j.cast("bigint").alias("place"), x["n"].alias("n")))))
+    draft = parts.select("flow_id", flat.alias("flat"))
+    items = F.transform("flat", lambda x, j: F.struct(j.cast("bigint").alias("i"), x["n"].alias("n"), F.lit(None).cast("string").alias("failure")))
+    last = draft.select("flow_id", F.inline(F.arrays_zip("flat", _judged(items, draft_claims, draft_chars, "draft-too-large").alias("judged"))))
+    last = last.select("flow_id", "flat.section", "flat.section_id", "flat.claim_idx", "judged.failure", F.when(F.col("judged.failure").isNotNull(), F.col("flat.place")).otherwise(F.col("flat.claim_idx")).alias("reported_idx"))
+    return lost.unionByName(last).unionByName(shut)

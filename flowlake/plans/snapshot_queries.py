@@ -249,10 +249,10 @@ def f8_redact(spark, d):
     return X.redact(paths).where("value is not null")
 
 
-@query("""SELECT doc_id, sha256(array_to_string(list_concat(regexp_extract_all(q, '"([^"]+)"', 1), regexp_extract_all(q, '`([^`]+)`', 1), regexp_extract_all(q, '“([^”]+)”', 1)), '|')) AS quotes
-FROM (SELECT doc_id, text || ' "' || source || '" and `' || lang || '` “' || doc_id || '”' AS q FROM documents)""")
+@query("""SELECT doc_id, sha256(array_to_string(list_filter(list_concat(regexp_extract_all(q, '"([^"]*)"', 1), regexp_extract_all(q, '`([^`]*)`', 1), regexp_extract_all(q, '“([^”]*)”', 1)), lambda x: length(x) > 0), '|')) AS quotes
+FROM (SELECT doc_id, text || ' "' || source || '" and `' || lang || '` “' || doc_id || '” ""a`' AS q FROM documents)""")
 def f10_quotations(spark, d):
-    q = F.concat("text", F.lit(' "'), "source", F.lit('" and `'), "lang", F.lit("` “"), F.col("doc_id").cast("string"), F.lit("”"))
+    q = F.concat("text", F.lit(' "'), "source", F.lit('" and `'), "lang", F.lit("` “"), F.col("doc_id").cast("string"), F.lit('” ""a`'))
     return table(spark, d, "documents").select("doc_id", F.sha2(F.array_join(X.quotations(q), "|"), 256).alias("quotes"))
 
 
