@@ -181,7 +181,7 @@ def supplier_flows(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     about = F.when(flow_id % 4 == 0, F.repeat(F.lit("long "), F.lit(300))).when(flow_id % 2 == 0, F.concat(F.lit("about "), text("flow_id")))
     flow = line.select("flow_id").distinct().select("flow_id", F.concat(F.lit("Flow "), text("flow_id")).alias("name"), F.lit("inboundcall").alias("type"), about.alias("description"))
     kind = F.when(F.col("l_returnflag") == "R", "DataAction").when(F.col("l_returnflag") == "A", "PlayAudioAction").otherwise("DecisionAction")
-    node = line.select("flow_id", node_id(rn).alias("node_id"), F.concat(F.lit("Step "), text("l_orderkey")).alias("name"), kind.alias("source_type"), F.concat(F.lit("/flowSequenceItemList/0/actionList/"), text("rn")).alias("pointer"), "rn")
+    node = line.select("flow_id", node_id(rn).alias("node_id"), F.concat(F.lit("Step "), text("l_orderkey")).alias("name"), kind.alias("source_type"), F.concat(F.lit("/flowSequenceItemList/0/actionList/"), text("rn")).alias("pointer"), "rn", "l_partkey")
     step = lambda on, to, role: F.when(on, F.struct(to.cast("int").alias("to"), F.lit(role).alias("role")))
     steps = F.array_compact(F.array(
         step((rn + 1 < F.col("n")) & ((rn >= 440) | (rn % 4 < 3)), rn + 1, "next"), step((rn < 440) & (rn % 8 == 3), rn - 3, "loop"),
