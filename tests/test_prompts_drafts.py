@@ -5,6 +5,7 @@ import json
 
 from flowlake.operators import grounding as V
 from flowlake.operators import prompts as P
+from flowlake.operators import reports as R
 
 
 def rows(df, *order):
@@ -86,3 +87,31 @@ def test_budgets_of_sections_and_drafts(spark):
         (1, 1, None): ("section-not-allowed", None), (1, 2, 0): ("draft-too-large", 0), (1, 2, 1): (None, 1), (1, 3, 0): ("draft-too-large", 0), (1, 4, None): ("section-not-allowed", None),
     }
     assert draft(spark, []) == {}
+
+
+def test_completeness_and_dependencies(spark):
+    node = spark.createDataFrame([(1, "a", "full", "DataAction"), (1, "b", "opaque", "Menu"), (1, "c", "unsupported", None), (1, "c", None, "DataAction"), (2, "a", "partial", "Menu")], "flow_id int, node_id string, support_level string, source_type string")
+    edge = spark.createDataFrame([(1, "a", "b"), (1, "a", "gone"), (1, "gone", "c"), (1, None, "c"), (1, "a", "c"), (3, "a", "a")], "flow_id int, src string, dst string")
+    dep = spark.createDataFrame([(1, "d", "dataAction", None, "resolved", "/p"), (1, "e", "dataAction", "E", None, "/q"), (1, "f", "queue", "F", "not-found", "/r")], "flow_id int, dependency_id string, type string, display_name string, status string, pointer string")
+    counts = ("source_objects", "represented", "unsupported", "opaque", "dangling_edges", "unresolved_dependencies")
+    assert rows(R.completeness(node, edge, dep), "flow_id", *counts) == [(1, 4, 3, 1, 1, 3, 2), (2, 1, 1, 0, 0, 0, 0)]
+    flow = spark.createDataFrame([(1, "one", "t"), (3, None, None)], "flow_id int, name string, type string")
+    assert rows(R.identity(flow, R.completeness(node, edge, dep)), "flow_id", "name", "name_evidence", "source_objects") == [(1, "one", proof("/name", "name"), 4), (3, None, proof("/name", "name"), None)]
+    ref = spark.createDataFrame([(1, "d", "a"), (1, "d", "a"), (1, "d", "b"), (2, "d", "a")], "flow_id int, dependency_id string, node_id string")
+    assert rows(R.dependency_table(dep, ref), "dependency_id", "label", "referenced_by", "evidence_id") == [("d", "d", 2, proof("/p", "reference")), ("e", "E", 0, proof("/q", "reference")), ("f", "F", 0, proof("/r", "reference"))]
+    assert rows(R.outside_calls(flow, node, dep), "flow_id", "calling_nodes", "dependencies", "unresolved") == [(1, 2, 2, 1), (3, 0, 0, 0)]
+    assert R.completeness(node.limit(0), edge, dep).count() == 0
+
+
+def test_inspection_bounds_its_lists(spark):
+    flow = spark.createDataFrame([(1,), (2,)], "flow_id int")
+    node = spark.createDataFrame([(1, "a"), (1, "b")], "flow_id int, node_id string")
+    edge = spark.createDataFrame([(1, "a", "b")], "flow_id int, src string, dst string")
+    dep = spark.createDataFrame([(1, "queue"), (1, "queue"), (1, "flow")], "flow_id int, type string")
+    journey = spark.createDataFrame([(1, "loop", ["b"]), (1, "dead-end", ["a", "b"]), (1, "dead-end", ["a"])], "flow_id int, kind string, steps array<string>")
+    warning = spark.createDataFrame([(1, "Z", "last of the capture"), (1, "A", "first")], "flow_id int, code string, message string")
+    found = spark.createDataFrame([(1, "B", "error", "bad"), (1, "B", "info", "never told"), (1, "C", "critical", "cut off")], "flow_id int, code string, severity string, message string")
+    out = {r.flow_id: r for r in R.inspection(flow, node, edge, dep, journey, warning, found, paths=2, messages=3).collect()}
+    assert (out[1].nodes, out[1].edges, [tuple(x) for x in out[1].dependency_counts]) == (2, 1, [("flow", 1), ("queue", 2)])
+    assert out[1].main_paths == ["a (dead-end)", "a -> b (dead-end)"] and out[1].warnings == ["first", "last of the capture", "bad"]
+    assert (out[2].nodes, out[2].edges, out[2].dependency_counts, out[2].main_paths, out[2].warnings) == (0, 0, [], [], [])
