@@ -64,7 +64,7 @@ def _menu_choices(paths: DataFrame) -> DataFrame:
 def extract_edges(paths: DataFrame, nodes: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges: flow_id, edge_id, src, dst, role, label, condition; warnings: flow_id, code, severity, path, node_ids). A target is a node
     of the document, else a dependency (no edge), else dangling. Of two nodes with one source id the last counts."""
-    known = nodes.where("source_id is not null")
+    known = materialize(nodes.where("source_id is not null").select("flow_id", "pointer", "node_id", "source_id"), "nodes")  # three joins read them
     src = known.select("flow_id", F.col("pointer").alias("owner"), F.col("node_id").alias("src"))
     dst = known.groupBy("flow_id", F.col("source_id").alias("target")).agg(F.max_by("node_id", "pointer").alias("dst"))
     held = dependencies.select("flow_id", F.col("dependency_id").alias("target"), F.lit(True).alias("held")).distinct()

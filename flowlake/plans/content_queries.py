@@ -11,7 +11,7 @@ from flowlake.operators import grounding as V
 from flowlake.operators import normalize as N
 from flowlake.plans.registry import query
 from flowlake.plans.report_queries import forbid_sql
-from flowlake.plans.views import P_SQL, R_SQL, catalogue, resource_graph, table
+from flowlake.plans.views import P_SQL, R_SQL, catalogue, resource_graph, spread, table
 from flowlake.sources.bundles import seal_bundle
 
 RECORD = r'{"selfUri":"u%1$d","name":"x\r\n%1$d","list":["b%1$d","a%1$d",{"id":%1$d,"dateModified":"z"}],"edges":["b%1$d","a"],"empty":{},"none":null,"deep":{"downloadUrl":[1],"z":[3,1,2],"a":true}}'
@@ -20,14 +20,14 @@ CANONICAL = r"""'{"v":"1","d":{"deep":{"a":true,"z":[1,2,3]},"edges":["b' || k |
 
 @query(f"SELECT *, 'sha256:' || sha256(canonical) AS content_hash FROM (SELECT k AS flow_id, {CANONICAL} AS canonical FROM (SELECT o_orderkey AS k FROM orders))")
 def f1_canonicalize(spark, d):
-    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("flow_id"), F.format_string(RECORD, "o_orderkey").alias("definition"))
+    docs = spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(F.col("o_orderkey").alias("flow_id"), F.format_string(RECORD, "o_orderkey").alias("definition"))
     return J.canonicalize(N.flatten_json(docs), ordered=["/edges"])
 
 
 @query("SELECT k, n FROM (SELECT unnest(['dateModified', 'downloadUrl', 'selfUri']) AS k), (SELECT count(*) AS n FROM orders)")
 def f3_volatile_keys(spark, d):
     """How often each volatile key stands in the documents, at any depth."""
-    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("flow_id"), F.format_string(RECORD, "o_orderkey").alias("definition"))
+    docs = spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(F.col("o_orderkey").alias("flow_id"), F.format_string(RECORD, "o_orderkey").alias("definition"))
     return N.flatten_json(docs).where(F.col("key").isin(J.VOLATILE)).groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"))
 
 
@@ -42,7 +42,7 @@ SETTINGS = [
 def f16_inline_text_fragments(spark, d):
     k = F.col("o_orderkey")
     text = F.element_at(F.array(*(F.format_string(s, k) for s in SETTINGS)), (k % 5 + 1).cast("int"))
-    rows = J.inline_text_fragments(N.flatten_json(table(spark, d, "orders").select(k.alias("flow_id"), text.alias("definition"))))
+    rows = J.inline_text_fragments(N.flatten_json(spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(k.alias("flow_id"), text.alias("definition"))))
     return rows.withColumn("fragments", F.array_join("fragments", "|"))
 
 
@@ -56,7 +56,7 @@ SELECT event_id, upper(left({PICK(1)}, 1)) || substr({PICK(1)}, 2) || ' ' || {PI
 def f14_pseudonymize(spark, d):
     u = F.sha2(F.col("user_id").cast("string"), 256)
     cut = lambda at, n: F.substr(u, F.lit(at), F.lit(n))
-    e = table(spark, d, "events").select(F.col("event_id").alias("flow_id"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("name"), F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12)).alias("id"),
+    e = spread(table(spark, d, "events").select("event_id", "event_type", "user_id"), "event_id").select(F.col("event_id").alias("flow_id"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("name"), F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12)).alias("id"),
                                          F.concat(F.lit("GetAt(Task."), "event_type", F.lit(',0) == "'), "event_type", F.lit('" or ""')).alias("condition"), F.col("event_type").alias("kind"))
     paths = N.flatten_json(e.select("flow_id", F.to_json(F.struct("name", "id", "condition", "kind")).alias("definition")))
     out = J.pseudonymize(paths, structural=["kind"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlake.operators import edges as E
 from flowlake.operators import normalize as N
 from flowlake.plans.registry import query
-from flowlake.plans.views import table
+from flowlake.plans.views import spread, table
 
 ID = {c: f"00000000-0000-4000-8000-00000000000{i}" for i, c in enumerate("CABMDU")}
 MENU = """{"flowSequenceItemList":[{"__type":"Menu","id":"{C}","name":"main","trackingId":1,"startAction":"{A}","actionList":[
@@ -24,7 +24,7 @@ for _c, _id in ID.items():
 def _menus(spark, d):
     k = F.col("o_orderkey")
     follow = F.element_at(F.array(*(F.lit(ID[c]) for c in "BDU")), (k % 3 + 1).cast("int"))
-    paths = N.flatten_json(table(spark, d, "orders").select(k.alias("flow_id"), F.format_string(MENU, follow, k).alias("definition")))
+    paths = N.flatten_json(spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(k.alias("flow_id"), F.format_string(MENU, follow, k).alias("definition")))
     return paths, N.extract_nodes(paths)
 
 
