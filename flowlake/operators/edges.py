@@ -39,7 +39,8 @@ def _branches(paths: DataFrame) -> DataFrame:
 
 def _other_fields(paths: DataFrame) -> DataFrame:
     """Id-shaped strings anywhere below a node, but for closed fields, strings that stand in arrays, and value wrappers."""
-    rows = paths.where((F.col("type") == "STRING") & F.rlike("scalar", F.lit(GUID_LIKE)) & ~F.rlike("key", F.lit("^[0-9]+$")))
+    open_field = (F.col("type") == "STRING") & ~F.col("key").isin(CLOSED)  # costs less than the pattern, which most ids in closed fields match
+    rows = paths.where(open_field & F.rlike("scalar", F.lit(GUID_LIKE)) & ~F.rlike("key", F.lit("^[0-9]+$")))
     rows = rows.withColumn("owner", F.regexp_extract("pointer", OWNER, 0)).where("owner <> ''").withColumn("steps", F.split(F.expr("substr(pointer, length(owner) + 2)"), "/"))
     rows = rows.where(~F.arrays_overlap("steps", F.array(*map(F.lit, CLOSED))))
     spots = rows.select("flow_id", "pointer", F.explode(F.expr("transform(sequence(0, size(steps) - 1), n -> concat(owner, array_join(transform(slice(steps, 1, n), s -> concat('/', s)), '')))")).alias("inside"))
