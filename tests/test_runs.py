@@ -117,3 +117,14 @@ def test_caps_keep_partial_limits(spark):
     first, counts = V.bounded_first(df, ["k"], ["id"], 5)
     assert first.count() == 15 and {r.n for r in counts.collect()} == {333, 334}
     assert "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString()
+
+
+def test_settings_read_each_document_once(spark):
+    """Each kind of node parsed all documents anew, and each field of a node took the whole node apart."""
+    node = {"__type": "Task", "id": "a", "b": [1, "x"], "a": {"z": 1, "y": {"config": {"nul": {}}}}}
+    docs = spark.createDataFrame([(1, json.dumps({"flowSequenceItemList": [{"id": "c"}, {"actionList": [node], "menuChoiceList": [{"digit": 1}, {"action": node}]}, 7]}))], "flow_id long, definition string")
+    rows = S.extract_settings(docs)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") + rows._jdf.queryExecution().optimizedPlan().toString().count("parse_json(") <= 2  # the column, and whether it is null
+    at = "/flowSequenceItemList/"
+    whole = '{"a":{"y":{"kind":"null"},"z":1},"b":[1,"x"]}'
+    assert {(r.pointer, r.settings) for r in rows.collect()} == {(at + "0", "{}"), (at + "1", "{}"), (at + "1/actionList/0", whole), (at + "1/menuChoiceList/1/action", whole)}
