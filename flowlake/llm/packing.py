@@ -83,14 +83,16 @@ def cuts(length: int, capacity: int) -> list[int]:
 def _tokenize(path: str, capacity: int, end: int, keep_ids: bool, ranks: str | None = None):
     def run(batches):
         cache, last = UnitCache(path, ranks), np.array([end], "<u4").tobytes()
+        whole = lambda text: array("I", cache.fast(text)).tobytes() if cache.fast and _PLAIN.fullmatch(text) else None
         for batch in batches:
             for i in range(0, len(batch), ROWS):
                 part = batch.slice(i, ROWS)
-                docs = [units(x.as_py() or "") for x in part["text"]]
-                cache.add({u for d in docs for u in d})
+                texts = [x.as_py() or "" for x in part["text"]]
+                docs = [whole(x) or units(x) for x in texts]  # a plain text in one call: many words occur once, which a cache only burdens
+                cache.add({u for d in docs if type(d) is list for u in d})
                 rows = []
                 for doc, own in zip(part["doc_id"].to_pylist(), docs):
-                    ids = b"".join(map(cache.__getitem__, own)) + last
+                    ids = (b"".join(map(cache.__getitem__, own)) if type(own) is list else own) + last
                     at = cuts(len(ids) // 4, capacity)
                     for k, (a, b) in enumerate(zip(at, at[1:])):
                         own_ids = ids[4 * a : 4 * b]
