@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.functions.text import kebab_case
-from flowlake.operators.normalize import GUID_LIKE, REFERENCE_ROLES, branch_role, fields_of
+from flowlake.operators.normalize import GUID_LIKE, REFERENCE_ROLES, branch_role, field, fields_of, text_field
 from flowlake.tables import materialize
 
 # Fields that are never searched for further ids.
@@ -18,12 +18,25 @@ OWNER = "^/flowSequenceItemList/[0-9]+(?:/actionList/[0-9]+|/menuChoiceList/[0-9
 _CANDIDATE = ["flow_id", "owner", "site", "role", "label", "condition", "target", "path", "generic"]
 
 
+def _open_ids() -> Column:
+    """Id-shaped strings in open fields, but for those that stand in arrays. Length and name cost less than the pattern."""
+    near = (F.col("type") == "STRING") & F.length("scalar").between(36, 37) & ~F.col("key").isin(CLOSED)
+    return near & F.rlike("scalar", F.lit(GUID_LIKE)) & ~F.rlike("key", F.lit("^[0-9]+$"))
+
+
+def edge_rows(paths: DataFrame) -> DataFrame:
+    """The rows of paths that this module and ``extract_nodes`` read: objects with their members, and ids that may refer to a node. They
+    are written, so paths may be rows that are read only once."""
+    return materialize(paths.where((F.col("type") == "OBJECT") | _open_ids()), "edge_rows")
+
+
 def _known_fields(paths: DataFrame) -> DataFrame:
     role = F.create_map(*(F.lit(x) for p in REFERENCE_ROLES.items() for x in p))
-    refs = paths.where(F.col("key").isin(list(REFERENCE_ROLES)) & (F.col("type") == "STRING")).select("flow_id", F.col("parent").alias("pointer"), "key", F.col("scalar").alias("target"), F.col("pointer").alias("path"))
-    named = fields_of(paths, refs.dropDuplicates(["flow_id", "pointer"]), ["menuName", "taskName"])
+    refs = F.array_compact(F.array(*(F.when(text_field(k).isNotNull(), F.struct(F.lit(k).alias("key"), text_field(k).alias("target"))) for k in REFERENCE_ROLES)))
+    any_of = reduce(Column.__or__, (text_field(k).isNotNull() for k in REFERENCE_ROLES))
+    rows = paths.where("type = 'OBJECT'").where(any_of).select("flow_id", "pointer", field("menuName").alias("menuName"), field("taskName").alias("taskName"), F.explode(refs).alias("ref"))
+    rows = rows.select("flow_id", "pointer", "menuName", "taskName", "ref.key", "ref.target", F.concat_ws("/", "pointer", "ref.key").alias("path"))
     label = F.when(F.col("key") == "menuReference", F.col("menuName")).when(F.col("key") == "taskReference", F.col("taskName"))
-    rows = refs.join(named, ["flow_id", "pointer"], "left")
     return rows.select("flow_id", F.col("pointer").alias("owner"), F.col("key").alias("site"), F.element_at(role, F.col("key")).alias("role"), label.alias("label"), F.lit(None).cast("string").alias("condition"), "target", "path", F.lit(False).alias("generic"))
 
 
@@ -39,8 +52,7 @@ def _branches(paths: DataFrame) -> DataFrame:
 
 def _other_fields(paths: DataFrame) -> DataFrame:
     """Id-shaped strings anywhere below a node, but for closed fields, strings that stand in arrays, and value wrappers."""
-    open_field = (F.col("type") == "STRING") & ~F.col("key").isin(CLOSED)  # costs less than the pattern, which most ids in closed fields match
-    rows = paths.where(open_field & F.rlike("scalar", F.lit(GUID_LIKE)) & ~F.rlike("key", F.lit("^[0-9]+$")))
+    rows = paths.where(_open_ids())
     rows = rows.withColumn("owner", F.regexp_extract("pointer", OWNER, 0)).where("owner <> ''").withColumn("steps", F.split(F.expr("substr(pointer, length(owner) + 2)"), "/"))
     rows = rows.where(~F.arrays_overlap("steps", F.array(*map(F.lit, CLOSED))))
     spots = rows.select("flow_id", "pointer", F.explode(F.expr("transform(sequence(0, size(steps) - 1), n -> concat(owner, array_join(transform(slice(steps, 1, n), s -> concat('/', s)), '')))")).alias("inside"))
@@ -54,7 +66,7 @@ def _other_fields(paths: DataFrame) -> DataFrame:
 def _menu_choices(paths: DataFrame) -> DataFrame:
     choice = paths.where("type = 'OBJECT'").where(F.rlike("pointer", F.lit("^/flowSequenceItemList/[0-9]+/menuChoiceList/[0-9]+$")))
     own = fields_of(paths, choice, ["digit", "name", "id"])
-    action = paths.where("key = 'id' and type = 'STRING'").where(F.rlike("parent", F.lit("/menuChoiceList/[0-9]+/action$"))).select("flow_id", F.regexp_replace("parent", "/action$", "").alias("pointer"), F.col("scalar").alias("target"))
+    action = paths.where("type = 'OBJECT'").where(F.rlike("pointer", F.lit("/menuChoiceList/[0-9]+/action$"))).select("flow_id", F.regexp_replace("pointer", "/action$", "").alias("pointer"), text_field("id").alias("target")).where("target is not null")
     name = F.nullif("name", F.lit(""))
     digit = F.when(F.expr("try_cast(digit AS DOUBLE)").isNotNull(), F.col("digit"))
     label = F.coalesce(F.concat(digit, F.lit(": "), name), name, digit)
@@ -82,15 +94,16 @@ def extract_edges(paths: DataFrame, nodes: DataFrame, dependencies: DataFrame) -
 
 def variable_writes(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """flow_id, variable_id and node_id of variables that a node's outputs store to."""
-    refs = paths.where("key = 'val' and scalar is not null").where(F.rlike("pointer", F.lit(OWNER + "/outputs/[0-9]+/value/config/ref/val$")))
+    refs = paths.where("type = 'OBJECT'").where(F.rlike("pointer", F.lit(OWNER + "/outputs/[0-9]+/value/config/ref$"))).withColumn("variable_id", field("val")).where("variable_id is not null")
     own = nodes.select("flow_id", F.col("pointer").alias("owner"), "node_id")
-    return refs.select("flow_id", F.col("scalar").alias("variable_id"), F.regexp_replace("pointer", "/outputs/[0-9]+/value/config/ref/val$", "").alias("owner")).join(own, ["flow_id", "owner"]).select("flow_id", "variable_id", "node_id").distinct()
+    return refs.select("flow_id", "variable_id", F.regexp_replace("pointer", "/outputs/[0-9]+/value/config/ref$", "").alias("owner")).join(own, ["flow_id", "owner"]).select("flow_id", "variable_id", "node_id").distinct()
 
 
 def dependency_contexts(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """flow_id, type, dependency_id, referenced_by (nodes) and other_contexts of every manifest entry with an id."""
-    entry = paths.where("key = 'id' and type = 'STRING' and scalar <> ''").where(F.rlike("parent", F.lit("^/manifest/[^/]+/[0-9]+$"))).select("flow_id", F.col("parent").alias("entry"), F.col("scalar").alias("dependency_id"))
-    used = paths.where("key = 'id' and type = 'STRING' and scalar <> ''").where(F.rlike("parent", F.lit("^/manifest/[^/]+/[0-9]+/context/[0-9]+$"))).select("flow_id", F.regexp_replace("parent", "/context/[0-9]+$", "").alias("entry"), F.col("scalar").alias("target"))
+    named = paths.where("type = 'OBJECT'").where(F.startswith("pointer", F.lit("/manifest/"))).withColumn("id", text_field("id")).where("id <> ''")
+    entry = named.where(F.rlike("pointer", F.lit("^/manifest/[^/]+/[0-9]+$"))).select("flow_id", F.col("pointer").alias("entry"), F.col("id").alias("dependency_id"))
+    used = named.where(F.rlike("pointer", F.lit("^/manifest/[^/]+/[0-9]+/context/[0-9]+$"))).select("flow_id", F.regexp_replace("pointer", "/context/[0-9]+$", "").alias("entry"), F.col("id").alias("target"))
     dst = nodes.where("source_id is not null").groupBy("flow_id", F.col("source_id").alias("target")).agg(F.max_by("node_id", "pointer").alias("dst"))
     rows = entry.join(used, ["flow_id", "entry"], "left").join(dst, ["flow_id", "target"], "left")
     other = F.when(F.col("dst").isNull(), F.col("target"))
@@ -100,6 +113,5 @@ def dependency_contexts(paths: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def manifest_deviations(paths: DataFrame) -> DataFrame:
     """flow_id and pointer of manifest entries that are no objects or have no usable id."""
-    spots = paths.where(F.rlike("pointer", F.lit("^/manifest/[^/]+/[0-9]+$"))).select("flow_id", "pointer", "type")
-    named = paths.where("key = 'id' and type = 'STRING' and scalar <> ''").select("flow_id", F.col("parent").alias("pointer")).distinct().withColumn("named", F.lit(True))
-    return spots.join(named, ["flow_id", "pointer"], "left").where("type <> 'OBJECT' or named is null").select("flow_id", "pointer")
+    spots = paths.where(F.rlike("pointer", F.lit("^/manifest/[^/]+/[0-9]+$")))
+    return spots.where((F.col("type") != "OBJECT") | ~F.coalesce(text_field("id") != "", F.lit(False))).select("flow_id", "pointer")

@@ -21,10 +21,14 @@ for _c, _id in ID.items():
     MENU = MENU.replace("{" + _c + "}", _id)
 
 
-def _menus(spark, d):
+def _documents(spark, d):
     k = F.col("o_orderkey")
     follow = F.element_at(F.array(*(F.lit(ID[c]) for c in "BDU")), (k % 3 + 1).cast("int"))
-    paths = N.flatten_json(spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(k.alias("flow_id"), F.format_string(MENU, follow, k).alias("definition")))
+    return N.flatten_json(spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(k.alias("flow_id"), F.format_string(MENU, follow, k).alias("definition")), once=True)
+
+
+def _menus(spark, d):
+    paths = E.edge_rows(_documents(spark, d))
     return paths, N.extract_nodes(paths)
 
 
@@ -63,4 +67,4 @@ def n12_dependency_contexts(spark, d):
 
 @query("SELECT o_orderkey AS flow_id, unnest(['/manifest/queue/1', '/manifest/queue/2']) AS pointer FROM orders")
 def n21_manifest_deviations(spark, d):
-    return E.manifest_deviations(_menus(spark, d)[0])
+    return E.manifest_deviations(_documents(spark, d))
