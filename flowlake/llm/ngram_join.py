@@ -76,6 +76,9 @@ def _fingerprints(sets: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarra
     return np.unique(keys, return_inverse=True, return_counts=True)
 
 
+SLICE = 1 << 18  # keys of a bucket that are counted at once
+
+
 def _ask(n: int, size: int):
     def ask(table: pa.Table) -> pa.Table:
         keys, _, counts = _fingerprints(_block_sets(table, size)[1], n)
@@ -94,10 +97,18 @@ def _answer(table: pa.Table) -> pa.Table:
         m = int(np.frombuffer(p, np.uint32, 1)[0])
         low.append(np.frombuffer(p, np.uint32, m, 4))
         counts.append(np.frombuffer(zstandard.decompress(p[4 + 4 * m :]), np.uint32))
-    keys, inverse = np.unique(np.concatenate(low), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(counts), len(keys)).astype(np.uint32)[inverse]
-    at, pack = np.concatenate([[0], np.cumsum([len(x) for x in low])]), zstandard.ZstdCompressor(level=1)
-    return B.answers_table(table, [pack.compress(total[at[i] : at[i + 1]].tobytes()) for i in range(len(low))])
+    total, pack = [np.zeros(len(x), np.uint32) for x in low], zstandard.ZstdCompressor(level=1)
+    slices = 1 + sum(map(len, low)) // SLICE  # a payload's keys ascend, so those of a range of keys stand together in each
+    edges = [(k << 32) // slices for k in range(1, slices)]
+    cuts = [np.concatenate([[0], np.searchsorted(x, np.array(edges, np.uint32)), [len(x)]]) for x in low]
+    for k in range(slices):
+        spans = [slice(c[k], c[k + 1]) for c in cuts]
+        keys, inverse = np.unique(np.concatenate([x[r] for x, r in zip(low, spans)]), return_inverse=True)
+        sums, at = np.bincount(inverse, np.concatenate([x[r] for x, r in zip(counts, spans)]), len(keys)).astype(np.uint32)[inverse], 0
+        for t, r in zip(total, spans):
+            t[r] = sums[at : at + r.stop - r.start]
+            at += r.stop - r.start
+    return B.answers_table(table, [pack.compress(t.tobytes()) for t in total])
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -243,7 +254,7 @@ def _by_smallest_hash(pending: DataFrame, percent: int) -> DataFrame:
     leads = (F.col("parts") > 1) & (F.pmod(F.xxhash64("cls", "key"), "count") < LEADS)
     part = F.when(leads, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), "parts").cast("int")))
     dealt = keys.join(groups, ["which", "key"]).select("cls", "which", "key", F.explode(part).alias("part"))
-    return dealt.join(pending.select("cls", "n", "shingles"), "cls").groupBy("which", "key", "part").applyInArrow(_tile(percent), _EDGES)
+    return dealt.join(pending.select("cls", "n", "shingles"), "cls").groupBy("which", "key", "part").applyInArrow(B.released(_tile(percent)), _EDGES)
 
 
 def _postings(pending: DataFrame, components: DataFrame) -> DataFrame:
@@ -277,8 +288,8 @@ def _rest(pending: DataFrame, components: DataFrame, percent: int) -> DataFrame:
     names = [f.split()[0] for f in _ROW.split(", ")]
     marks = pending.select("cls", "shingles").mapInArrow(_bits, "cls long, bits binary")
     tiles = probes.unionByName(builds).join(marks, "cls").select(*names, "bits")
-    sifted = materialize(tiles.groupBy(*_TILE_KEY).applyInArrow(_sift_tile(percent), _ROW), "tiles")
-    return sifted.join(pending.select("cls", "shingles"), "cls").groupBy(*_TILE_KEY).applyInArrow(_probe_tile(percent), _EDGES)
+    sifted = materialize(tiles.groupBy(*_TILE_KEY).applyInArrow(B.released(_sift_tile(percent)), _ROW), "tiles")
+    return sifted.join(pending.select("cls", "shingles"), "cls").groupBy(*_TILE_KEY).applyInArrow(B.released(_probe_tile(percent)), _EDGES)
 
 
 def _of_one_id(ids: DataFrame, texts: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from flowlake.llm.words import KEY, mix, sliding_min, window_hashes, word_hashes
 from flowlake.tables import materialize
 
 WINDOW = 35
+SOME = 1 << 18  # windows whose hashes are held at once
 _KINDS = "kind string, block int, bucket int, payload binary, doc_id long, n_words long, n_removed long, text string, kept string"
 _SCHEMA = pa.schema([("kind", pa.string()), ("block", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string()), ("kept", pa.string())])
 
@@ -41,12 +42,6 @@ def levels(window: int, first_words: int) -> list[int]:
     return out
 
 
-def _windows(table: pa.Table, size: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of all windows of each document of the block, and the documents' word counts."""
-    words, offsets = word_hashes(table["text"], lower=False)
-    return [window_hashes(words[offsets[i] : offsets[i + 1]], size) for i in range(len(offsets) - 1)], np.diff(offsets)
-
-
 def _concat(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
@@ -56,15 +51,34 @@ def _keys(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(n)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
 
 
-def _first_keys(parts: list[np.ndarray], size: int, to: int, n: int) -> list[np.ndarray]:
-    """For each document the keys that stand for its windows of ``to`` words: the smallest hash of the windows of
-    ``size`` words in each."""
-    return [_keys(sliding_min(h, to - size + 1), n) for h in parts]
+def _first_keys(words: np.ndarray, size: int, to: int, n: int) -> np.ndarray:
+    """The keys that stand for a document's windows of ``to`` words: the smallest hash of the windows of ``size`` words in each."""
+    return _keys(sliding_min(window_hashes(words, size), to - size + 1), n)
+
+
+def _distinct_first(words: list[np.ndarray], size: int, to: int, n: int) -> np.ndarray:
+    """The block's distinct first keys; a document's are made distinct before the next one's are made."""
+    return np.unique(_concat([np.unique(_first_keys(w, size, to, n)) for w in words]))
+
+
+def _counted(keys: np.ndarray, words: list[np.ndarray], size: int, n: int) -> np.ndarray:
+    """How often each of the sorted keys occurs among all windows of ``size`` words, some documents at a time."""
+    counts, some, held = np.zeros(len(keys) + 1, np.int64), [], 0
+    for i, w in enumerate(words):
+        some.append(window_hashes(w, size))
+        held += len(some[-1])
+        if held >= SOME or i + 1 == len(words):
+            part, many = np.unique(_keys(_concat(some), n), return_counts=True)
+            at = np.searchsorted(keys, part)
+            at[keys[np.minimum(at, len(keys) - 1)] != part] = len(keys)  # none of these
+            np.add.at(counts, at, many)
+            some, held = [], 0
+    return counts[:-1]
 
 
 def _ask_first(size: int, to: int, n: int):
     def ask(table: pa.Table) -> pa.Table:
-        keys = np.unique(_concat(_first_keys(_windows(table, size)[0], size, to, n)))
+        keys = _distinct_first(_words(table), size, to, n)
         at = B.bucket_offsets(keys >> np.uint64(32), n)
         low = keys.astype(np.uint32)
         return B.payload_table(table["block"][0].as_py(), ((k, low[at[k] : at[k + 1]].tobytes()) for k in range(n)))
@@ -171,13 +185,13 @@ def _finish_first(window: int, size: int, to: int, n: int, digest: bool):
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return _rows([], table)
-        parts, n_words = _windows(table, size)
-        mine = _first_keys(parts, size, to, n)
-        keys = np.unique(_concat(mine))
-        every, counts = np.unique(_keys(_concat(parts), n), return_counts=True)  # a part repeated in the block itself counts
-        repeated = _flags(keys >> np.uint64(32), n, answers) | (counts[np.searchsorted(every, keys)] > 1)
-        masks = [sliding_min(repeated[np.searchsorted(keys, m)], window - to + 1) for m in mine]
         words = _words(table)
+        keys = _distinct_first(words, size, to, n)
+        repeated = _flags(keys >> np.uint64(32), n, answers)
+        if len(keys):  # a part repeated in the block itself counts
+            repeated |= _counted(keys, words, size, n) > 1
+        masks = [sliding_min(repeated[np.searchsorted(keys, _first_keys(w, size, to, n))], window - to + 1) for w in words]
+        n_words = [len(w) for w in words]
         return _close(table, masks, n_words, lambda i: _wide(words[i], to, _spread(masks[i], window - to)), n, digest)
 
     return finish
@@ -231,7 +245,7 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, first_words: in
         opened = state.where("kind = 'open'").select("block", "doc_id", "n_words", "text", "payload", "rest")
         asked = state.where("kind = 'ask'").select("block", "bucket", "payload")
         answered = B.answered(asked, _answer(KEY), n)
-        state = opened.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_finish_next(window, size, to, buckets, digest), schema)
+        state = opened.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(B.released(_finish_next(window, size, to, buckets, digest)), schema)
         if to:
             state = materialize(state, "windows")
         out = out.unionByName(state.where("kind = 'done'"))
