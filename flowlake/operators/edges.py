@@ -9,39 +9,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.functions.text import kebab_case
-from flowlake.operators.normalize import GUID_LIKE, REFERENCE_ROLES, branch_role, field, fields_of, text_field
+from flowlake.operators.normalize import CODE, GUID_LIKE, REFERENCE_ROLES, branch_role, field, fields_of, text_field
 from flowlake.tables import materialize
 
 # Fields that are never searched for further ids.
 CLOSED = ["id", "referenceId", "actionList", "menuChoiceList", "variables", "startAction", "nextAction", "menuReference", "taskReference", "paths"]
 OWNER = "^/flowSequenceItemList/[0-9]+(?:/actionList/[0-9]+|/menuChoiceList/[0-9]+/action)?"
+_NODE, _PATH = OWNER + "$", OWNER + "/paths/[0-9]+$"  # extract_nodes takes no others, so no other object has an edge
+# Objects that an extractor of this module or extract_nodes reads, value wrappers included.
+_READ = "|".join([_NODE, _PATH, "^/flowSequenceItemList/[0-9]+/menuChoiceList/[0-9]+$", "/outputs/[0-9]+/value/config/ref$", "^/flowSequenceItemList/.*/config$", "^/manifest/"])
 _CANDIDATE = ["flow_id", "owner", "site", "role", "label", "condition", "target", "path", "generic"]
 
 
+COLUMNS = ("pointer", "parent", "key", "type", "scalar", "fields")  # what readers of edge_rows read
+
+
 def _open_ids() -> Column:
     """Id-shaped strings in open fields, but for those that stand in arrays. Length and name cost less than the pattern."""
     near = (F.col("type") == "STRING") & F.length("scalar").between(36, 37) & ~F.col("key").isin(CLOSED)
     return near & F.rlike("scalar", F.lit(GUID_LIKE)) & ~F.rlike("key", F.lit("^[0-9]+$"))
 
 
+def kept_rows(places, at, kind):
+    """``keep`` of ``flatten_json`` for readers of ``edge_rows``: the objects that they read, and ids in open fields."""
+    import re
+
+    import numpy as np
+
+    read, number = re.compile(_READ, re.DOTALL).search, re.compile("^[0-9]+$").search
+    objects = np.fromiter((read(p) is not None for p in places.pointer), bool, len(places.pointer))[at]
+    open_field = np.fromiter((k is not None and k not in CLOSED and not number(k) for k in places.key), bool, len(places.key))[at]
+    out = objects & (kind == CODE[dict])
+    near = np.flatnonzero(open_field & (kind == CODE[str]))
+    out[near] = [36 <= len(places.value[i]) <= 37 for i in near.tolist()]
+    return out
+
+
+_PARTS = {"node": _NODE, "path": _PATH, "choice": "^/flowSequenceItemList/[0-9]+/menuChoiceList/[0-9]+$", "entry": "^/manifest/"}
+
+
 def edge_rows(paths: DataFrame) -> DataFrame:
     """The rows of paths that this module and ``extract_nodes`` read: objects with their members, and ids that may refer to a node. They
-    are written, so paths may be rows that are read only once."""
-    return materialize(paths.where((F.col("type") == "OBJECT") | _open_ids()), "edge_rows")
+    are written by ``part``, so that an extractor reads only the files of its kind; paths may be rows that are read only once."""
+    rows = paths.where((F.col("type") == "OBJECT") | _open_ids())
+    part = F.when(F.col("type") == "STRING", "id")
+    for name, pattern in _PARTS.items():
+        part = part.when(F.rlike("pointer", F.lit(pattern)), name)
+    part = part.when(F.rlike("pointer", F.lit("^/flowSequenceItemList/(?s:.*)/config$")), "config").otherwise("other")
+    return materialize(rows.withColumn("part", part), "edge_rows", by="part")
+
+
+def _part(paths: DataFrame, *parts: str) -> DataFrame:
+    """The rows of some parts, of paths that have them."""
+    return paths.where(F.col("part").isin(*parts)) if "part" in paths.columns else paths
 
 
 def _known_fields(paths: DataFrame) -> DataFrame:
     role = F.create_map(*(F.lit(x) for p in REFERENCE_ROLES.items() for x in p))
     refs = F.array_compact(F.array(*(F.when(text_field(k).isNotNull(), F.struct(F.lit(k).alias("key"), text_field(k).alias("target"))) for k in REFERENCE_ROLES)))
     any_of = reduce(Column.__or__, (text_field(k).isNotNull() for k in REFERENCE_ROLES))
-    rows = paths.where("type = 'OBJECT'").where(any_of).select("flow_id", "pointer", field("menuName").alias("menuName"), field("taskName").alias("taskName"), F.explode(refs).alias("ref"))
+    rows = _part(paths, "node").where("type = 'OBJECT'").where(F.rlike("pointer", F.lit(_NODE))).where(any_of).select("flow_id", "pointer", field("menuName").alias("menuName"), field("taskName").alias("taskName"), F.explode(refs).alias("ref"))
     rows = rows.select("flow_id", "pointer", "menuName", "taskName", "ref.key", "ref.target", F.concat_ws("/", "pointer", "ref.key").alias("path"))
     label = F.when(F.col("key") == "menuReference", F.col("menuName")).when(F.col("key") == "taskReference", F.col("taskName"))
     return rows.select("flow_id", F.col("pointer").alias("owner"), F.col("key").alias("site"), F.element_at(role, F.col("key")).alias("role"), label.alias("label"), F.lit(None).cast("string").alias("condition"), "target", "path", F.lit(False).alias("generic"))
 
 
 def _branches(paths: DataFrame) -> DataFrame:
-    objects = paths.where("type = 'OBJECT'").where(F.rlike("pointer", F.lit("/paths/[0-9]+$")))
+    objects = _part(paths, "path").where("type = 'OBJECT'").where(F.rlike("pointer", F.lit(_PATH)))
     rows = fields_of(paths, objects, ["outputId", "label", "isDynamicBranch", "nextActionId"]).where("nextActionId is not null")
     output = F.nullif("outputId", F.lit(""))
     return rows.select(
@@ -52,21 +86,24 @@ def _branches(paths: DataFrame) -> DataFrame:
 
 def _other_fields(paths: DataFrame) -> DataFrame:
     """Id-shaped strings anywhere below a node, but for closed fields, strings that stand in arrays, and value wrappers."""
-    rows = paths.where(_open_ids())
-    rows = rows.withColumn("owner", F.regexp_extract("pointer", OWNER, 0)).where("owner <> ''").withColumn("steps", F.split(F.expr("substr(pointer, length(owner) + 2)"), "/"))
+    rows = _part(paths, "id").where(_open_ids())
+    once = lambda value, name: F.explode(F.array(value)).alias(name)  # noqa: E731  # else each later use matches and splits anew, also within lambdas
+    rows = rows.select("flow_id", "pointer", "key", "scalar", once(F.regexp_extract("pointer", OWNER, 0), "owner")).where("owner <> ''")
+    rows = rows.select("flow_id", "key", "scalar", "owner", once(F.split(F.expr("substr(pointer, length(owner) + 2)"), "/"), "steps"))
     rows = rows.where(~F.arrays_overlap("steps", F.array(*map(F.lit, CLOSED))))
-    spots = rows.select("flow_id", "pointer", F.explode(F.expr("transform(sequence(0, size(steps) - 1), n -> concat(owner, array_join(transform(slice(steps, 1, n), s -> concat('/', s)), '')))")).alias("inside"))
-    wrappers = paths.where("key = 'config' and type = 'OBJECT'").select("flow_id", F.col("parent").alias("inside"))
-    rows = rows.join(spots.join(wrappers, ["flow_id", "inside"], "left_semi").select("flow_id", "pointer").distinct(), ["flow_id", "pointer"], "left_anti")
-    field = F.regexp_replace(F.array_join("steps", "/"), "/([0-9]+)(?=/|$)", "[$1]")
+    rows = rows.withColumn("inside", F.expr("transform(sequence(0, size(steps) - 1), n -> concat_ws('/', owner, slice(steps, 1, n)))"))
+    wrappers = _part(paths, "config").where("key = 'config' and type = 'OBJECT'").groupBy("flow_id").agg(F.collect_set("parent").alias("wrappers"))  # no more than the document has
+    rows = rows.join(wrappers, "flow_id", "left").where(~F.coalesce(F.arrays_overlap("wrappers", "inside"), F.lit(False)))
+    rows = rows.select("flow_id", "key", "scalar", "owner", once(F.regexp_replace(F.array_join("steps", "/"), "/([0-9]+)(?=/|$)", "[$1]"), "field"))
+    field = F.col("field")
     return rows.select("flow_id", "owner", F.concat(F.lit("field:"), field).alias("site"), kebab_case(F.col("key")).alias("role"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("condition"),
                        F.col("scalar").alias("target"), F.concat("owner", F.lit("/"), field).alias("path"), F.lit(True).alias("generic"))
 
 
 def _menu_choices(paths: DataFrame) -> DataFrame:
-    choice = paths.where("type = 'OBJECT'").where(F.rlike("pointer", F.lit("^/flowSequenceItemList/[0-9]+/menuChoiceList/[0-9]+$")))
+    choice = _part(paths, "choice").where("type = 'OBJECT'").where(F.rlike("pointer", F.lit("^/flowSequenceItemList/[0-9]+/menuChoiceList/[0-9]+$")))
     own = fields_of(paths, choice, ["digit", "name", "id"])
-    action = paths.where("type = 'OBJECT'").where(F.rlike("pointer", F.lit("/menuChoiceList/[0-9]+/action$"))).select("flow_id", F.regexp_replace("pointer", "/action$", "").alias("pointer"), text_field("id").alias("target")).where("target is not null")
+    action = _part(paths, "node").where("type = 'OBJECT'").where(F.rlike("pointer", F.lit("^/flowSequenceItemList/[0-9]+/menuChoiceList/[0-9]+/action$"))).select("flow_id", F.regexp_replace("pointer", "/action$", "").alias("pointer"), text_field("id").alias("target")).where("target is not null")
     name = F.nullif("name", F.lit(""))
     digit = F.when(F.expr("try_cast(digit AS DOUBLE)").isNotNull(), F.col("digit"))
     label = F.coalesce(F.concat(digit, F.lit(": "), name), name, digit)
@@ -94,14 +131,14 @@ def extract_edges(paths: DataFrame, nodes: DataFrame, dependencies: DataFrame) -
 
 def variable_writes(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """flow_id, variable_id and node_id of variables that a node's outputs store to."""
-    refs = paths.where("type = 'OBJECT'").where(F.rlike("pointer", F.lit(OWNER + "/outputs/[0-9]+/value/config/ref$"))).withColumn("variable_id", field("val")).where("variable_id is not null")
+    refs = _part(paths, "other").where("type = 'OBJECT'").where(F.rlike("pointer", F.lit(OWNER + "/outputs/[0-9]+/value/config/ref$"))).withColumn("variable_id", field("val")).where("variable_id is not null")
     own = nodes.select("flow_id", F.col("pointer").alias("owner"), "node_id")
     return refs.select("flow_id", "variable_id", F.regexp_replace("pointer", "/outputs/[0-9]+/value/config/ref$", "").alias("owner")).join(own, ["flow_id", "owner"]).select("flow_id", "variable_id", "node_id").distinct()
 
 
 def dependency_contexts(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """flow_id, type, dependency_id, referenced_by (nodes) and other_contexts of every manifest entry with an id."""
-    named = paths.where("type = 'OBJECT'").where(F.startswith("pointer", F.lit("/manifest/"))).withColumn("id", text_field("id")).where("id <> ''")
+    named = _part(paths, "entry").where("type = 'OBJECT'").where(F.startswith("pointer", F.lit("/manifest/"))).withColumn("id", text_field("id")).where("id <> ''")
     entry = named.where(F.rlike("pointer", F.lit("^/manifest/[^/]+/[0-9]+$"))).select("flow_id", F.col("pointer").alias("entry"), F.col("id").alias("dependency_id"))
     used = named.where(F.rlike("pointer", F.lit("^/manifest/[^/]+/[0-9]+/context/[0-9]+$"))).select("flow_id", F.regexp_replace("pointer", "/context/[0-9]+$", "").alias("entry"), F.col("id").alias("target"))
     dst = nodes.where("source_id is not null").groupBy("flow_id", F.col("source_id").alias("target")).agg(F.max_by("node_id", "pointer").alias("dst"))

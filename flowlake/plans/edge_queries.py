@@ -21,15 +21,15 @@ for _c, _id in ID.items():
     MENU = MENU.replace("{" + _c + "}", _id)
 
 
-def _documents(spark, d):
+def _documents(spark, d, **read):
     k = F.col("o_orderkey")
     follow = F.element_at(F.array(*(F.lit(ID[c]) for c in "BDU")), (k % 3 + 1).cast("int"))
-    return N.flatten_json(spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(k.alias("flow_id"), F.format_string(MENU, follow, k).alias("definition")), once=True)
+    return N.flatten_json(spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(k.alias("flow_id"), F.format_string(MENU, follow, k).alias("definition")), once=True, **read)
 
 
 def _menus(spark, d):
-    paths = E.edge_rows(_documents(spark, d))
-    return paths, N.extract_nodes(paths)
+    paths = E.edge_rows(_documents(spark, d, keep=E.kept_rows, columns=E.COLUMNS))
+    return paths, N.extract_nodes(paths.where("part = 'node'"))
 
 
 FIXED = """('trk_1', 'trk_2', 'entry', NULL, NULL, 'startAction'), ('trk_2', 'trk_3', 'yes', 'yes', '__YES__', 'path:__YES__'), ('trk_2', 'trk_3', 'screen-target', NULL, NULL, 'field:fallback/screenTarget'), ('trk_2', 'trk_3', 'deep-target', NULL, NULL, 'field:fallback/list[0]/deepTarget'),
@@ -40,7 +40,7 @@ FIXED = """('trk_1', 'trk_2', 'entry', NULL, NULL, 'startAction'), ('trk_2', 'tr
 SELECT flow_id, src || '->' || dst || '#' || role || '@' || site AS edge_id, src, dst, role, label, condition FROM e""")
 def n5_menu_edges(spark, d):
     paths, nodes = _menus(spark, d)
-    return E.extract_edges(paths, nodes, N.extract_dependencies(paths))[0]
+    return E.extract_edges(paths, nodes, N.extract_dependencies(paths.where("part = 'entry'")))[0]
 
 
 AT = "/flowSequenceItemList/0"
@@ -51,7 +51,7 @@ AT = "/flowSequenceItemList/0"
 UNION ALL SELECT o_orderkey, 'DANGLING_REFERENCE', 'warning', '{AT}/actionList/0/nextAction', 'trk_2' FROM orders WHERE o_orderkey % 3 = 2""")
 def n7_reference_warnings(spark, d):
     paths, nodes = _menus(spark, d)
-    return E.extract_edges(paths, nodes, N.extract_dependencies(paths))[1].withColumn("node_ids", F.array_join("node_ids", ","))
+    return E.extract_edges(paths, nodes, N.extract_dependencies(paths.where("part = 'entry'")))[1].withColumn("node_ids", F.array_join("node_ids", ","))
 
 
 @query("SELECT o_orderkey AS flow_id, 'v' || o_orderkey AS variable_id, 'trk_2' AS node_id FROM orders")
@@ -67,4 +67,4 @@ def n12_dependency_contexts(spark, d):
 
 @query("SELECT o_orderkey AS flow_id, unnest(['/manifest/queue/1', '/manifest/queue/2']) AS pointer FROM orders")
 def n21_manifest_deviations(spark, d):
-    return E.manifest_deviations(_documents(spark, d))
+    return E.manifest_deviations(_documents(spark, d, keep=N.at_pointers("^/manifest/[^/]+/[^/]*$"), columns=("pointer", "type", "fields")))
