@@ -41,13 +41,14 @@ def r9_merge_unchanged(spark, d):
 
 @query(DECIDED + " SELECT flow_id, n.version, n.division, n.hash FROM plan JOIN discovered n USING (flow_id) WHERE bucket = 'capture' UNION ALL SELECT p.flow_id, p.version, p.division, p.hash FROM previous p JOIN plan q ON q.flow_id = p.flow_id AND q.bucket NOT IN ('capture', 'retire')")
 def c9_stream_flow_changes(spark, d):
-    """The discovered rows land in two parts; the stream's last run is the snapshot that the batch rule gives for both at once."""
+    """The discovered rows land in two parts, of any number of files each, and the stream goes on from its checkpoint behind each; its last
+    run is the snapshot that the batch rule gives for both at once."""
     previous, found = manifest_pair(spark, d)
     root = _folder(spark, "stream")
     for part in (0, 1):
-        found.where(F.col("flow_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    landed = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    T.stream_flow_changes(landed, previous, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        found.where(F.col("flow_id") % 2 == part).write.mode("append").parquet(f"{root}/in")
+        landed = spark.readStream.schema(found.schema).parquet(f"{root}/in")
+        T.stream_flow_changes(landed, previous, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/out/snapshot").where(F.col("run_id") == 1).drop("run_id")
 
 
